@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules",)
+MODULES = ("chat_format", "url_filter", "quality_rules")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
