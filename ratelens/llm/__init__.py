@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("chat_format", "packing", "url_filter", "quality_rules")
+MODULES = ("chat_format", "packing", "near_dedup", "url_filter", "warc", "quality_rules")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,16 +6,20 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from typing import TypeVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
+#: The same over UTF-8, whose longer characters hold none of these bytes.
+WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 #: A-Z to a-z and nothing else.
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+T = TypeVar("T", str | None, bytes | None)
 
 _made: list[tuple[str, str]] = []
 
@@ -70,10 +74,6 @@ def cleanup(spark: SparkSession) -> int:
     return gone
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text) if text else []
-
-
 class WordHashes(dict):
     """Stable 64-bit hashes of words, with a bounded cache."""
 
@@ -85,11 +85,11 @@ class WordHashes(dict):
         super().__init__()
         self._hash, self._seed = xxhash.xxh3_64_intdigest, seed
 
-    def __missing__(self, word: str) -> int:
-        value = self[word] = self._hash(word.encode("utf-8", "surrogatepass"), self._seed)
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = self._hash(word, self._seed)
         return value
 
-    def of(self, found: list[str]) -> np.ndarray:
+    def of(self, found: list[bytes]) -> np.ndarray:
         if len(self) > self.LIMIT:
             self.clear()
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
@@ -127,8 +127,8 @@ def shingle_set(word_hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes, min(size, len(word_hashes))))
 
 
-def runs(values: Iterable[str | None], limit: int = 4_000_000) -> Iterable[tuple[int, list[str | None]]]:
-    """Cut a batch of texts into runs of about ``limit`` characters, with the first index of each."""
+def runs(values: Iterable[T], limit: int = 4_000_000) -> Iterable[tuple[int, list[T]]]:
+    """Cut a batch of texts into runs of about ``limit`` characters or bytes, with the first index of each."""
     start, size, held = 0, 0, []
     for i, text in enumerate(values):
         held.append(text)
@@ -140,5 +140,12 @@ def runs(values: Iterable[str | None], limit: int = 4_000_000) -> Iterable[tuple
         yield start, held
 
 
-def empty_as_null(column: str) -> F.Column:
-    return F.nullif(F.col(column), F.lit(""))
+#: Key sets of at most this many rows (tens of MB) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def keys_for_join(keys: DataFrame, n: int | None = None) -> DataFrame:
+    """``keys`` with a broadcast hint if their counted size allows it."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(keys) if (keys.count() if n is None else n) <= BROADCAST_KEYS else keys
