@@ -46,6 +46,8 @@ class ChunkIds:
         self._tokenizer = Tokenizer.from_file(path)
         self._kept: dict[str, bytes] = {}
         self._marks = {m: self._encode([m])[m] for m in ".,"}
+        self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._ends[[i for w, i in self._tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     def _encode(self, chunks: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
@@ -55,12 +57,24 @@ class ChunkIds:
             out |= {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(part, encoded, strict=True)}
         return out
 
+    def _encode_words(self, plain: list[str]) -> dict[str, bytes]:
+        """Words of letters, many to a text: each one's ids end with the only token that ends a word."""
+        out: dict[str, bytes] = {}
+        for start in range(0, len(plain), 1000):
+            part = plain[start : start + 1000]
+            ids = np.asarray(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out |= {c: raw[i:j] for c, i, j in zip(part, [0, *ends[:-1]], ends, strict=True)}
+        return out
+
     @staticmethod
-    def _parts(chunk: str) -> tuple[str, str]:
+    def _parts(chunk: str) -> tuple[str, str, bool]:
+        """Stem, mark, and whether the stem is a plain word."""
         stem, mark = (chunk[:-1], chunk[-1]) if len(chunk) > 1 and chunk[-1] in ".," else (chunk, "")
-        if stem.isalpha() and max(stem) <= "\xff":
-            return stem.lower(), mark
-        return chunk, ""
+        if stem.isalpha() and (stem.isascii() or max(stem) <= "\xff"):
+            return stem.lower(), mark, True
+        return chunk, "", False
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """A mapping that has all of ``chunks``."""
@@ -68,8 +82,9 @@ class ChunkIds:
         parts = {c: self._parts(c) for c in chunks if c not in kept}
         if not parts:
             return kept
-        fresh = self._encode([c for c in {k for k, _ in parts.values()} if c not in kept])
-        for chunk, (stem, mark) in parts.items():
+        fresh = self._encode_words([c for c in {k for k, _, plain in parts.values() if plain} if c not in kept])
+        fresh |= self._encode([c for c, _, plain in parts.values() if not plain])
+        for chunk, (stem, mark, _) in parts.items():
             ids = fresh[stem] if stem in fresh else kept[stem]
             fresh[chunk] = ids + self._marks[mark] if mark else ids
         if len(kept) + len(fresh) <= self.LIMIT:
