@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -9,6 +12,7 @@ from collections.abc import Iterable
 from typing import TypeVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of anything but ASCII white space.
@@ -21,6 +25,10 @@ ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 T = TypeVar("T", str | None, bytes | None)
 
+BATCH_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows in a batch between the JVM and Python while tables are written; whole texts are large rows.
+MOST_RECORDS = 1000
+
 _made: list[tuple[str, str]] = []
 
 
@@ -57,10 +65,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    records = spark.conf.get(BATCH_RECORDS)
+    spark.conf.set(BATCH_RECORDS, str(min(int(records) if int(records) > 0 else MOST_RECORDS, MOST_RECORDS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_RECORDS, records)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Hand a worker's free memory back to the system at the end of a task, as idle workers stay."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def cleanup(spark: SparkSession) -> int:
     """Delete all intermediate tables of this application; results read from them end with it."""
     gone = 0
@@ -77,7 +98,7 @@ def cleanup(spark: SparkSession) -> int:
 class WordHashes(dict):
     """Stable 64-bit hashes of words, with a bounded cache."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, seed: int = 0) -> None:
         import xxhash
@@ -127,7 +148,7 @@ def shingle_set(word_hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes, min(size, len(word_hashes))))
 
 
-def runs(values: Iterable[T], limit: int = 4_000_000) -> Iterable[tuple[int, list[T]]]:
+def runs(values: Iterable[T], limit: int = 1_000_000) -> Iterable[tuple[int, list[T]]]:
     """Cut a batch of texts into runs of about ``limit`` characters or bytes, with the first index of each."""
     start, size, held = 0, 0, []
     for i, text in enumerate(values):

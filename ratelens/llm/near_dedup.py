@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import ASCII_LOWER, WORD_BYTES, WordHashes, keys_for_join, materialize, mix64, runs, shingle_set, table
+from ratelens.llm._common import ASCII_LOWER, WORD_BYTES, WordHashes, keys_for_join, materialize, mix64, release, runs, shingle_set, table
 from ratelens.llm.components import components
 
 SKETCH_BITS = 512
@@ -110,6 +110,8 @@ def _featurer(config: NearConfig):
                 else:
                     columns = [pa.nulls(len(sets), pa.int64())] * 2 + [pa.nulls(len(sets), pa.list_(pa.int64()))] * 2
                 yield pa.RecordBatch.from_arrays([ids, sizes, *columns], names)
+        hashes.clear()
+        release()
 
     return features
 
@@ -128,6 +130,8 @@ def _verifier(config: NearConfig):
                 common = len(np.intersect1d(last[1], other, assume_unique=True))
                 linked.append(100 * common >= config.percent * (len(last[1]) + len(other) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        hashes.clear()
+        release()
 
     return verify
 
