@@ -11,7 +11,9 @@ partition, so no task ever sees more than its own pieces and then one sequence a
 
 from __future__ import annotations
 
+import contextlib
 import itertools
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,33 +31,46 @@ CAPACITY, UNIT, DEPTH, EOS = 4096, 16, 3, 2
 BROADCAST_OFFSETS = 100_000
 
 
-class ChunkIds:
-    """Token ids of white-space separated chunks, as little-endian bytes, with a bounded cache.
+#: Latin-1 letters (lower case), numbers and white space as the word BPE's pattern sees them.
+LETTERS, NUMBERS, SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
+#: That pattern over lower-cased Latin-1 text: contractions, words, single digits, runs of anything else.
+PARTS = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
-    Exact where the tokenizer folds case, drops white space and splits letters from punctuation, as
-    the word BPE does: a Latin-1 word has the ids of its lower-case form, and a closing full stop or
-    comma those of its own. Other chunks are encoded as they stand. Chunks met after the cache is
-    full are encoded but not kept.
+
+class TokenIds:
+    """Token ids of parts of texts, as little-endian bytes, with a bounded cache.
+
+    Exact where the tokenizer folds case, drops white space and encodes each match of its pattern by
+    itself, as the word BPE does. Latin-1 texts are cut by that pattern; others, and texts that may
+    hold a special token, at white space, and their chunks are left to the tokenizer. Parts met after
+    the cache is full are encoded but not kept.
     """
 
-    LIMIT = 1_200_000
+    LIMIT = 800_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._kept: dict[str, bytes] = {}
-        self._marks = {m: self._encode([m])[m] for m in ".,"}
         self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
         self._ends[[i for w, i in self._tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
+    @staticmethod
+    def parts(text: str | None) -> list[str]:
+        if not text:
+            return []
+        if "<|" not in text:
+            if text.isascii():
+                return PARTS.findall(text.lower())
+            with contextlib.suppress(UnicodeEncodeError):
+                text.encode("latin-1")
+                return PARTS.findall(text.lower())
+        return WORD.findall(text)
+
     def _encode(self, chunks: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for start in range(0, len(chunks), 2000):
-            part = chunks[start : start + 2000]
-            encoded = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            out |= {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(part, encoded, strict=True)}
-        return out
+        encoded = self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded, strict=True)}
 
     def _encode_words(self, plain: list[str]) -> dict[str, bytes]:
         """Words of letters, many to a text: each one's ids end with the only token that ends a word."""
@@ -68,38 +83,28 @@ class ChunkIds:
             out |= {c: raw[i:j] for c, i, j in zip(part, [0, *ends[:-1]], ends, strict=True)}
         return out
 
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, str, bool]:
-        """Stem, mark, and whether the stem is a plain word."""
-        stem, mark = (chunk[:-1], chunk[-1]) if len(chunk) > 1 and chunk[-1] in ".," else (chunk, "")
-        if stem.isalpha() and (stem.isascii() or max(stem) <= "\xff"):
-            return stem.lower(), mark, True
-        return chunk, "", False
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """A mapping that has all of ``chunks``."""
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """A mapping that has all of ``parts``."""
         kept = self._kept
-        parts = {c: self._parts(c) for c in chunks if c not in kept}
-        if not parts:
+        new = [c for c in parts if c not in kept]
+        if not new:
             return kept
-        fresh = self._encode_words([c for c in {k for k, _, plain in parts.values() if plain} if c not in kept])
-        fresh |= self._encode([c for c, _, plain in parts.values() if not plain])
-        for chunk, (stem, mark, _) in parts.items():
-            ids = fresh[stem] if stem in fresh else kept[stem]
-            fresh[chunk] = ids + self._marks[mark] if mark else ids
+        plain = [c for c in new if c.isalpha() and (c.isascii() or max(c) <= "\xff")]
+        fresh = self._encode_words(plain)
+        fresh |= self._encode([c for c in new if c not in fresh])
         if len(kept) + len(fresh) <= self.LIMIT:
             kept |= fresh
             return kept
-        return {c: fresh[c] if c in fresh else kept[c] for c in chunks}
+        return {c: fresh[c] if c in fresh else kept[c] for c in parts}
 
 
-_caches: dict[str, ChunkIds] = {}
+_caches: dict[str, TokenIds] = {}
 
 
-def chunk_ids(path: str) -> ChunkIds:
+def token_ids(path: str) -> TokenIds:
     """One cache per worker process, kept over its tasks."""
     if path not in _caches:
-        _caches[path] = ChunkIds(path)
+        _caches[path] = TokenIds(path)
     return _caches[path]
 
 
@@ -110,7 +115,7 @@ def _cutter(path: str, capacity: int, unit: int, eos: int, with_ids: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = chunk_ids(path)
+        cache = token_ids(path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(-(-capacity // unit) + 1, np.int64)
         for batch in batches:
@@ -118,10 +123,10 @@ def _cutter(path: str, capacity: int, unit: int, eos: int, with_ids: bool):
             for first, texts in runs(x.as_py() for x in batch.column(1)):
                 rows: list[tuple] = []
                 origin: list[int] = []
-                found = [WORD.findall(text or "") for text in texts]
+                found = [cache.parts(text) for text in texts]
                 ids_of = cache.learn(set().union(*found)).__getitem__
-                for k, chunks in enumerate(found):
-                    raw = b"".join([*map(ids_of, chunks), tail])
+                for k, parts in enumerate(found):
+                    raw = b"".join([*map(ids_of, parts), tail])
                     total = len(raw) // 4
                     for start in range(0, total, capacity):
                         part = raw[4 * start : 4 * (start + capacity)]
