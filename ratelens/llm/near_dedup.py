@@ -5,8 +5,9 @@ are folded into a parity bitmap (odd sketch) whose XOR population count estimate
 for the candidates. Candidates that the estimate can't rule out are confirmed on full shingle sets.
 
 No pairs are made within a bucket beyond what connectivity needs: a bucket links its members to its
-smallest one; only if they don't end up in one component do further members serve as centres, in
-batches that grow eightfold, until the bucket is one component or all its pairs have been seen.
+smallest one. Only if they don't end up in one component, members that can't have a link across are
+ruled out by their unshared shingles, and further ones serve as centres, in batches that grow
+eightfold, until the bucket is one component or all pairs that could matter have been seen.
 """
 
 from __future__ import annotations
@@ -179,11 +180,10 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
 def _link(members: DataFrame, sketches: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
     """``node, comp`` of the members of shared buckets that are linked with any other."""
     spark = members.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    tested = comp = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    tested = edges
+    tested = spark.createDataFrame([], "a long, b long")
+    comp = tested.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    covered, size = 1, None
+    members, upto = members.select("key", "node"), 1
     while True:
         close = (
             pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
@@ -199,22 +199,61 @@ def _link(members: DataFrame, sketches: DataFrame, texts: DataFrame, config: Nea
             todo = best if step == "closest" else _across(close.join(tested, ["a", "b"], "left_anti"), comp)
             checked = _confirm(todo, texts, config)
             tested = materialize(tested.union(checked.select("a", "b")), "tested")
-            edges = materialize(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(checked.where("linked").select("a", "b")), "links")
+            edges = comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(checked.where("linked").select("a", "b"))
             comp = materialize(components(edges), "components")
-        # Buckets that are still in two or more components.
-        state = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        split = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
-        split = split.where(F.col("n") > covered + 1)  # else every pair of the bucket has been seen
-        order = Window.partitionBy("key").orderBy("node")
-        ranked = state.join(split.select("key"), "key", "left_semi").withColumn("rank", F.row_number().over(order))
-        ranked = materialize(ranked, "unsettled")
-        size = ranked.agg(F.max("rank")).first()[0]
-        if size is None or size <= covered:
+        members = _unsettled(members, comp, texts, config, 3 if upto == 1 else 2)
+        most = members.agg(F.max("rank")).first()[0]
+        if most is None or most <= upto:
             return comp
-        upto = BATCH_GROWTH * covered + 1
-        centres = ranked.where((F.col("rank") > covered) & (F.col("rank") <= upto)).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        pairs = centres.join(ranked, "key").where("ra < rank and ca <> comp").select("a", F.col("node").alias("b")).distinct()
-        covered = upto
+        upto *= BATCH_GROWTH
+        centres = members.where(F.col("rank") <= upto).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
+        pairs = centres.join(members, "key").where("ra < rank and ca <> comp").select("a", F.col("node").alias("b")).distinct()
+        members = members.select("key", "node")
+
+
+def _unsettled(members: DataFrame, comp: DataFrame, texts: DataFrame, config: NearConfig, fewest: int) -> DataFrame:
+    """``key, node, comp, rank`` of the members that may still have a link across components.
+
+    Shingles that no other unsettled member has can't be common to a pair. With c shared ones of n, a
+    link to a set of n' needs c >= p (n + n') for p = percent / (100 + percent); a member for which
+    even the smallest set of its bucket is too large is settled. That is one aggregation, however
+    large the bucket, and exact. Buckets of fewer than ``fewest`` members have shown all their pairs.
+    """
+
+    def open_buckets(state: DataFrame, fewest: int) -> DataFrame:
+        keys = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where((F.col("low") < F.col("high")) & (F.col("n") >= fewest))
+        return state.join(keys.select("key"), "key", "left_semi")
+
+    state = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    state = materialize(open_buckets(state, fewest), "open")
+    nodes = materialize(state.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    n = nodes.count()
+    if not n:
+        return state.withColumn("rank", F.lit(0))
+    sets = materialize(texts.join(keys_for_join(nodes, n), "doc_id", "left_semi").mapInArrow(_lister(config), "node long, gram long").distinct(), "sets")
+    common = sets.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    sizes = sets.groupBy("node").agg(F.count("*").alias("size"))
+    shared = sets.join(common, "gram", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    facts = materialize(sizes.join(shared, "node", "left").select("node", "size", F.coalesce("shared", F.lit(0).cast("long")).alias("shared")), "facts")
+    known = state.join(facts, "node")
+    least = known.groupBy("key").agg(F.min("size").alias("least"))
+    able = (100 + config.percent) * F.col("shared") >= config.percent * (F.col("size") + F.col("least"))
+    live = open_buckets(known.join(least, "key").where(able).select("key", "node", "comp"), 2)
+    return materialize(live.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))), "unsettled")
+
+
+def _lister(config: NearConfig):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for first, texts in runs(t.as_py() for t in batch.column(1)):
+                found = [shingles(t, hashes, config.shingle) for t in texts]
+                origin = np.repeat(np.arange(first, first + len(texts)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(origin)), pa.array(np.concatenate(found).view(np.int64))], ["node", "gram"])
+        hashes.clear()
+        release()
+
+    return sets
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
