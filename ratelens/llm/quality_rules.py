@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratelens.llm._common import WORD, table
 
@@ -128,6 +129,29 @@ def apply_policy(ledger: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     return ledger.withColumn("kept", F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
+def _measure_rows(at: int):
+    """All columns of a row, the text in place ``at``, and its measurements after them."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [measure_text(x.as_py()) for x in batch.column(at)]
+            columns = zip(*rows, strict=True) if rows else ([] for _ in MEASURES)
+            names = [f"c{i}" for i in range(batch.num_columns)] + list(MEASURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names)
+
+    return measure
+
+
+def keep_by_rules(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with their own columns; no shuffle takes place."""
+    fields = docs.schema.fields
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(fields))))
+    schema = T.StructType([*numbered.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    measured = numbered.mapInArrow(_measure_rows(docs.columns.index(text_col)), schema)
+    kept = apply_policy(measured.withColumn("failed_bits", failure_bits()), policy).where("kept")
+    return kept.select(*numbered.columns).toDF(*docs.columns)
+
+
 def ablation(ledger: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     """Per rule of the policy: documents it fails, fails alone, and the kept count without it.
 
