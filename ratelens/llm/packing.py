@@ -174,7 +174,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600, tolerance: float = 1e-
         passive[j] = True
         while True:
             at = np.flatnonzero(passive)
-            s = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            own = a[:, at]
+            s = np.linalg.solve(own.T @ own + 1e-10 * np.eye(len(at)), own.T @ b)
             low = s <= 0
             if not low.any():
                 x[:] = 0
