@@ -5,9 +5,9 @@ are folded into a parity bitmap (odd sketch) whose XOR population count estimate
 for the candidates. Candidates that the estimate can't rule out are confirmed on full shingle sets.
 
 No pairs are made within a bucket beyond what connectivity needs: a bucket links its members to its
-smallest one. Only if they don't end up in one component, members that can't have a link across are
-ruled out by their unshared shingles, and further ones serve as centres, in batches that grow
-eightfold, until the bucket is one component or all pairs that could matter have been seen.
+smallest one. Only where they don't end up in one component, members that can't have a link across
+are ruled out by their unshared shingles, and the rest is tested exactly in tiles of bounded size,
+which return just the links that join components.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ from ratelens.llm._common import ASCII_LOWER, WORD_BYTES, WordHashes, keys_for_j
 from ratelens.llm.components import components
 
 SKETCH_BITS = 512
-BATCH_GROWTH = 8
 
 
 @dataclass(frozen=True)
@@ -173,83 +173,141 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
     comp = _link(members, sketches, texts, config)
     nodes = classes.join(comp, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component"))
     placed = found.join(nodes, ["s1", "s2"], "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _link(members: DataFrame, sketches: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
     """``node, comp`` of the members of shared buckets that are linked with any other."""
-    spark = members.sparkSession
-    tested = spark.createDataFrame([], "a long, b long")
-    comp = tested.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    members, upto = members.select("key", "node"), 1
-    while True:
-        close = (
-            pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-            .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-            .select("a", "b", different_bits("x", "y").alias("bits"))
-            .where(F.col("bits") <= config.most_different_bits)
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        close = materialize(close.distinct(), "candidates")
-        # Each member first meets its closest centre; most of its other candidates then lie in its component.
-        best = close.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b")
-        for step in ("closest", "rest"):
-            todo = best if step == "closest" else _across(close.join(tested, ["a", "b"], "left_anti"), comp)
-            checked = _confirm(todo, texts, config)
-            tested = materialize(tested.union(checked.select("a", "b")), "tested")
-            edges = comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(checked.where("linked").select("a", "b"))
-            comp = materialize(components(edges), "components")
-        members = _unsettled(members, comp, texts, config, 3 if upto == 1 else 2)
-        most = members.agg(F.max("rank")).first()[0]
-        if most is None or most <= upto:
-            return comp
-        upto *= BATCH_GROWTH
-        centres = members.where(F.col("rank") <= upto).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        pairs = centres.join(members, "key").where("ra < rank and ca <> comp").select("a", F.col("node").alias("b")).distinct()
-        members = members.select("key", "node")
-
-
-def _unsettled(members: DataFrame, comp: DataFrame, texts: DataFrame, config: NearConfig, fewest: int) -> DataFrame:
-    """``key, node, comp, rank`` of the members that may still have a link across components.
-
-    Shingles that no other unsettled member has can't be common to a pair. With c shared ones of n, a
-    link to a set of n' needs c >= p (n + n') for p = percent / (100 + percent); a member for which
-    even the smallest set of its bucket is too large is settled. That is one aggregation, however
-    large the bucket, and exact. Buckets of fewer than ``fewest`` members have shown all their pairs.
+    close = (
+        pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+        .select("a", "b", different_bits("x", "y").alias("bits"))
+        .where(F.col("bits") <= config.most_different_bits)
+    )
+    close = materialize(close, "candidates")
+    # Each member first meets its closest centre; most of its other candidates then lie in its component.
+    best = close.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b")
+    checked = _confirm(best, texts, config)
+    comp = materialize(components(checked.where("linked").select("a", "b")), "components")
+    rest = _across(close.join(checked, ["a", "b"], "left_anti"), comp)
+    checked = _confirm(rest, texts, config)
+    star = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    comp = materialize(components(star.union(checked.where("linked").select("a", "b"))), "components")
+    links = _settle(members, comp, texts, config)
+    star = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    return components(star.union(links))
+
+
+def _settle(members: DataFrame, comp: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
+    """``a, b``: the links across components that buckets in two or more components still hide.
+
+    Shingles that no other such member has can't be common to a pair. With c shared ones of n, a link
+    to a set of n' needs c >= p (n + n') for p = percent / (100 + percent); a member for which even the
+    smallest set of its bucket is too large is left out. The others are tested exactly, cluster by
+    cluster (clusters are joined by buckets), in tiles of two blocks of bounded size: a task holds one
+    tile and returns no more links than it joins components, so no pairs are made.
     """
 
     def open_buckets(state: DataFrame, fewest: int) -> DataFrame:
-        keys = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where((F.col("low") < F.col("high")) & (F.col("n") >= fewest))
-        return state.join(keys.select("key"), "key", "left_semi")
+        keys = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
+        return state.join(keys.where((F.col("low") < F.col("high")) & (F.col("n") >= fewest)).select("key"), "key", "left_semi")
 
     state = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    state = materialize(open_buckets(state, fewest), "open")
+    state = materialize(open_buckets(state, 3), "open")  # a bucket of two has shown its only pair
     nodes = materialize(state.select(F.col("node").alias("doc_id")).distinct(), "nodes")
-    n = nodes.count()
-    if not n:
-        return state.withColumn("rank", F.lit(0))
-    sets = materialize(texts.join(keys_for_join(nodes, n), "doc_id", "left_semi").mapInArrow(_lister(config), "node long, gram long").distinct(), "sets")
-    common = sets.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    sizes = sets.groupBy("node").agg(F.count("*").alias("size"))
-    shared = sets.join(common, "gram", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
-    facts = materialize(sizes.join(shared, "node", "left").select("node", "size", F.coalesce("shared", F.lit(0).cast("long")).alias("shared")), "facts")
-    known = state.join(facts, "node")
+    own = texts.join(keys_for_join(nodes), "doc_id", "left_semi")
+    sets = materialize(own.mapInArrow(_lister(config), "node long, grams binary").groupBy("node").agg(F.max("grams").alias("grams")), "sets")
+    size = (F.length("grams") / 8).cast("long")
+    grams = sets.mapInArrow(_exploder, "node long, gram long")
+    common = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    shared = grams.join(common, "gram", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    facts = sets.select("node", size.alias("size")).join(shared, "node", "left").select("node", "size", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"))
+    known = materialize(state.join(facts, "node"), "known")
     least = known.groupBy("key").agg(F.min("size").alias("least"))
     able = (100 + config.percent) * F.col("shared") >= config.percent * (F.col("size") + F.col("least"))
-    live = open_buckets(known.join(least, "key").where(able).select("key", "node", "comp"), 2)
-    return materialize(live.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))), "unsettled")
+    live = materialize(open_buckets(known.join(least, "key").where(able).select("key", "node", "comp", "size"), 2), "live")
+
+    first = live.groupBy("key").agg(F.min("node").alias("first"))
+    joined = live.join(first, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    clusters = components(joined).withColumnRenamed("comp", "cluster")
+    placed = live.select("node", "comp", "size").distinct().join(clusters, "node")
+    order = Window.partitionBy("cluster").orderBy("size", "node")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = materialize(placed.withColumn("block", F.floor((before - 1) / TILE_SHINGLES).cast("long")), "placed")
+    blocks = placed.groupBy("cluster", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    two = blocks.select("cluster", F.col("block").alias("i"), F.col("high").alias("high_i")).join(blocks.select("cluster", F.col("block").alias("j"), F.col("low").alias("low_j")), "cluster")
+    two = two.where((F.col("i") <= F.col("j")) & (100 * F.col("high_i") >= config.percent * F.col("low_j")))  # else too unlike in size
+    ends = two.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    tiles = placed.join(ends, ["cluster", "block"]).join(sets, "node").select("cluster", "i", "j", "block", "node", "comp", "grams")
+    return materialize(tiles.groupBy("cluster", "i", "j").applyInPandas(_tile_tester(config.percent), "a long, b long"), "settled")
+
+
+#: Shingles in a block; a tile of two blocks takes a few times 16 bytes for each. A larger set is a block of its own.
+TILE_SHINGLES = 500_000
+
+
+def tile_links(nodes: list[int], comps: list[int], sets: list[np.ndarray], left: list[bool], right: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links between rows of ``left`` and ``right`` that join different components, at most one a join."""
+    parent: dict[int, int] = {c: c for c in comps}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    found: list[tuple[int, int]] = []
+    sizes = np.array([len(s) for s in sets])
+    names, counts = np.unique(np.array(comps), return_counts=True)
+    largest = int(names[np.argmax(counts)])
+    # A pair across components has a row outside the largest one; that row asks, the other side is indexed.
+    for asking, asked in ((left, right), (right, left)) if left != right else ((left, right),):
+        rows = np.flatnonzero(np.array(asked))
+        flat = np.concatenate([sets[r] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), sizes[rows])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for x in np.flatnonzero(np.array(asking)):
+            if comps[x] == largest:
+                continue
+            lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(rows))
+            for k in np.flatnonzero(100 * common >= percent * (sizes[x] + sizes[rows] - common)):
+                a, b = root(comps[x]), root(comps[rows[k]])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((nodes[x], nodes[rows[k]]))
+    return found
+
+
+def _tile_tester(percent: int):
+    def test(tile: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(g, np.uint64) for g in tile["grams"]]
+        left, right = (tile["block"] == tile["i"]).tolist(), (tile["block"] == tile["j"]).tolist()
+        return pd.DataFrame(tile_links(tile["node"].tolist(), tile["comp"].tolist(), sets, left, right, percent), columns=["a", "b"], dtype="int64")
+
+    return test
+
+
+def _exploder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, sets in runs((g.as_py() for g in batch.column(1)), 2_000_000):
+            origin = np.repeat(np.arange(first, first + len(sets)), [len(g) // 8 for g in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(origin)), pa.array(np.frombuffer(b"".join(sets), np.int64))], ["node", "gram"])
 
 
 def _lister(config: NearConfig):
+    """The sorted shingle set of each text as one binary value."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for first, texts in runs(t.as_py() for t in batch.column(1)):
-                found = [shingles(t, hashes, config.shingle) for t in texts]
-                origin = np.repeat(np.arange(first, first + len(texts)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(origin)), pa.array(np.concatenate(found).view(np.int64))], ["node", "gram"])
+            found = [shingles(t.as_py(), hashes, config.shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "grams"])
         hashes.clear()
         release()
 
