@@ -1,4 +1,4 @@
-"""All queries of the engine's own operators and their SQL twins."""
+"""All queries of the engine's own operators and their SQL twins, by name."""
 
 from __future__ import annotations
 
@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ratelens.plans import q_labels, q_reviews, q_statistics
+
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (q_reviews, q_labels, q_statistics)
+QUERIES: dict[str, Query] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
