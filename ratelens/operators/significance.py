@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratelens.functions.ordinal import metrics, qwk
 from ratelens.functions.rng import u01
@@ -96,7 +97,7 @@ def wilcoxon(differences: DataFrame) -> DataFrame:
     return sums.select("hypothesis", "n", "r_plus", F.round((F.col("r_plus") - m * (m + 1) / 4) / F.nullif(F.sqrt(var), F.lit(0.0)), 9).alias("z"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Normal tail on both sides; 1 where z is undefined, as all differences are then zero."""
     return z.map(lambda v: 1.0 if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))

@@ -92,9 +92,9 @@ def _g(tag: str) -> str:
 
 
 _SECOND, _SAME = f"{sql_h(repr('second'), 'review_id')} % 10 < 3", f"{sql_h(repr('same'), 'review_id')} % 2 = 0"
-ANNOTATIONS_SQL = f"""annotations AS (SELECT o_orderkey AS review_id_0, o_orderkey AS review_id, ({sql_h("'diff'", "o_orderkey")} % 4 + 1)::INT AS rating_diff, {_v("v").replace("review_id", "o_orderkey")} AS verdict,
+ANNOTATIONS_SQL = f"""annotations AS (SELECT review_id, ({sql_h("'diff'", "review_id")} % 4 + 1)::INT AS rating_diff, {_v("v")} AS verdict,
   CASE WHEN {_SECOND} THEN CASE WHEN {_SAME} THEN {_v("v")} ELSE {_v("v2")} END END AS verdict_2, {_g("g")} AS gold,
-  CASE WHEN {_SECOND} THEN CASE WHEN {_SAME} THEN {_g("g")} ELSE {_g("g2")} END END AS gold_2 FROM orders)""".replace("review_id)", "o_orderkey)")
+  CASE WHEN {_SECOND} THEN CASE WHEN {_SAME} THEN {_g("g")} ELSE {_g("g2")} END END AS gold_2 FROM (SELECT o_orderkey AS review_id FROM orders))"""
 
 #: Replacements for frequent words of the documents, and the two of the tests.
 SLANG = {"the": "teh", "and": "n", "und": "u", "die": "d", "les": "l", "que": "q", "of": "o", "in": "inn", "gpp": "tidak apa-apa", "bgt": "banget"}

@@ -1,2 +1,228 @@
-"""placeholder"""
-QUERIES, ORACLES = {}, {}
+"""Queries over predictions and annotations: metrics, tests, resamples, consistency, sampling, agreement."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ratelens.functions.ordinal import sql_qwk
+from ratelens.functions.rng import sql_u
+from ratelens.operators import agreement, confident, significance, splitting
+from ratelens.plans.config import BOOT_SEED, HYPOTHESES, SCENARIOS, WEIGHT_SEEDS
+from ratelens.plans.fixtures import ANNOTATIONS_SQL, EFFECTS_SQL, PREDICTIONS_SQL, SCORED_SQL, annotations, effects, predictions, scored
+from ratelens.plans.q_labels import CL
+from ratelens.plans.registry import Registry
+from ratelens.sources.tables import table
+
+R = Registry(PREDICTIONS_SQL)
+add = R.add
+#: Resamples in the queries; the study's own number is 2000.
+REPS = 100
+NAMES = [s["name"] for s in SCENARIOS]
+
+
+def sql_metrics(y: str, p: str) -> str:
+    return f"round(avg(abs({y} - {p})::DOUBLE), 9) AS mae, round(sqrt(avg((({y} - {p}) * ({y} - {p}))::DOUBLE)), 9) AS rmse, round(avg(({y} = {p})::INT::DOUBLE), 9) AS accuracy, round(avg((abs({y} - {p}) <= 1)::INT::DOUBLE), 9) AS off_by_one, round({sql_qwk(y, p)}, 9) AS qwk"
+
+
+BY_UNIT = f"by_unit AS (SELECT scenario, weight_seed, count(*) AS n, {sql_metrics('y_true', 'y_pred')} FROM predictions GROUP BY 1, 2)"
+add("ordinal_metrics_by_unit", lambda s, d: significance.metrics_by_unit(predictions(s, d)), f"{BY_UNIT} --> SELECT * FROM by_unit")
+M5 = ("mae", "rmse", "accuracy", "off_by_one", "qwk")
+add(
+    "final_results_table",
+    lambda s, d: significance.results_table(predictions(s, d)),
+    f"{BY_UNIT} --> SELECT scenario, count(*) AS n_seeds, " + ", ".join(f"round(avg({m}), 9) AS {m}_mean, round(stddev_pop({m}), 9) AS {m}_std" for m in M5) + " FROM by_unit GROUP BY scenario",
+)
+
+# Wide table and tests
+_u = significance.unit
+_CELLS = ", ".join(f"max(y_pred) FILTER (scenario = '{n}' AND weight_seed = {w}) AS {_u(n, w)}" for n in NAMES for w in WEIGHT_SEEDS)
+_ENS = ", ".join(f"least(greatest(round_even(({' + '.join(_u(n, w) for w in WEIGHT_SEEDS)}) / 3.0::DOUBLE, 0), 1), 5)::INT AS {significance.ensemble(n)}" for n in NAMES)
+_ERR = ", ".join(f"({' + '.join(f'abs({_u(n, w)} - y)' for w in WEIGHT_SEEDS)}) / 3.0::DOUBLE AS {significance.error(n)}" for n in NAMES)
+WIDE = f"w0 AS (SELECT review_id, max(y_true) AS y, {_CELLS} FROM predictions GROUP BY review_id), wide AS (SELECT *, {_ENS}, {_ERR} FROM w0)"
+DIFF = "diff AS (" + " UNION ALL ".join(f"SELECT '{h}' AS hypothesis, round({significance.error(a)} - {significance.error(b)}, 9) AS d FROM wide" for h, a, b in HYPOTHESES) + ")"
+WILCOXON = f"""{WIDE}, {DIFF}, sz AS (SELECT hypothesis, abs(d) AS a, count(*)::DOUBLE AS t, count(*) FILTER (d > 0)::DOUBLE AS up, count(*) FILTER (d = 0)::DOUBLE AS zero FROM diff GROUP BY 1, 2),
+rk AS (SELECT *, sum(t) OVER (PARTITION BY hypothesis ORDER BY a) - t + (t + 1) / 2 AS rank FROM sz),
+sm AS (SELECT hypothesis, sum(t) AS m, sum(up * rank) + sum(zero * rank) / 2 AS r_plus, sum(t * t * t - t) AS ties FROM rk GROUP BY 1)"""
+
+
+def wide(spark, sf):
+    return significance.wide_predictions(predictions(spark, sf))
+
+
+add(
+    "wilcoxon_zsplit_z",
+    lambda s, d: significance.wilcoxon(significance.paired_differences(wide(s, d))),
+    f"{WILCOXON} --> SELECT hypothesis, m::BIGINT AS n, r_plus, round((r_plus - m * (m + 1) / 4) / nullif(sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 0), 9) AS z FROM sm",
+)
+add("significance_test", lambda s, d: significance.significance_table(wide(s, d)))
+HOLM_P = [(h, p) for (h, _, _), p in zip(HYPOTHESES, (0.03, 0.004, 0.2, 0.012, 0.9), strict=True)]
+add(
+    "holm_adjust",
+    lambda s, d: significance.holm(s.createDataFrame(HOLM_P, "hypothesis string, p double")).select("hypothesis", "p", F.round("p_holm", 9).alias("p_holm"), "significant"),
+    "t(hypothesis, p) AS (VALUES " + ", ".join(f"('{h}', {p}::DOUBLE)" for h, p in HOLM_P) + "), s AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, hypothesis) + 1) * p) AS st FROM t), a AS (SELECT hypothesis, p, max(st) OVER (ORDER BY p, hypothesis ROWS UNBOUNDED PRECEDING) AS h FROM s) --> SELECT hypothesis, p, round(h, 9) AS p_holm, h <= 0.05 AS significant FROM a",
+    "unused AS (SELECT 1)",
+)
+BOOT = f"""{WIDE}, nm AS (SELECT row_number() OVER (ORDER BY review_id) - 1 AS pos, * FROM wide), nn AS (SELECT count(*) AS n FROM wide),
+dr AS (SELECT r.i AS rep, floor({sql_u(str(BOOT_SEED), "r.i", "j.i")} * n)::BIGINT AS pos FROM nn, range({REPS}) r(i), (SELECT unnest(range(n)) AS i FROM nn) j), rs AS (SELECT * FROM dr JOIN nm USING (pos))"""
+
+
+def boot_sql(expression) -> str:
+    """Point estimates and percentile intervals of ``expression(model_a, model_b)``."""
+    cells = ", ".join(f"{expression(a, b)} AS {h}" for h, a, b in HYPOTHESES)
+    names = ", ".join(h for h, _, _ in HYPOTHESES)
+    return f"""{BOOT}, bt AS (SELECT rep, {cells} FROM rs GROUP BY rep), bl AS (UNPIVOT bt ON {names} INTO NAME hypothesis VALUE v), pt AS (SELECT {cells} FROM wide), pl AS (UNPIVOT pt ON {names} INTO NAME hypothesis VALUE diff)
+--> SELECT bl.hypothesis, round(any_value(diff), 9) AS diff, round(quantile_cont(v, 0.025), 9) AS ci_low, round(quantile_cont(v, 0.975), 9) AS ci_high FROM bl JOIN pl ON bl.hypothesis = pl.hypothesis GROUP BY bl.hypothesis"""
+
+
+def _mae(a: str, b: str) -> str:
+    return f"avg({significance.error(a)} - {significance.error(b)})"
+
+
+def _ens(a: str, b: str) -> str:
+    return f"{sql_qwk('y', significance.ensemble(a))} - {sql_qwk('y', significance.ensemble(b))}"
+
+
+def _per(a: str, b: str) -> str:
+    return "(" + " + ".join(f"({sql_qwk('y', _u(a, w))} - {sql_qwk('y', _u(b, w))})" for w in WEIGHT_SEEDS) + ") / 3"
+
+
+add("bootstrap_mae_ci", lambda s, d: significance.mae_effects(wide(s, d), REPS), boot_sql(_mae))
+add("bootstrap_qwk_ensemble", lambda s, d: significance.qwk_ensemble_effects(wide(s, d), REPS), boot_sql(_ens))
+add("bootstrap_qwk_per_seed", lambda s, d: significance.qwk_per_seed_effects(wide(s, d), REPS), boot_sql(_per))
+add("effect_long", lambda s, d: significance.effect_table(wide(s, d), 20, 42))
+VERDICT = """e AS (SELECT hypothesis, metric, CASE WHEN metric = 'MAE' THEN -diff ELSE diff END AS e, CASE WHEN metric = 'MAE' THEN -ci_high ELSE ci_low END AS lo, CASE WHEN metric = 'MAE' THEN -ci_low ELSE ci_high END AS hi FROM effects),
+f AS (SELECT *, CASE WHEN e > 0 THEN 'A' WHEN e < 0 THEN 'B' ELSE 'tie' END AS way, lo > 0 OR hi < 0 AS excl FROM e),
+g AS (SELECT hypothesis, metric, count(*) AS n_splits, min(way) = max(way) AND min(way) <> 'tie' AS same_direction, count(*) FILTER (excl) AS n_excluding_zero, min(way) AS way FROM f GROUP BY 1, 2)
+--> SELECT hypothesis, metric, n_splits, same_direction, n_excluding_zero, CASE WHEN n_splits < 3 THEN 'not assessable' WHEN same_direction AND n_excluding_zero >= 2 THEN 'consistent' ELSE 'not consistent' END AS verdict, CASE WHEN same_direction THEN way ELSE 'mixed' END AS direction FROM g"""
+add("consistency_verdict", lambda s, d: significance.consistency(effects(s)), VERDICT, EFFECTS_SQL)
+add(
+    "wilcoxon_pivot",
+    lambda s, d: significance.pivot_by_split(effects(s).where("metric = 'MAE'"), "diff", (42, 123, 2024)),
+    "SELECT hypothesis, " + ", ".join(f"max(diff) FILTER (split_seed = {x}) AS diff_{x}" for x in (42, 123, 2024)) + " FROM effects WHERE metric = 'MAE' GROUP BY hypothesis",
+    EFFECTS_SQL,
+)
+add(
+    "alignment_check",
+    lambda s, d: significance.alignment(predictions(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("review_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("y_true"))),
+    "SELECT scenario, weight_seed, 0::BIGINT AS n_missing, 0::BIGINT AS n_unknown, count(*) FILTER (y_true IS NULL) AS n_other_label FROM predictions GROUP BY 1, 2",
+)
+
+# Training log
+LOG_SQL = f"log AS (SELECT u.i::INT AS unit, e.i::INT AS epoch, {sql_u(repr('q'), 'u.i', 'e.i')} AS qwk, floor({sql_u(repr('m'), 'u.i', 'e.i')} * 8)::INT / 8.0::DOUBLE AS mae FROM range(1, 19) u(i), range(1, 11) e(i))"
+
+
+def training_log(spark):
+    from ratelens.functions.rng import u01
+
+    grid = spark.range(18).select((F.col("id") + 1).cast("int").alias("unit"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("epoch"))
+    return grid.select("unit", "epoch", u01("q", F.col("unit"), F.col("epoch")).alias("qwk"), (F.floor(u01("m", F.col("unit"), F.col("epoch")) * 8).cast("int") / 8.0).alias("mae"))
+
+
+add("best_epoch", lambda s, d: significance.best_epoch(training_log(s)), "SELECT unit, epoch, qwk, mae FROM log QUALIFY row_number() OVER (PARTITION BY unit ORDER BY qwk DESC, mae, epoch) = 1", LOG_SQL)
+add(
+    "early_stop_epoch",
+    lambda s, d: significance.early_stop(training_log(s)),
+    """a AS (SELECT *, mae < coalesce(min(mae) OVER (PARTITION BY unit ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e9) AS better FROM log),
+b AS (SELECT *, count(*) FILTER (better) OVER (PARTITION BY unit ORDER BY epoch) AS run FROM a), c AS (SELECT *, count(*) OVER (PARTITION BY unit, run ORDER BY epoch) - 1 AS streak FROM b)
+--> SELECT unit, coalesce(min(epoch) FILTER (streak >= 3), max(epoch))::INT AS last_epoch FROM c GROUP BY unit""",
+    LOG_SQL,
+)
+
+# Sampling
+N0 = "1.96::DOUBLE * 1.96 * 0.5 * 0.5 / (0.1::DOUBLE * 0.1)"
+
+
+def noisy(spark, sf):
+    return confident.detect(scored(spark, sf)).where("is_noise")
+
+
+def cochran(spark, sf):
+    n0, n = splitting.cochran_columns(F.col("pool"))
+    return noisy(spark, sf).groupBy("rating").agg(F.count("*").alias("pool")).select("rating", "pool", F.round(n0, 6).alias("n0"), n.alias("n"))
+
+
+add("cochran_n", cochran, f"{CL} --> SELECT rating, count(*) AS pool, round({N0}, 6) AS n0, ceil(({N0}) / (1 + (({N0}) - 1) / count(*)))::BIGINT AS n FROM de WHERE is_noise GROUP BY rating", SCORED_SQL)
+PLAN = """po AS (SELECT b.i::INT AS bin, count(de.review_id) AS pool FROM range(1, 5) b(i) LEFT JOIN (SELECT * FROM de WHERE is_noise) de ON least(de.rating_diff, 4) = b.i GROUP BY 1),
+wa AS (SELECT *, CASE WHEN bin > 1 THEN 15 ELSE greatest(100 - (sum(least(15, pool)) FILTER (bin > 1) OVER ()), 0) END::BIGINT AS wanted FROM po),
+pl AS (SELECT bin, pool, least(wanted, pool) AS take, greatest(wanted - pool, 0) AS shortfall FROM wa)"""
+add("allocation_plan", lambda s, d: splitting.allocation_plan(noisy(s, d)), f"{CL}, {PLAN} --> SELECT * FROM pl", SCORED_SQL)
+add(
+    "human_sample",
+    lambda s, d: splitting.human_sample(noisy(s, d).select("review_id", "rating_diff")).select("review_id", "bin", "draw"),
+    f"""{CL}, {PLAN}, dn AS (SELECT review_id, least(rating_diff, 4)::INT AS bin FROM de WHERE is_noise), dq AS (SELECT review_id, dn.bin, row_number() OVER (PARTITION BY dn.bin ORDER BY md5(concat_ws('|', 42, review_id)), review_id) AS nth, take FROM dn JOIN pl USING (bin))
+--> SELECT review_id, bin, row_number() OVER (ORDER BY md5(concat_ws('|', 43, review_id)), review_id)::INT AS draw FROM dq WHERE nth <= take""",
+    SCORED_SQL,
+)
+add(
+    "gold_sample",
+    lambda s, d: splitting.proportional_sample(scored(s, d).select("review_id", "rating"), 97, 42, "rating"),
+    """sz AS (SELECT rating, count(*) AS n FROM scored GROUP BY 1), ex AS (SELECT rating, 97.0::DOUBLE * n / sum(n) OVER () AS e FROM sz), ba AS (SELECT *, floor(e) AS b FROM ex),
+qt AS (SELECT rating, (b + (row_number() OVER (ORDER BY round(e - b, 9) DESC, rating) <= 97 - sum(b) OVER ())::INT)::BIGINT AS quota FROM ba)
+--> SELECT review_id, scored.rating FROM scored JOIN qt USING (rating) QUALIFY row_number() OVER (PARTITION BY scored.rating ORDER BY md5(concat_ws('|', 42, review_id)), review_id) <= any_value(quota) OVER (PARTITION BY scored.rating)""",
+    SCORED_SQL,
+)
+add(
+    "second_annotator_subset",
+    lambda s, d: splitting.exact_sample(splitting.human_sample(noisy(s, d).select("review_id", "rating_diff")).select("review_id"), splitting.subset_size(100, 0.3), 99),
+    f"""{CL}, {PLAN}, dn AS (SELECT review_id, least(rating_diff, 4)::INT AS bin FROM de WHERE is_noise), dq AS (SELECT review_id, row_number() OVER (PARTITION BY dn.bin ORDER BY md5(concat_ws('|', 42, review_id)), review_id) AS nth, take FROM dn JOIN pl USING (bin))
+--> SELECT review_id FROM dq WHERE nth <= take QUALIFY row_number() OVER (ORDER BY md5(concat_ws('|', 99, review_id)), review_id) <= 30""",
+    SCORED_SQL,
+)
+
+# Agreement
+V = agreement.VERDICTS
+add(
+    "agreement_summary",
+    lambda s, d: agreement.agreement_summary(annotations(s, d)),
+    "SELECT count(verdict) AS n, " + ", ".join(f"count(*) FILTER (verdict = '{v}') AS n_{v}" for v in V) + ", round(count(*) FILTER (verdict = 'noise') / count(verdict)::DOUBLE, 6) AS agreement FROM annotations",
+    ANNOTATIONS_SQL,
+)
+add(
+    "agreement_by_distance",
+    lambda s, d: agreement.agreement_by_distance(annotations(s, d)),
+    "SELECT rating_diff, count(*) AS n, " + ", ".join(f"round(100.0::DOUBLE * count(*) FILTER (verdict = '{v}') / count(*), 6) AS pct_{v}" for v in V) + " FROM annotations GROUP BY rating_diff",
+    ANNOTATIONS_SQL,
+)
+add(
+    "cohen_kappa",
+    lambda s, d: agreement.cohen_kappa(annotations(s, d), "verdict", "verdict_2"),
+    """pr AS (SELECT verdict AS a, verdict_2 AS b FROM annotations WHERE verdict_2 IS NOT NULL), ag AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (a = b) / count(*)::DOUBLE AS po FROM pr),
+ch AS (SELECT sum((SELECT count(*) FROM pr WHERE a = v) * (SELECT count(*) FROM pr WHERE b = v))::DOUBLE AS c FROM (VALUES ('noise'), ('not_noise'), ('ambiguous')) t(v))
+--> SELECT n::BIGINT AS n, round(po, 9) AS observed, round((po - c / (n * n)) / nullif(1 - c / (n * n), 0), 9) AS kappa FROM ag, ch""",
+    ANNOTATIONS_SQL,
+)
+add(
+    "quadratic_kappa",
+    lambda s, d: agreement.gold_kappa(annotations(s, d)),
+    f"pr AS (SELECT gold::INT AS a, gold_2::INT AS b FROM annotations WHERE gold <> 'ND' AND gold_2 <> 'ND') --> SELECT count(*) AS n, round({sql_qwk('a', 'b')}, 9) AS kappa FROM pr",
+    ANNOTATIONS_SQL,
+)
+add(
+    "gold_undetermined",
+    lambda s, d: agreement.undetermined_share(annotations(s, d)),
+    "SELECT count(gold) AS n_filled, count(*) FILTER (gold = 'ND') AS n_undetermined, round(count(*) FILTER (gold = 'ND') / count(gold)::DOUBLE, 9) AS share_undetermined FROM annotations",
+    ANNOTATIONS_SQL,
+)
+GOLD = f"gl AS (SELECT review_id, gold::INT AS g FROM annotations WHERE gold <> 'ND'), gu AS (SELECT scenario, weight_seed, count(*) AS n, {sql_metrics('g', 'y_pred')} FROM predictions JOIN gl USING (review_id) GROUP BY 1, 2)"
+add(
+    "gold_evaluation",
+    lambda s, d: agreement.gold_evaluation(predictions(s, d), agreement.gold_labels(annotations(s, d))),
+    f"{GOLD} --> SELECT scenario, max(n) AS n_gold, " + ", ".join(f"round(avg({m}), 9) AS \"{m.upper()}\"" for m in M5) + " FROM gu GROUP BY scenario",
+    PREDICTIONS_SQL,
+    ANNOTATIONS_SQL,
+)
+add(
+    "subset_check",
+    lambda s, d: agreement.unmatched(table(s, d, "labels").select(F.col("doc_id").alias("review_id")), table(s, d, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("review_id"))),
+    "SELECT DISTINCT doc_id::VARCHAR AS review_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)",
+    "unused AS (SELECT 1)",
+)
+add(
+    "label_flags_kappa",
+    lambda s, d: agreement.cohen_kappa(table(s, d, "labels").select(F.col("quality").cast("string").alias("a"), F.col("toxic").cast("string").alias("b")), "a", "b"),
+    """ag AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (quality = toxic) / count(*)::DOUBLE AS po, ((count(*) FILTER (quality = 1)) * (count(*) FILTER (toxic = 1)) + (count(*) FILTER (quality = 0)) * (count(*) FILTER (toxic = 0)))::DOUBLE AS c FROM labels)
+--> SELECT n::BIGINT AS n, round(po, 9) AS observed, round((po - c / (n * n)) / nullif(1 - c / (n * n), 0), 9) AS kappa FROM ag""",
+    "unused AS (SELECT 1)",
+)
+
+QUERIES, ORACLES = R.queries, R.oracles
