@@ -34,8 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; documents left without a word go."""
     cut = remove_passages(docs, find_passages(docs))
-    left = cut.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_chars") == 0))
-    return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    left = cut.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

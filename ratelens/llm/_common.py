@@ -95,27 +95,6 @@ def cleanup(spark: SparkSession) -> int:
     return gone
 
 
-class WordHashes(dict):
-    """Stable 64-bit hashes of words, with a bounded cache."""
-
-    LIMIT = 200_000
-
-    def __init__(self, seed: int = 0) -> None:
-        import xxhash
-
-        super().__init__()
-        self._hash, self._seed = xxhash.xxh3_64_intdigest, seed
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = self._hash(word, self._seed)
-        return value
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        if len(self) > self.LIMIT:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
-
-
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 
@@ -130,6 +109,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_SOLID = np.ones(256, bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+_BYTE_MARKS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Stable 64-bit hashes of all words of the texts in order, and the number of words of each text.
+
+    A word's hash is the mixed sum of a mark of each byte times an odd factor of its place, computed
+    for all bytes at once.
+    """
+    sizes = np.array([len(t or b"") for t in texts], np.int64)
+    raw = b" ".join([t or b"" for t in texts])
+    a = np.frombuffer(raw.translate(ASCII_LOWER) if lower else raw, np.uint8)
+    solid = _SOLID[a]
+    if not solid.any():
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    starts = np.flatnonzero(first)
+    dense = a[solid]
+    at = np.flatnonzero(first[solid])
+    lengths = np.diff(np.append(at, len(dense)))
+    places = mix64(np.arange(1, int(lengths.max()) + 1, dtype=np.uint64)) | np.uint64(1)
+    terms = _BYTE_MARKS[dense]
+    terms *= places[np.arange(len(dense)) - np.repeat(at, lengths)]
+    ends = np.cumsum(sizes + 1)
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    return mix64(np.add.reduceat(terms, at) + lengths.astype(np.uint64)), counts
+
+
 def gram_hashes(word_hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words, in order; empty if there are fewer words."""
     n = len(word_hashes) - size + 1
@@ -162,7 +172,7 @@ def runs(values: Iterable[T], limit: int = 1_000_000) -> Iterable[tuple[int, lis
 
 
 #: Key sets of at most this many rows (tens of MB) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 2_000_000
 
 
 def keys_for_join(keys: DataFrame, n: int | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import ASCII_LOWER, WORD_BYTES, WordHashes, keys_for_join, materialize, mix64, release, runs, shingle_set, table
+from ratelens.llm._common import hash_words, keys_for_join, materialize, mix64, release, runs, shingle_set, table
 from ratelens.llm.components import components
 
 SKETCH_BITS = 512
@@ -55,8 +55,8 @@ class NearConfig:
         return math.ceil(SKETCH_BITS * share + 5 * math.sqrt(SKETCH_BITS * share * (1 - share)) / 2)
 
 
-def shingles(text: bytes | None, hashes: WordHashes, size: int) -> np.ndarray:
-    return shingle_set(hashes.of(WORD_BYTES.findall(text.translate(ASCII_LOWER))), size) if text else np.empty(0, np.uint64)
+def shingles(text: bytes | None, size: int) -> np.ndarray:
+    return shingle_set(hash_words([text], lower=True)[0], size)
 
 
 def signatures(sets: list[np.ndarray], config: NearConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,10 +95,9 @@ def _featurer(config: NearConfig):
         return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(matrix.view(np.int64).ravel()))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for first, texts in runs(x.as_py() for x in batch.column(1)):
-                sets = [shingles(t, hashes, config.shingle) for t in texts]
+                sets = [shingles(t, config.shingle) for t in texts]
                 ids = batch.column(0).slice(first, len(texts))
                 full = np.array([bool(len(s)) for s in sets])
                 sizes = pa.array([len(s) for s in sets], pa.int64())
@@ -111,7 +110,6 @@ def _featurer(config: NearConfig):
                 else:
                     columns = [pa.nulls(len(sets), pa.int64())] * 2 + [pa.nulls(len(sets), pa.list_(pa.int64()))] * 2
                 yield pa.RecordBatch.from_arrays([ids, sizes, *columns], names)
-        hashes.clear()
         release()
 
     return features
@@ -119,19 +117,17 @@ def _featurer(config: NearConfig):
 
 def _verifier(config: NearConfig):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
             linked = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 text = a.as_py()
                 if text != last[0]:  # rows of one centre arrive together
-                    last = (text, shingles(text, hashes, config.shingle))
-                other = shingles(b.as_py(), hashes, config.shingle)
+                    last = (text, shingles(text, config.shingle))
+                other = shingles(b.as_py(), config.shingle)
                 common = len(np.intersect1d(last[1], other, assume_unique=True))
                 linked.append(100 * common >= config.percent * (len(last[1]) + len(other) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-        hashes.clear()
         release()
 
     return verify
@@ -304,11 +300,9 @@ def _lister(config: NearConfig):
     """The sorted shingle set of each text as one binary value."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [shingles(t.as_py(), hashes, config.shingle).tobytes() for t in batch.column(1)]
+            found = [shingles(t.as_py(), config.shingle).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "grams"])
-        hashes.clear()
         release()
 
     return sets

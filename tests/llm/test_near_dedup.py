@@ -76,3 +76,15 @@ def test_query_matches_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op5_near_dedup(spark, sf).collect()}
     assert got == brute(docs, 3, 85)
+
+
+def test_word_hashes_tell_words_apart():
+    from ratelens.llm._common import hash_words
+
+    texts = [b"one two\tone", None, b"", b"  ", "é É ab ba a b aa".encode(), b"x" * 5000 + b" y", b"tail"]
+    hashes, counts = hash_words(texts)
+    words = [w for t in texts for w in WORD_BYTES.findall(t or b"")]
+    assert counts.tolist() == [len(WORD_BYTES.findall(t or b"")) for t in texts]
+    assert len(set(hashes.tolist())) == len(set(words)) and len({*zip(words, hashes.tolist())}) == len(set(words))
+    assert hash_words([b"ABC \xc3\x89"], lower=True)[0].tolist() == hash_words([b"abc \xc3\x89"])[0].tolist()
+    assert hash_words([b"two"])[0][0] == hashes[1]
