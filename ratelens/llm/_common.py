@@ -25,9 +25,8 @@ ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 T = TypeVar("T", str | None, bytes | None)
 
-BATCH_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows in a batch between the JVM and Python while tables are written; whole texts are large rows.
-MOST_RECORDS = 1000
+#: Bound of a batch between the JVM and Python. Whole texts are large rows: a count of rows would bound nothing.
+BATCH_BYTES = "4m"
 
 _made: list[tuple[str, str]] = []
 
@@ -52,6 +51,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on at most ``BATCH_BYTES`` of this session's rows go to Python at once (or one row)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/ratelens-{name}-{uuid.uuid4().hex}"
     _made.append((spark.sparkContext.applicationId, path))
@@ -64,13 +68,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage and survives a lost executor, as the files belong to no executor.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
-    records = spark.conf.get(BATCH_RECORDS)
-    spark.conf.set(BATCH_RECORDS, str(min(int(records) if int(records) > 0 else MOST_RECORDS, MOST_RECORDS)))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_RECORDS, records)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

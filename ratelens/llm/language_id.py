@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import ASCII_LOWER, table
+from ratelens.llm._common import ASCII_LOWER, small_batches, table
 from ratelens.llm.sampling import held_out, sample_ids
 
 #: Families of language codes. A code that isn't listed is a family of its own.
@@ -173,6 +173,7 @@ def predict_languages(docs: DataFrame, model: HierarchicalModel | None) -> DataF
     Null texts and texts without a letter are ``und`` with score 0, as is every text if no model could
     be fitted. Repeated rows are predicted alike; a null id counts as not held out.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import WORD_BYTES, runs, table
+from ratelens.llm._common import WORD_BYTES, runs, small_batches, table
 from ratelens.llm.sampling import held_out, sample_ids
 
 #: Documents that the field is fitted on, spread evenly over both labels.
@@ -249,6 +249,7 @@ def score_quality(docs: DataFrame, field: LineField | None) -> DataFrame:
     Null texts are scored as empty ones (a single empty line); without a model every score is 0.5.
     Repeated rows are scored alike; a null id counts as not held out.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(_scorer(field), "doc_id long, held_out boolean, score double, predicted int")
 

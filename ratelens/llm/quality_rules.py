@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelens.llm._common import WORD, table
+from ratelens.llm._common import WORD, release, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -103,6 +103,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [measure_text(x.as_py()) for x in batch.column(1)]
         columns = zip(*rows, strict=True) if rows else ([] for _ in MEASURES)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names)
+    release()
 
 
 def failure_bits() -> Column:
@@ -119,6 +120,7 @@ def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts have zero measurements and fail ``few_words``; repeated ids keep one row each; an empty
     table gives an empty ledger. Texts are read whole, one at a time; no shuffle takes place.
     """
+    small_batches(docs.sparkSession)
     kind = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {kind.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
     return kind.mapInArrow(_measure, schema).withColumn("failed_bits", failure_bits())
@@ -138,12 +140,14 @@ def _measure_rows(at: int):
             columns = zip(*rows, strict=True) if rows else ([] for _ in MEASURES)
             names = [f"c{i}" for i in range(batch.num_columns)] + list(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names)
+        release()
 
     return measure
 
 
 def keep_by_rules(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their own columns; no shuffle takes place."""
+    small_batches(docs.sparkSession)
     fields = docs.schema.fields
     numbered = docs.toDF(*(f"c{i}" for i in range(len(fields))))
     schema = T.StructType([*numbered.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
