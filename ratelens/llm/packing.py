@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import WORD, materialize, runs, table
+from ratelens.llm._common import WORD, materialize, release, runs, table
 
 CAPACITY, UNIT, DEPTH, EOS = 4096, 16, 3, 2
 #: Offsets (a row for each length unit and partition) are broadcast up to this many rows, else joined by a shuffle.
@@ -46,7 +46,7 @@ class TokenIds:
     the cache is full are encoded but not kept.
     """
 
-    LIMIT = 800_000
+    LIMIT = 450_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -139,6 +139,7 @@ def _cutter(path: str, capacity: int, unit: int, eos: int, with_ids: bool):
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * with_ids
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(origin, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", *names])
+        release()
 
     return cut
 
