@@ -165,6 +165,37 @@ def test_rounds_reach_passages_behind_other_owners(spark):
     assert all(not got[i].spans for i in range(30)) and all([(s.begin, s.end) for s in got[100 + i].spans] == [(60, 120)] for i in range(1, 5))
 
 
+def brute_windows(member, owner, config):
+    sets = [[set(x[i : i + config.window].tolist()) for i in range(len(x) - config.window + 1)] for x in (member, owner)]
+    return [any(100 * len(a & b) >= config.percent * len(a | b) for b in sets[1]) for a in sets[0]]
+
+
+def test_windows_are_verified_as_sets():
+    config = substring_dedup.PassageConfig()
+    grams = lambda words: substring_dedup.gram_hashes(substring_dedup.mix64(np.array(words, np.uint64)), config.shingle)
+    words = list(range(1000, 1050))
+    assert substring_dedup.matching_spans(grams(words[25:] + words[:25]), grams([*range(40), *words, *range(60, 90)]), [(0, 0)], config) == [(0, 50)]
+    rng = np.random.default_rng(3)
+    found = 0
+    for vocabulary in [4, 40, 2000] * 30:
+        owner = rng.integers(0, vocabulary, 160).tolist()
+        a, k = int(rng.integers(0, 90)), int(rng.integers(0, 60))
+        passage = owner[a : a + 60]
+        passage = passage[k:] + passage[:k]
+        passage[int(rng.integers(0, 60))] = 99999
+        member, other = grams([*rng.integers(5000, 5020, 20), *passage, *rng.integers(5000, 5020, 20)]), grams(owner)
+        good, size = np.zeros(len(member) - config.window + 1, bool), substring_dedup._set_sizes(member, config.window)[1]
+        substring_dedup._match_sets(member, other, ~good, size, good, np.zeros(len(member), bool), config)
+        expected = brute_windows(member, other, config)
+        assert good.tolist() == expected
+        covered = np.zeros(len(member) + 4, bool)
+        for begin, end in substring_dedup.matching_spans(member, other, [(0, len(good) - 1)], config):
+            covered[begin:end] = True
+        assert all(covered[s + 10 : s + 40].all() for s in np.flatnonzero(expected))
+        found += sum(expected)
+    assert found > 100
+
+
 def test_removal(spark):
     assert substring_dedup.remove_words("a  b c\né f", [(1, 3)]) == "a  \né f"
     assert substring_dedup.remove_words("a b", [(0, 2)]) == "" and substring_dedup.remove_words("a b", []) == "a b"
