@@ -196,6 +196,33 @@ def test_windows_are_verified_as_sets():
     assert found > 100
 
 
+def test_near_passages_behind_a_common_line_against_brute_force(spark, monkeypatch):
+    """Smaller unrelated documents own the signatures that two near-duplicates share."""
+    monkeypatch.setattr(substring_dedup, "TILE_SHINGLES", 400)
+    config = substring_dedup.PassageConfig()
+    rng = random.Random(10)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line = text(34)
+    docs = [(i, text(40) + line + text(40)) for i in range(40)]
+    for i in range(40):
+        p = text(8) + line + text(8)
+        docs.append((100 + i, text(45) + p + text(45)))
+        p[4] = "edit"
+        docs.append((200 + i, text(45) + p + text(45)))
+    got = passages(spark, [(k, " ".join(w)) for k, w in docs])
+    hashes = {k: substring_dedup.hash_words([" ".join(w).encode()])[0] for k, w in docs}
+    keys = {k: substring_dedup.compact_windows(h, np.array([len(h)]), config) for k, h in hashes.items()}
+    grams = {k: substring_dedup.gram_hashes(h, config.shingle) for k, h in hashes.items()}
+    expected = set()
+    for i in range(40):
+        a, b = 100 + i, 200 + i
+        good = brute_windows(grams[b], grams[a], config)
+        shared = [good[s] for k, lo, hi in zip(keys[b][0], keys[b][2], keys[b][3]) if k in set(keys[a][0]) for s in range(lo, hi + 1)]
+        expected |= {b} if any(shared) else set()
+    assert {k for k, r in got.items() if r.spans} == expected and len(expected) >= 30
+    assert all(got[k].class_id == k - 100 for k in expected) and all(not got[k].spans for k in range(40))
+
+
 def test_removal(spark):
     assert substring_dedup.remove_words("a  b c\né f", [(1, 3)]) == "a  \né f"
     assert substring_dedup.remove_words("a b", [(0, 2)]) == "" and substring_dedup.remove_words("a b", []) == "a b"
