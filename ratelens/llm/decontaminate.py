@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions alone.
 
-Windows of a document have as many words as a benchmark item and begin where one of its shingles
-places that item; a window without any shingle of the benchmark has similarity 0 and needs no
-fingerprint. Windows and items of a size meet through a multi-index: the 64 bits are cut into eight
+Windows of a document have as many words as a benchmark item. All windows get a fingerprint but those
+with too few shingles that occur in any item of that size: they can't reach the similarity, in whatever
+order the shingles stand. Windows and items of a size meet through a multi-index: the 64 bits are cut into eight
 blocks, and two fingerprints within ``RADIUS`` bits must agree in one block up to ``BLOCK_RADIUS``
 bits, so joining on every block with all its near variants of the items finds all of them. Candidates
 within the radius are verified by the exact weighted similarity of their shingles.
@@ -71,7 +71,8 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
 
     Words are runs without ASCII white space of the lower-cased text, shingles have five words and
     weigh as often as they occur; similarity is the sum of the smaller weights over that of the larger,
-    ``start`` the first word of the best window (the first of equal ones). A document shorter than an
+    ``start`` the first word of the best window (of equal ones the first that one of its shingles places
+    where it stands in an item, else the first). A document shorter than an
     item is one window. Items of fewer than five words are too short to tell and match nothing, as do
     null and empty texts on either side and rows without an id. Repeated rows count once; an empty
     table gives no rows.
@@ -88,19 +89,28 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     spots = cut.select("doc_id", "len", F.posexplode_outer("grams").alias("p", "g"))
     hits = spots.join(F.broadcast(places) if total <= BROADCAST_GRAMS else places, "g")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("len") - F.col("n")))
-    found = materialize(hits.select("doc_id", "n", start.alias("start")).distinct(), "windows")
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("n", "start")).alias("windows"))  # bounded by the text
+    sized = hits.groupBy("doc_id", "len", "n").agg(F.sort_array(F.collect_set("p")).alias("at"), F.collect_set(start).alias("placed"))  # bounded by the text
+    width = F.least("len", "n") - (SHINGLE - 1)
+    fewest = F.ceil(percent * (width + F.col("n") - (SHINGLE - 1)) / (100 + percent)).cast("int")
+    sized = sized.select("doc_id", "len", "n", "at", "placed", width.alias("width"), fewest.alias("fewest")).where(F.size("at") >= F.col("fewest"))
+    # A window holds the i-th hit and the ``fewest`` - 1 after it if it begins in this range.
+    ranges = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("fewest")), lambda i: F.struct((F.get("at", i + F.col("fewest") - 1) - F.col("width") + 1).alias("lo"), F.get("at", i).alias("hi")))
+    last = F.greatest(F.lit(0), F.col("len") - F.col("n"))
+    starts = F.transform(F.filter(ranges, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(F.greatest(F.lit(0), r["lo"]), F.least(r["hi"], last)))
+    found = sized.select("doc_id", "n", "placed", F.explode(F.array_distinct(F.flatten(starts))).alias("start"))
+    found = materialize(found.select("doc_id", "n", "start", F.array_contains("placed", F.col("start")).alias("placed")), "windows")
+    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("n", "start", "placed")).alias("windows"))  # bounded by the text
     ids = materialize(found.select("doc_id").distinct(), "ids")
     own = materialize(texts.join(keys_for_join(ids), "doc_id", "left_semi"), "texts")
     filled = own.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", grams("w").alias("grams")).join(per_doc, "doc_id")
-    each = filled.select("doc_id", "grams", F.explode("windows").alias("window")).select("doc_id", "window.n", "window.start", "grams")
-    sliced = each.select("doc_id", "n", "start", F.slice("grams", F.col("start") + 1, F.col("n") - (SHINGLE - 1)).alias("window_grams"))
+    each = filled.select("doc_id", "grams", F.explode("windows").alias("window")).select("doc_id", "window.n", "window.start", "window.placed", "grams")
+    sliced = each.select("doc_id", "n", "start", "placed", F.slice("grams", F.col("start") + 1, F.col("n") - (SHINGLE - 1)).alias("window_grams"))
     marked = sliced.withColumn("mark", simhash("window_grams"))
 
     masks = F.array(*(F.lit(m).cast("long") for m in _variants()))
     index = listed.select("item_id", "n", "item_grams", "item_mark", F.explode(blocks("item_mark")).alias("block"))
     index = index.select("item_id", "n", "item_grams", "item_mark", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("block")))).alias("block")).distinct()
-    probes = materialize(marked, "marked").select("doc_id", "n", "start", "window_grams", "mark", F.explode(blocks("mark")).alias("block"))
+    probes = materialize(marked, "marked").select("doc_id", "n", "start", "placed", "window_grams", "mark", F.explode(blocks("mark")).alias("block"))
     size = len(_variants()) * BLOCKS * listed.count()
     near = probes.join(F.broadcast(index) if size <= BROADCAST_GRAMS // 4 else index, ["n", "block"])
     near = near.where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS)
@@ -109,11 +119,11 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     first = F.coalesce(*(F.when(a, F.lit(b)) for b, a in enumerate(agree)))
     near = near.where(F.shiftright("block", BLOCK_BITS) == first)
     both = F.size("window_grams") + F.size("item_grams")
-    scored = near.select("doc_id", "item_id", "start", common_weight("window_grams", "item_grams").alias("common"), both.alias("both"))
+    scored = near.select("doc_id", "item_id", "start", "placed", common_weight("window_grams", "item_grams").alias("common"), both.alias("both"))
     matched = scored.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common")))
     similarity = F.col("common") / (F.col("both") - F.col("common"))
-    best = matched.select("doc_id", "item_id", similarity.alias("similarity"), F.col("start").cast("long").alias("start"))
-    best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    best = matched.select("doc_id", "item_id", similarity.alias("similarity"), F.col("start").cast("long").alias("start"), "placed")
+    best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "placed", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.back")).alias("start"))
 
 

@@ -126,3 +126,19 @@ def test_contamination_of_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.contaminated(docs, items).isEmpty()
     assert decontaminate.contaminated(docs.union(spark.createDataFrame([(1, "a b c d e f")], docs.schema)), items.where("false")).isEmpty()
+
+
+def test_swapped_halves_of_an_item(spark):
+    """The shingles place the item at other windows than the one that holds most of them."""
+    item = [f"i{k}" for k in range(44)]
+    texts = [(1, ["a"] * 30 + item[22:] + item[:22] + ["b"] * 30), (2, item[22:] + item[:22]), (3, ["c"] * 50 + item + ["d"]), (4, ["e"] * 60 + item[:30] + ["f"] * 60)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    expected = {}
+    for k, t in texts:
+        own = [(len(x & shingles(item)) / len(x | shingles(item)), -s) for s in range(len(t) - 43) for x in [shingles(t[s : s + 44])]]
+        if max(own)[0] >= 0.8:
+            expected[k] = (round(max(own)[0], 6), -max(own)[1])
+    got = {r.doc_id: (r.similarity, r.start) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == expected and set(got) == {1, 2, 3}
