@@ -13,7 +13,8 @@ from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -173,10 +174,58 @@ def runs(values: Iterable[T], limit: int = 1_000_000) -> Iterable[tuple[int, lis
 
 #: Key sets of at most this many rows (tens of MB) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: At most this many keys count as hot: each has more than a ``HOT_KEYS``-th of all rows.
+HOT_KEYS, HOT_ROWS = 2_000, 200
 
 
 def keys_for_join(keys: DataFrame, n: int | None = None) -> DataFrame:
     """``keys`` with a broadcast hint if their counted size allows it."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(keys) if (keys.count() if n is None else n) <= BROADCAST_KEYS else keys
+
+
+def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, which has one narrow row a key, without a task for all rows of a hot key.
+
+    ``n`` is the number of rows. A key with more than ``max(HOT_ROWS, n / HOT_KEYS)`` of them is hot, so there are
+    at most ``HOT_KEYS`` hot keys whatever the size of the table: their facts are broadcast, and their rows stay
+    where they are. All others meet by a shuffle. Both tables are read twice, so they should be written ones.
+    """
+    if n <= HOT_ROWS:
+        return rows.join(facts, keys, how)
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max(HOT_ROWS, n // HOT_KEYS)).drop("_rows")
+    hot = materialize(hot, "hot")
+    if hot.isEmpty():
+        return rows.join(facts, keys, how)
+    few = F.broadcast(hot)
+    spread = rows.join(few, keys, "left_semi").join(F.broadcast(facts.join(few, keys, "left_semi")), keys, how)
+    return rows.join(few, keys, "left_anti").join(facts, keys, how).unionByName(spread)
+
+
+def text_hashes(text: Column) -> list[Column]:
+    """``h1, h2``: two hashes of a text, null for a null one."""
+    return [F.when(text.isNotNull(), F.xxhash64(F.lit(seed), text)).alias(name) for name, seed in (("h1", 1), ("h2", 3))]
+
+
+def without_texts(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``gone`` (doc_id, h1, h2: text hashes) doesn't name; nulls are equal to nulls."""
+    keys = ["doc_id", "h1", "h2"]
+    gone = materialize(gone.select(*(F.col(k).alias(f"_gone_{k}") for k in keys)).distinct(), "gone")
+    hashes = text_hashes(F.col("text").cast("string"))
+    marked = docs.withColumns({"_own_doc_id": F.col("doc_id"), "_own_h1": hashes[0], "_own_h2": hashes[1]})
+    same = [F.col(f"_own_{k}").eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
+    return marked.join(keys_for_join(gone), same, "left_anti").select(*docs.columns)
+
+
+#: Surrogates of texts whose id another text has as well begin here, beyond all ids.
+SURROGATE = 1 << 62
+
+
+def surrogates(marks: DataFrame) -> DataFrame:
+    """``doc_id, h1, node`` for texts (doc_id, h1: a hash of the text) that share their id with a different one.
+
+    The text of the smallest hash keeps the id as its node, the others get a node of their own, so that
+    operators on pairs never mix up two texts. Usually an empty table.
+    """
+    several = marks.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high")
+    rows = marks.select("doc_id", "h1").join(several.select("doc_id", "low"), "doc_id").where("h1 <> low").distinct()
+    return rows.withColumn("node", F.lit(SURROGATE) + F.shiftrightunsigned(F.xxhash64("doc_id", "h1"), 2))

@@ -5,42 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import materialize
+from ratelens.llm._common import materialize, split_join
 
 #: Alternating stars need O(log^2 n) rounds; far more than that means the edges change while being read.
 MAX_ROUNDS = 200
+#: Steps of smaller tables are computed again where they are used twice, larger ones written.
+WRITTEN = 5_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _stored(df: DataFrame, name: str, n: int) -> DataFrame:
+    return materialize(df, name) if n > WRITTEN else df
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Larger neighbours of a node go to the least node near it; they stay where that is the node itself."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = _stored(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a"), "low", n)
+    moved = split_join(both.where("b > a"), low, ["a"], n, "left")
+    return moved.select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    down = _stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "down", n)
+    low = _stored(down.groupBy("a").agg(F.min("b").alias("m")), "low", n)
+    moved = split_join(down, low, ["a"], n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b")))
 
 
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges, and whether they are stars: each node has one smaller one, which has none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    ups = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    bad = (F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("least") == 0))
+    row = ups.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.count_if(bad)).first()
+    return row[0], not row[1]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of ``edges`` (a, b): comp is the smallest node it can reach.
 
-    Alternating large and small stars; minima are partial aggregates and hubs meet their neighbours
-    in a join that can be split, so a node with very many edges needs no task of its own. Loops and
+    Alternating large and small stars; minima are partial aggregates, and a hub's edges meet its minimum
+    by a broadcast of the few hubs, so a node with very many edges needs no task of its own. Loops and
     repeated edges don't matter; an empty table gives no rows. Every round is written to the shared
     folder.
     """
-    edges = materialize(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "edges")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    before = None
+    down = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    edges = materialize(down.distinct(), "edges")
     for _ in range(MAX_ROUNDS):
-        mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == before or not mark[0]:
+        n, stars = _state(edges)
+        if stars:
             break
-        before = mark
-        edges = materialize(_small_star(_large_star(edges).where("a <> b").distinct()).where("a <> b").distinct(), "edges")
+        edges = materialize(_small_star(_large_star(edges, n), n).where("a <> b").distinct(), "edges")
     else:
         raise RuntimeError("components didn't settle")
-    return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("comp")), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct())

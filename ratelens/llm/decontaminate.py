@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions alone.
 
-Windows of a document have as many words as a benchmark item. All windows get a fingerprint but those
-with too few shingles that occur in any item of that size: they can't reach the similarity, in whatever
-order the shingles stand. Windows and items of a size meet through a multi-index: the 64 bits are cut into eight
+A window of a document has as many words as a benchmark item. Windows that hold too few of the shingles of
+all items of that size can't reach the similarity, in whatever order the shingles stand; all others get a fingerprint.
+Windows and items of a size meet through a multi-index: the 64 bits are cut into five
 blocks, and two fingerprints within ``RADIUS`` bits must agree in one block up to ``BLOCK_RADIUS``
 bits, so joining on every block with all its near variants of the items finds all of them. Candidates
 within the radius are verified by the exact weighted similarity of their shingles.
@@ -15,13 +15,13 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import WORD_SQL, keys_for_join, materialize, table
+from ratelens.llm._common import WORD_SQL, keys_for_join, materialize, table, text_hashes
 
 SHINGLE, PERCENT = 5, 80
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
-#: Two sets of similarity 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9.
-RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-#: Items of at most this many shingles in all are broadcast, with their places.
+BLOCK_BITS, BLOCK_RADIUS = (13, 13, 13, 13, 12), 3
+#: Two sets of similarity 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9; of unrelated ones one pair in 1200 is within 19.
+RADIUS = len(BLOCK_BITS) * (BLOCK_RADIUS + 1) - 1
+#: Items of at most this many shingles in all are broadcast, with their places, and so is an index of at most this many entries.
 BROADCAST_GRAMS = 500_000
 
 
@@ -36,22 +36,33 @@ def grams(of: str) -> Column:
     return F.when(F.size(of) >= SHINGLE, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(of: str) -> Column:
+def simhash(of: Column) -> Column:
     """Bit b is set if more than half of the shingles have it; repeated shingles count as often."""
     masks = F.array(*(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)))
-    half = F.size(of)
-    marked = F.transform(masks, lambda m: F.when(2 * F.size(F.filter(F.col(of), lambda g: g.bitwiseAND(m) != 0)) > half, m).otherwise(F.lit(0).cast("long")))
+    marked = F.transform(masks, lambda m: F.when(2 * F.size(F.filter(of, lambda g: g.bitwiseAND(m) != 0)) > F.size(of), m).otherwise(F.lit(0).cast("long")))
     return F.aggregate(marked, F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(m))
 
 
+def block(of: str, b: int) -> Column:
+    return F.shiftrightunsigned(F.col(of), sum(BLOCK_BITS[:b])).bitwiseAND(F.lit((1 << BLOCK_BITS[b]) - 1))
+
+
 def blocks(of: str) -> Column:
-    values = [F.shiftrightunsigned(F.col(of), BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) + F.lit(b << BLOCK_BITS) for b in range(BLOCKS)]
-    return F.array(*values)
+    """``b, value`` of every block."""
+    return F.array(*(F.struct(F.lit(b).alias("b"), block(of, b).alias("value")) for b in range(len(BLOCK_BITS))))
+
+
+def near_blocks(of: str) -> Column:
+    """The same with all values at most ``BLOCK_RADIUS`` bits away."""
+
+    def masks(bits: int) -> list[int]:
+        return [sum(1 << b for b in at) for n in range(BLOCK_RADIUS + 1) for at in itertools.combinations(range(bits), n)]
 
+    def around(b: int) -> Column:
+        flips = F.from_json(F.lit(str(masks(BLOCK_BITS[b]))), "array<bigint>")
+        return F.transform(flips, lambda m: F.struct(F.lit(b).alias("b"), m.bitwiseXOR(block(of, b)).alias("value")))
 
-def _variants() -> list[int]:
-    """Fixed for a block: all masks of at most ``BLOCK_RADIUS`` bits."""
-    return [sum(1 << b for b in bits) for n in range(BLOCK_RADIUS + 1) for bits in itertools.combinations(range(BLOCK_BITS), n)]
+    return F.flatten(F.array(*(around(b) for b in range(len(BLOCK_BITS)))))
 
 
 def common_weight(x: str, y: str) -> Column:
@@ -74,79 +85,87 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     ``start`` the first word of the best window (of equal ones the first that one of its shingles places
     where it stands in an item, else the first). A document shorter than an
     item is one window. Items of fewer than five words are too short to tell and match nothing, as do
-    null and empty texts on either side and rows without an id. Repeated rows count once; an empty
-    table gives no rows.
+    null and empty texts on either side and rows without an id. Repeated rows count once, and of different texts under one
+    id the best match; an empty table gives no rows. Other columns are ignored. Texts are read whole; a row holds a few arrays
+    of a text's words, whatever its length, and its fingerprinted windows with the shingles of each.
     """
+    best = matched_texts(docs, items, percent).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    return best.select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.back")).alias("start"))
+
+
+def matched_texts(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, h1, h2, item_id, best`` for every text (told by its id and hashes) and item that some window matches."""
     listed = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).distinct()
     listed = listed.select("item_id", F.size("w").alias("n"), grams("w").alias("item_grams")).where(F.col("n") >= SHINGLE)
-    listed = materialize(listed.withColumn("item_mark", simhash("item_grams")), "items")
+    listed = materialize(listed.withColumn("item_mark", simhash(F.col("item_grams"))), "items")
     places = listed.select("n", F.posexplode("item_grams").alias("o", "g")).distinct()
     total = places.count()
 
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("len"), grams("w").alias("grams"))
+    text = F.col("text").cast("string")
+    key = ["doc_id", "h1", "h2"]
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), *text_hashes(text), text.alias("text"))
+    cut = texts.select(*key, words(F.col("text")).alias("w")).select(*key, F.size("w").alias("len"), grams("w").alias("grams"))
     # The outer form, as the filter that is inferred for the other would compute the shingles once more below.
-    spots = cut.select("doc_id", "len", F.posexplode_outer("grams").alias("p", "g"))
+    spots = cut.select(*key, "len", F.posexplode_outer("grams").alias("p", "g"))
     hits = spots.join(F.broadcast(places) if total <= BROADCAST_GRAMS else places, "g")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("len") - F.col("n")))
-    sized = hits.groupBy("doc_id", "len", "n").agg(F.sort_array(F.collect_set("p")).alias("at"), F.collect_set(start).alias("placed"))  # bounded by the text
+    sized = hits.groupBy(*key, "len", "n").agg(F.sort_array(F.collect_set("p")).alias("at"), F.collect_set(start).alias("placed"))  # bounded by the text
     width = F.least("len", "n") - (SHINGLE - 1)
     fewest = F.ceil(percent * (width + F.col("n") - (SHINGLE - 1)) / (100 + percent)).cast("int")
-    sized = sized.select("doc_id", "len", "n", "at", "placed", width.alias("width"), fewest.alias("fewest")).where(F.size("at") >= F.col("fewest"))
+    sized = sized.select(*key, "len", "n", "at", "placed", width.alias("width"), fewest.alias("fewest")).where(F.size("at") >= F.col("fewest"))
     # A window holds the i-th hit and the ``fewest`` - 1 after it if it begins in this range.
     ranges = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("fewest")), lambda i: F.struct((F.get("at", i + F.col("fewest") - 1) - F.col("width") + 1).alias("lo"), F.get("at", i).alias("hi")))
     last = F.greatest(F.lit(0), F.col("len") - F.col("n"))
     starts = F.transform(F.filter(ranges, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(F.greatest(F.lit(0), r["lo"]), F.least(r["hi"], last)))
-    found = sized.select("doc_id", "n", "placed", F.explode(F.array_distinct(F.flatten(starts))).alias("start"))
-    found = materialize(found.select("doc_id", "n", "start", F.array_contains("placed", F.col("start")).alias("placed")), "windows")
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("n", "start", "placed")).alias("windows"))  # bounded by the text
-    ids = materialize(found.select("doc_id").distinct(), "ids")
-    own = materialize(texts.join(keys_for_join(ids), "doc_id", "left_semi"), "texts")
-    filled = own.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", grams("w").alias("grams")).join(per_doc, "doc_id")
-    each = filled.select("doc_id", "grams", F.explode("windows").alias("window")).select("doc_id", "window.n", "window.start", "window.placed", "grams")
-    sliced = each.select("doc_id", "n", "start", "placed", F.slice("grams", F.col("start") + 1, F.col("n") - (SHINGLE - 1)).alias("window_grams"))
-    marked = sliced.withColumn("mark", simhash("window_grams"))
-
-    masks = F.array(*(F.lit(m).cast("long") for m in _variants()))
-    index = listed.select("item_id", "n", "item_grams", "item_mark", F.explode(blocks("item_mark")).alias("block"))
-    index = index.select("item_id", "n", "item_grams", "item_mark", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("block")))).alias("block")).distinct()
-    probes = materialize(marked, "marked").select("doc_id", "n", "start", "placed", "window_grams", "mark", F.explode(blocks("mark")).alias("block"))
-    size = len(_variants()) * BLOCKS * listed.count()
-    near = probes.join(F.broadcast(index) if size <= BROADCAST_GRAMS // 4 else index, ["n", "block"])
+    found = sized.select(*key, "n", "placed", F.array_distinct(F.flatten(starts)).alias("starts")).where(F.size("starts") > 0)
+    windows = F.transform("starts", lambda s: F.struct(F.col("n").alias("n"), s.alias("start"), F.array_contains("placed", s).alias("placed")))
+    found = found.groupBy(*key).agg(F.flatten(F.collect_list(windows)).alias("windows"))  # bounded by the text and the number of sizes
+    found = materialize(found, "windows")
+    own = materialize(texts.join(keys_for_join(found.select(*key)), key, "left_semi").dropDuplicates(key), "texts")
+    filled = own.select(*key, words(F.col("text")).alias("w")).select(*key, grams("w").alias("grams")).join(found, key)
+    sliced = F.transform("windows", lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), x["placed"].alias("placed"), F.slice("grams", x["start"] + 1, x["n"] - (SHINGLE - 1)).alias("window_grams")))
+    each = filled.select(*key, F.explode(sliced).alias("window")).select(*key, "window.*")
+    marked = materialize(each.withColumn("mark", simhash(F.col("window_grams"))), "marked")
+
+    index = listed.select("item_id", "n", "item_mark", F.explode(near_blocks("item_mark")).alias("at")).select("item_id", "n", "item_mark", "at.b", "at.value")
+    probes = marked.select(*key, "n", "start", "mark", F.explode(blocks("mark")).alias("at")).select(*key, "n", "start", "mark", "at.b", "at.value")
+    size = index.count()
+    near = probes.join(F.broadcast(index) if size <= BROADCAST_GRAMS else index, ["n", "b", "value"])
     near = near.where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS)
     # A pair that agrees in several blocks is taken at the first of them.
-    agree = [F.bit_count(F.get(blocks("mark"), F.lit(b)).bitwiseXOR(F.get(blocks("item_mark"), F.lit(b)))) <= BLOCK_RADIUS for b in range(BLOCKS)]
-    first = F.coalesce(*(F.when(a, F.lit(b)) for b, a in enumerate(agree)))
-    near = near.where(F.shiftright("block", BLOCK_BITS) == first)
+    agree = [F.bit_count(block("mark", b).bitwiseXOR(block("item_mark", b))) <= BLOCK_RADIUS for b in range(len(BLOCK_BITS))]
+    near = near.where(F.col("b") == F.coalesce(*(F.when(a, F.lit(b)) for b, a in enumerate(agree)))).select(*key, "n", "start", "item_id")
+    # The items are read once more for their shingles; their size is that of the table of places, counted above.
+    full = listed.select("item_id", "item_grams")
+    near = marked.join(near, [*key, "n", "start"]).join(F.broadcast(full) if total <= BROADCAST_GRAMS else full, "item_id")
     both = F.size("window_grams") + F.size("item_grams")
-    scored = near.select("doc_id", "item_id", "start", "placed", common_weight("window_grams", "item_grams").alias("common"), both.alias("both"))
+    scored = near.select(*key, "item_id", "start", "placed", common_weight("window_grams", "item_grams").alias("common"), both.alias("both"))
     matched = scored.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common")))
     similarity = F.col("common") / (F.col("both") - F.col("common"))
-    best = matched.select("doc_id", "item_id", similarity.alias("similarity"), F.col("start").cast("long").alias("start"), "placed")
-    best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "placed", (-F.col("start")).alias("back"))).alias("best"))
-    return best.select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.back")).alias("start"))
+    best = matched.select(*key, "item_id", F.struct(similarity.alias("similarity"), "placed", (-F.col("start").cast("long")).alias("back")).alias("best"))
+    return best.groupBy(*key, "item_id").agg(F.max("best").alias("best"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: All windows that share a shingle with an item of their size: others have similarity 0.
 OP3_SQL = r"""
 WITH iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 ig AS (SELECT DISTINCT item_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS o, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM iw WHERE len(w) > 4),
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 dg AS (SELECT doc_id, len(w) AS len, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM dw WHERE len(w) > 4),
-pl AS (SELECT DISTINCT n, o, g FROM ig),
-win AS (SELECT DISTINCT doc_id, n, greatest(0, least(p - o, len - n)) AS start FROM dg JOIN pl USING (g)),
-wc AS (SELECT win.doc_id, win.n, win.start, dg.g, count(*) AS c FROM win JOIN dg ON win.doc_id = dg.doc_id AND dg.p BETWEEN win.start AND win.start + win.n - 5 GROUP BY ALL),
-wt AS (SELECT doc_id, n, start, sum(c) AS total FROM wc GROUP BY ALL),
 ic AS (SELECT item_id, n, g, count(*) AS c FROM ig GROUP BY ALL),
 it AS (SELECT item_id, sum(c) AS total FROM ic GROUP BY ALL),
-s AS (SELECT wc.doc_id, wc.n, wc.start, ic.item_id, sum(least(wc.c, ic.c)) AS common FROM wc JOIN ic ON wc.n = ic.n AND wc.g = ic.g GROUP BY ALL),
-m AS (SELECT s.doc_id, s.item_id, s.start, s.common / (wt.total + it.total - s.common)::DOUBLE AS similarity
-  FROM s JOIN wt ON s.doc_id = wt.doc_id AND s.n = wt.n AND s.start = wt.start JOIN it ON s.item_id = it.item_id
-  WHERE 100 * s.common >= 80 * (wt.total + it.total - s.common))
-SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, arg_max(start, (similarity, -start))::BIGINT AS start FROM m GROUP BY doc_id, item_id
+hit AS (SELECT doc_id, len, n, item_id, p, g, c FROM dg JOIN ic USING (g)),
+inw AS (SELECT doc_id, len, n, item_id, g, c, unnest(range(greatest(0, p - n + 5), least(p, greatest(0, len - n)) + 1)) AS start FROM hit),
+wc AS (SELECT doc_id, len, n, item_id, start, g, least(count(*), any_value(c)) AS common FROM inw GROUP BY doc_id, len, n, item_id, start, g),
+s AS (SELECT doc_id, n, item_id, start, any_value(least(len, n) - 4) AS total, sum(common) AS common FROM wc GROUP BY doc_id, n, item_id, start),
+pl AS (SELECT DISTINCT doc_id, n, greatest(0, least(p - o, len - n)) AS start, TRUE AS placed FROM dg JOIN (SELECT DISTINCT n, o, g FROM ig) USING (g)),
+m AS (SELECT s.doc_id, s.item_id, s.start, coalesce(placed, FALSE) AS placed, common / (s.total + it.total - common)::DOUBLE AS similarity
+  FROM s JOIN it USING (item_id) LEFT JOIN pl ON s.doc_id = pl.doc_id AND s.n = pl.n AND s.start = pl.start WHERE 100 * common >= 80 * (s.total + it.total - common))
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, arg_max(start, (similarity, placed, -start))::BIGINT AS start FROM m GROUP BY doc_id, item_id
 """
 
 QUERIES = {"op3_decontaminate": op3_decontaminate}

@@ -171,7 +171,8 @@ def predict_languages(docs: DataFrame, model: HierarchicalModel | None) -> DataF
     """``doc_id, held_out, lang_pred, score`` for every row, from the whole text alone.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if no model could
-    be fitted. Repeated rows are predicted alike; a null id counts as not held out.
+    be fitted. Repeated rows are predicted alike; a null id counts as not held out. Texts of any length are read whole, a
+    batch at a time; other columns are ignored and an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))

@@ -19,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import hash_words, keys_for_join, materialize, mix64, release, runs, shingle_set, table
+from ratelens.llm._common import hash_words, keys_for_join, materialize, mix64, release, runs, shingle_set, split_join, surrogates, table, text_hashes
 from ratelens.llm.components import components
 
 SKETCH_BITS = 512
@@ -88,7 +88,7 @@ def signatures(sets: list[np.ndarray], config: NearConfig) -> tuple[np.ndarray,
 
 
 def _featurer(config: NearConfig):
-    names = ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"]
+    names = ["doc_id", "h1", "h2", "n_shingles", "s1", "s2", "bands", "sketch"]
 
     def lists(matrix: np.ndarray) -> pa.Array:
         n, width = matrix.shape
@@ -98,7 +98,7 @@ def _featurer(config: NearConfig):
         for batch in batches:
             for first, texts in runs(x.as_py() for x in batch.column(1)):
                 sets = [shingles(t, config.shingle) for t in texts]
-                ids = batch.column(0).slice(first, len(texts))
+                ids = [batch.column(k).slice(first, len(texts)) for k in (0, 2, 3)]
                 full = np.array([bool(len(s)) for s in sets])
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 if full.any():
@@ -109,7 +109,7 @@ def _featurer(config: NearConfig):
                     columns = [p.take(at) for p in parts]
                 else:
                     columns = [pa.nulls(len(sets), pa.int64())] * 2 + [pa.nulls(len(sets), pa.list_(pa.int64()))] * 2
-                yield pa.RecordBatch.from_arrays([ids, sizes, *columns], names)
+                yield pa.RecordBatch.from_arrays([*ids, sizes, *columns], names)
         release()
 
     return features
@@ -153,24 +153,44 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct shingles of
     the whole text, or the whole sequence if it has fewer words. Null, empty and blank texts have no
     shingles and are linked with nothing. component_id is the smallest id reachable over links; kept
-    is true for that document. Exact copies share one set and are never paired. Rows with the same id
-    count as one document; rows without an id stand alone and are kept. An empty table gives no rows.
+    is true for that document. Exact copies share one set and are never paired. Rows with the same id and text are one
+    document, different texts under one id are documents of their own; rows without an id stand alone and are kept.
+    An empty table gives no rows. A text of any length is hashed whole, in arrays of its words. Other columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
+    return text_components(docs, config).drop("h1", "h2")
+
+
+def text_components(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
+    """``near_duplicates`` with two hashes of the text, ``h1, h2``, that tell rows of one id apart."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), *text_hashes(text))
+    schema = "doc_id long, h1 long, h2 long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
     found = materialize(texts.mapInArrow(_featurer(config), schema), "features")
-    sets = found.where("doc_id is not null and n_shingles > 0")
-    classes = materialize(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
-    heads = sets.join(classes.select("s1", "s2", F.col("node").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
-    entries = heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    n = found.count()
+    extra = materialize(surrogates(found.where("doc_id is not null and h1 is not null").select("doc_id", "h1")), "surrogates")
+    several = not extra.isEmpty()
+    if several:
+        found = found.join(extra, ["doc_id", "h1"], "left").withColumn("node", F.coalesce("node", "doc_id"))
+        texts = texts.join(keys_for_join(extra), ["doc_id", "h1"], "left").select(F.coalesce("node", "doc_id").alias("doc_id"), "text").distinct()
+    else:
+        found, texts = found.withColumn("node", F.col("doc_id")), texts.select("doc_id", "text")
+    sets = found.where("node is not null and n_shingles > 0")
+    classes = materialize(sets.groupBy("s1", "s2").agg(F.min("node").alias("node")), "classes")
+    heads = sets.join(classes, ["s1", "s2", "node"], "left_semi").select("node", "bands", "sketch")
+    heads = materialize(heads if not several else heads.dropDuplicates(["node"]), "heads")
+    entries = heads.select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("most")).where("first < most").select("key", "first")
-    members = materialize(entries.join(shared, "key").select("key", "node", "first"), "members")
-    sketches = materialize(heads.select(F.col("doc_id").alias("node"), "sketch").join(members.select("node").distinct(), "node", "left_semi"), "sketches")
-    comp = _link(members, sketches, texts, config)
-    nodes = classes.join(comp, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component"))
-    placed = found.join(nodes, ["s1", "s2"], "left")
+    members = materialize(split_join(entries, materialize(shared, "shared"), ["key"], n * config.bands).select("key", "node", "first"), "members")
+    sketches = materialize(heads.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi"), "sketches")
+    comp = materialize(_link(members, sketches, texts, config), "linked")
+    real = classes.join(comp, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component"))
+    if several:  # the least of a component may be a surrogate
+        real = materialize(real, "real")
+        named = found.join(real, ["s1", "s2"]).groupBy("component").agg(F.min("doc_id").alias("least"))
+        real = real.join(named, "component").select("s1", "s2", F.col("least").alias("component"))
+    placed = split_join(found.drop("bands", "sketch", "node"), materialize(real, "placed"), ["s1", "s2"], n, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "h1", "h2")
 
 
 def _link(members: DataFrame, sketches: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
@@ -188,12 +208,19 @@ def _link(members: DataFrame, sketches: DataFrame, texts: DataFrame, config: Nea
     checked = _confirm(best, texts, config)
     comp = materialize(components(checked.where("linked").select("a", "b")), "components")
     rest = _across(close.join(checked, ["a", "b"], "left_anti"), comp)
+    rest = materialize(rest, "rest")
+    if rest.isEmpty():
+        return _closed(members, comp, texts, config)
     checked = _confirm(rest, texts, config)
     star = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
     comp = materialize(components(star.union(checked.where("linked").select("a", "b"))), "components")
+    return _closed(members, comp, texts, config)
+
+
+def _closed(members: DataFrame, comp: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
     links = _settle(members, comp, texts, config)
     star = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    return components(star.union(links))
+    return comp if links.isEmpty() else components(star.union(links))
 
 
 def _settle(members: DataFrame, comp: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
@@ -208,10 +235,13 @@ def _settle(members: DataFrame, comp: DataFrame, texts: DataFrame, config: NearC
 
     def open_buckets(state: DataFrame, fewest: int) -> DataFrame:
         keys = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
-        return state.join(keys.where((F.col("low") < F.col("high")) & (F.col("n") >= fewest)).select("key"), "key", "left_semi")
+        return split_join(state, materialize(keys.where((F.col("low") < F.col("high")) & (F.col("n") >= fewest)).select("key"), "buckets"), ["key"], state.count(), "left_semi")
 
     state = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    state = materialize(open_buckets(state, 3), "open")  # a bucket of two has shown its only pair
+    state = materialize(open_buckets(materialize(state, "state"), 3), "open")  # a bucket of two has shown its only pair
+    none = state.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("false")
+    if state.isEmpty():
+        return none
     nodes = materialize(state.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     own = texts.join(keys_for_join(nodes), "doc_id", "left_semi")
     sets = materialize(own.mapInArrow(_lister(config), "node long, grams binary").groupBy("node").agg(F.max("grams").alias("grams")), "sets")
@@ -223,20 +253,23 @@ def _settle(members: DataFrame, comp: DataFrame, texts: DataFrame, config: NearC
     known = materialize(state.join(facts, "node"), "known")
     least = known.groupBy("key").agg(F.min("size").alias("least"))
     able = (100 + config.percent) * F.col("shared") >= config.percent * (F.col("size") + F.col("least"))
-    live = materialize(open_buckets(known.join(least, "key").where(able).select("key", "node", "comp", "size"), 2), "live")
+    live = split_join(known, materialize(least, "least"), ["key"], known.count()).where(able).select("key", "node", "comp", "size")
+    live = materialize(open_buckets(materialize(live, "able"), 2), "live")
 
+    if live.isEmpty():
+        return none
     first = live.groupBy("key").agg(F.min("node").alias("first"))
-    joined = live.join(first, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    joined = split_join(live, materialize(first, "first"), ["key"], live.count()).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     clusters = components(joined).withColumnRenamed("comp", "cluster")
     placed = live.select("node", "comp", "size").distinct().join(clusters, "node")
-    order = Window.partitionBy("cluster").orderBy("size", "node")
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = materialize(placed.withColumn("block", F.floor((before - 1) / TILE_SHINGLES).cast("long")), "placed")
-    blocks = placed.groupBy("cluster", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    two = blocks.select("cluster", F.col("block").alias("i"), F.col("high").alias("high_i")).join(blocks.select("cluster", F.col("block").alias("j"), F.col("low").alias("low_j")), "cluster")
-    two = two.where((F.col("i") <= F.col("j")) & (100 * F.col("high_i") >= config.percent * F.col("low_j")))  # else too unlike in size
-    ends = two.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    tiles = placed.join(ends, ["cluster", "block"]).join(sets, "node").select("cluster", "i", "j", "block", "node", "comp", "grams")
+    # A cluster is dealt to as many blocks as its shingles fill, by a hash, so no task needs all of it in order.
+    placed = materialize(placed, "clustered")
+    fill = placed.groupBy("cluster").agg(F.ceil(F.sum("size") / TILE_SHINGLES).alias("blocks"))
+    placed = split_join(placed, materialize(fill, "fill"), ["cluster"], placed.count())
+    placed = materialize(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
+    ends = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    ends = ends.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
+    tiles = ends.join(sets, "node").select("cluster", "i", "j", "block", "node", "comp", "grams")
     return materialize(tiles.groupBy("cluster", "i", "j").applyInPandas(_tile_tester(config.percent), "a long, b long"), "settled")
 
 

@@ -12,6 +12,7 @@ partition, so no task ever sees more than its own pieces and then one sequence a
 from __future__ import annotations
 
 import contextlib
+import json
 import itertools
 import re
 import zlib
@@ -37,6 +38,45 @@ LETTERS, NUMBERS, SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9
 PARTS = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
+# How a tokenizer file says that it folds case, drops white space and cuts by that pattern.
+WORD_BPE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def is_word_bpe(path: str) -> bool:
+    """Whether ``TokenIds`` is exact for a tokenizer file: its steps are known, and no special token can hide in a word."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model = found.get("model") or {}
+    same = all(found.get(k) == v for k, v in WORD_BPE.items())
+    return same and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and all(t["content"].startswith("<|") for t in found.get("added_tokens") or [])
+
+
+class PlainIds:
+    """Token ids of whole texts by any tokenizer file, as little-endian bytes."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+
+    @staticmethod
+    def parts(text: str | None) -> list[str]:
+        return [text] if text else []
+
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        texts = list(parts)
+        return {t: np.asarray(e.ids, "<u4").tobytes() for t, e in zip(texts, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)}
+
+
 class TokenIds:
     """Token ids of parts of texts, as little-endian bytes, with a bounded cache.
 
@@ -98,13 +138,13 @@ class TokenIds:
         return {c: fresh[c] if c in fresh else kept[c] for c in parts}
 
 
-_caches: dict[str, TokenIds] = {}
+_caches: dict[str, TokenIds | PlainIds] = {}
 
 
-def token_ids(path: str) -> TokenIds:
+def token_ids(path: str) -> TokenIds | PlainIds:
     """One cache per worker process, kept over its tasks."""
     if path not in _caches:
-        _caches[path] = TokenIds(path)
+        _caches[path] = TokenIds(path) if is_word_bpe(path) else PlainIds(path)
     return _caches[path]
 
 

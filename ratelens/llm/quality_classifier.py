@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from ratelens.llm._common import WORD_BYTES, runs, small_batches, table
 from ratelens.llm.sampling import held_out, sample_ids
 
-#: Documents that the field is fitted on, spread evenly over both labels.
-SAMPLE_TOTAL = 1600
+#: Documents that the field is fitted on, spread evenly over both labels, and the most lines one of them may have.
+SAMPLE_TOTAL, SAMPLE_LINES = 1600, 400
+#: Longer chains are run through by products of matrices instead of line by line.
+STEPS = 256
 THRESHOLD = 0.7
 FEATURES = 14
 
@@ -111,17 +113,55 @@ def _log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logaddexp(a, b)
 
 
+def scan(first: np.ndarray, links: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Forward scores of chains laid end to end by doubling: after k rounds the matrix of each line leads over 2^k lines.
+
+    ``first`` holds the scores of the first line of each chain, ``links`` (n, 2, 2) the step to each line from the one
+    before. The work is n log n, in as many numpy steps as the longest chain has binary digits.
+    """
+    n, starts = len(links), np.cumsum(counts) - counts
+    place = np.arange(n) - np.repeat(starts, counts)
+    lead, width = links.copy(), 1
+    while width < counts.max():
+        at = np.flatnonzero(place > width)  # the first line is no step
+        before = lead[at - width]
+        lead[at] = np.stack([np.stack([_log_sum(before[:, j, 0] + lead[at, 0, k], before[:, j, 1] + lead[at, 1, k]) for k in (0, 1)], axis=1) for j in (0, 1)], axis=1)
+        width *= 2
+    head = np.repeat(first, counts, axis=0)
+    out = np.stack([_log_sum(head[:, 0] + lead[:, 0, k], head[:, 1] + lead[:, 1, k]) for k in (0, 1)], axis=1)
+    out[starts] = first
+    return out
+
+
+def long_chains(score: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward scores of chains of any length."""
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    alpha = scan(score[starts], transition[None] + score[:, None, :], counts)
+    # Backward is forward over the lines in reverse order, with steps that count the line they come from.
+    following = np.zeros_like(score)
+    following[:-1] = score[1:]
+    back = (transition[None] + following[:, None, :]).transpose(0, 2, 1)
+    beta = scan(np.zeros((len(counts), 2)), back[::-1], counts[::-1])[::-1]
+    return alpha, beta
+
+
 def forward_backward(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For chains laid end to end: P(good) of each line, log normaliser of each chain, and the expected
-    transition counts (2, 2). ``emission`` is the score of good over bad. Chains advance together."""
-    order = np.argsort(-counts, kind="stable")
-    starts = (np.cumsum(counts) - counts)[order]
-    sizes = counts[order]
-    longest = int(sizes[0]) if len(sizes) else 0
-    active = np.searchsorted(-sizes, -np.arange(longest), side="left")
+    transition counts (2, 2). ``emission`` is the score of good over bad. Chains of up to ``STEPS`` lines
+    advance together line by line, longer ones by ``scan``."""
     n = len(emission)
     alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
     score = np.stack([np.zeros(n), emission], axis=1)
+    ends = np.cumsum(counts)
+    if (counts > STEPS).any():
+        long = np.repeat(counts > STEPS, counts)
+        alpha[long], beta[long] = long_chains(score[long], counts[counts > STEPS], transition)
+    few = np.flatnonzero(counts <= STEPS)
+    order = few[np.argsort(-counts[few], kind="stable")]
+    starts, sizes = (ends - counts)[order], counts[order]
+    longest = int(sizes[0]) if len(sizes) else 0
+    active = np.searchsorted(-sizes, -np.arange(longest), side="left")
     alpha[starts] = score[starts]
     for t in range(1, longest):
         at = starts[: active[t]] + t
@@ -133,14 +173,12 @@ def forward_backward(emission: np.ndarray, counts: np.ndarray, transition: np.nd
         following = beta[at + 1] + score[at + 1]
         for k in (0, 1):
             beta[at, k] = _log_sum(transition[k, 0] + following[:, 0], transition[k, 1] + following[:, 1])
-    ends = starts + sizes - 1
-    norm = np.zeros(len(counts))
-    norm[order] = _log_sum(alpha[ends, 0], alpha[ends, 1])
+    norm = _log_sum(alpha[ends - 1, 0], alpha[ends - 1, 1])
     whole = np.repeat(norm, counts)
     good = np.exp(alpha[:, 1] + beta[:, 1] - whole)
     pairs = np.zeros((2, 2))
     inner = np.ones(n, bool)
-    inner[np.cumsum(counts) - 1] = False
+    inner[ends - 1] = False
     at = np.flatnonzero(inner)
     for j in (0, 1):
         for k in (0, 1):
@@ -213,12 +251,14 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def fit_quality(docs: DataFrame, labels: DataFrame, total: int = SAMPLE_TOTAL) -> LineField | None:
     """Fits on a bounded sample of labelled documents that aren't held out; None unless both labels occur.
 
-    Rows without a label are ignored; of several labels of one document the lowest counts.
+    Rows without a label are ignored; of several labels of one document the lowest counts. A sampled document
+    of more than ``SAMPLE_LINES`` lines isn't fitted on, so that what is gathered is bounded; scores are of whole texts.
     """
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     ids = sample_ids(known, "quality", total, 1)
     own = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")  # at most total rows
+    own = own.where(F.col("text").isNull() | (F.size(F.split(F.col("text").cast("string"), "\n", SAMPLE_LINES + 1)) <= SAMPLE_LINES))
     rows = own.select("quality", "text").mapInArrow(_sample_features, "quality int, features binary, lengths binary").collect()
     rows.sort(key=lambda r: (r["quality"], r["lengths"], r["features"]))
     if len({r["quality"] for r in rows}) < 2:
@@ -247,7 +287,8 @@ def score_quality(docs: DataFrame, field: LineField | None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row, from the whole text alone.
 
     Null texts are scored as empty ones (a single empty line); without a model every score is 0.5.
-    Repeated rows are scored alike; a null id counts as not held out.
+    Repeated rows are scored alike; a null id counts as not held out. A text of any length and any number of lines is one
+    chain; a batch holds the features of its lines, some 350 bytes each. Other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))

@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ratelens.llm._common import WORD, release, small_batches, table
+from ratelens.llm._common import WORD, materialize, release, small_batches, table, text_hashes, without_texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -98,11 +97,11 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", *MEASURES]
+    names = ["doc_id", "h1", "h2", *MEASURES]
     for batch in batches:
         rows = [measure_text(x.as_py()) for x in batch.column(1)]
         columns = zip(*rows, strict=True) if rows else ([] for _ in MEASURES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(pa.array(c, pa.int64()) for c in columns)], names)
     release()
 
 
@@ -114,15 +113,16 @@ def failure_bits() -> Column:
 
 
 def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, the measurements and ``failed_bits``.
+    """One row per input row: id, two hashes of the text, the measurements and ``failed_bits``.
 
     Only the id and the text are read, so extra or clashing columns don't matter. Null and empty
     texts have zero measurements and fail ``few_words``; repeated ids keep one row each; an empty
     table gives an empty ledger. Texts are read whole, one at a time; no shuffle takes place.
     """
     small_batches(docs.sparkSession)
-    kind = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {kind.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
+    text = F.col(text_col).cast("string")
+    kind = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *text_hashes(text))
+    schema = f"doc_id {kind.schema['doc_id'].dataType.simpleString()}, h1 long, h2 long, " + ", ".join(f"{m} long" for m in MEASURES)
     return kind.mapInArrow(_measure, schema).withColumn("failed_bits", failure_bits())
 
 
@@ -131,29 +131,18 @@ def apply_policy(ledger: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     return ledger.withColumn("kept", F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
-def _measure_rows(at: int):
-    """All columns of a row, the text in place ``at``, and its measurements after them."""
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``rule_ledger`` written to the shared folder: a row of ten numbers a document, which all policies and ablations read."""
+    return materialize(rule_ledger(docs, id_col, text_col), "ledger")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure_text(x.as_py()) for x in batch.column(at)]
-            columns = zip(*rows, strict=True) if rows else ([] for _ in MEASURES)
-            names = [f"c{i}" for i in range(batch.num_columns)] + list(MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names)
-        release()
 
-    return measure
+def keep_by_ledger(docs: DataFrame, ledger: DataFrame, policy: str = PRODUCTION) -> DataFrame:
+    """The rows of ``docs`` whose text the policy keeps, by a ledger of these rows.
 
-
-def keep_by_rules(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their own columns; no shuffle takes place."""
-    small_batches(docs.sparkSession)
-    fields = docs.schema.fields
-    numbered = docs.toDF(*(f"c{i}" for i in range(len(fields))))
-    schema = T.StructType([*numbered.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
-    measured = numbered.mapInArrow(_measure_rows(docs.columns.index(text_col)), schema)
-    kept = apply_policy(measured.withColumn("failed_bits", failure_bits()), policy).where("kept")
-    return kept.select(*numbered.columns).toDF(*docs.columns)
+    Rows are told by id and text hashes; a null id is one like others. Rejected rows are few, so
+    they are broadcast up to a size and the texts aren't shuffled.
+    """
+    return without_texts(docs, apply_policy(ledger, policy).where("not kept"))
 
 
 def ablation(ledger: DataFrame, policy: str = PRODUCTION) -> DataFrame:
@@ -177,8 +166,13 @@ def ablation(ledger: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     )
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy does, from the ledger alone."""
+    return ablation(stored_ledger(table(spark, sf_dir, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = rule_ledger(table(spark, sf_dir, "documents"))
+    ledger = stored_ledger(table(spark, sf_dir, "documents"))
     return apply_policy(ledger).select(
         "doc_id",
         "n_words",
@@ -214,8 +208,12 @@ b AS (
     + CASE WHEN 100 * n_symbols > 25 * n_words THEN 4 ELSE 0 END + CASE WHEN n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN n_letters > 0 AND 100 * n_upper > 40 * n_letters THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """
+OP9_ROWS = "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b"
+OP9_RULES = (
+    ", v(bit, rule) AS (VALUES " + ", ".join(f"({r.bit}::INT, '{r.name}')" for r in RULES) + ") SELECT bit, rule, count(*) FILTER (failed_bits & (1 << bit) <> 0) AS n_failed, "
+    "count(*) FILTER (failed_bits = (1 << bit)) AS n_failed_alone, count(*) FILTER (failed_bits & ~(1::BIGINT << bit) = 0) AS n_kept_without FROM b, v GROUP BY bit, rule"
+)
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLES = {"op9_quality_rules": OP9_SQL}
+QUERIES = {"op9_quality_rules": op9_quality_rules, "rule_ablation": rule_ablation}
+ORACLES = {"op9_quality_rules": OP9_SQL + OP9_ROWS, "rule_ablation": OP9_SQL.rstrip() + OP9_RULES}

@@ -13,9 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import materialize, table
+from ratelens.llm._common import materialize, split_join, table
 
 WORDS, KEYS_PER_BLOCK = 8, 12
+#: A list of at most this many bytes is broadcast.
+BROADCAST_LIST = 16_000_000
 #: A filter of at most this many blocks (about 100 bytes each) is broadcast, a larger one is joined by a shuffle.
 BROADCAST_BLOCKS = 65_536
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -67,35 +69,42 @@ def _bit(word: int, of: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(of, 5 * word).bitwiseAND(F.lit(31)).cast("int"))
 
 
-def _hashes(df: DataFrame, blocks: int) -> DataFrame:
-    return df.withColumns({"block": F.pmod(F.xxhash64("canonical"), F.lit(blocks)), "mark": F.xxhash64(F.lit(17), "canonical")})
-
-
 def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
     """The filter: ``block, w0 .. w7``; blocks without a key are absent."""
-    marks = _hashes(listed, blocks)
+    marks = listed.select(F.pmod(F.xxhash64("canonical"), F.lit(blocks)).alias("block"), F.xxhash64(F.lit(17), "canonical").alias("mark"))
     return marks.groupBy("block").agg(*(F.bit_or(_bit(i, F.col("mark"))).alias(f"w{i}") for i in range(WORDS)))
 
 
 def listed_flag(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """``urls`` (with a ``canonical`` column) plus ``is_listed``; each row stays exactly once."""
-    listed = listed.where(F.col("canonical").isNotNull()).select("canonical").distinct()
-    n = listed.count()
+    """``urls`` (with a ``canonical`` column) plus ``is_listed``; each row stays exactly once.
+
+    The list is written once, with its size. A list of at most ``BROADCAST_LIST`` URLs is broadcast: filter and
+    exact join are then one pass over ``urls`` without a shuffle. A larger one is joined by a shuffle, in which
+    rows that the filter rules out, and rows without a URL, take no part.
+    """
+    listed = materialize(listed.where(F.col("canonical").isNotNull()).select("canonical").distinct(), "listed")
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.length("canonical")), F.lit(0))).first()
     blocks = max(1, -(-n // KEYS_PER_BLOCK))
     bloom = bloom_blocks(listed, blocks)
-    small = blocks <= BROADCAST_BLOCKS
-    probe = _hashes(urls.where(F.col("canonical").isNotNull()), blocks).join(F.broadcast(bloom) if small else bloom, "block", "left")
+    block = F.when(F.col("canonical").isNotNull(), F.pmod(F.xxhash64("canonical"), F.lit(blocks)))
+    probe = urls.withColumns({"block": block, "mark": F.xxhash64(F.lit(17), "canonical")})
     hit = F.lit(True)
     for i in range(WORDS):
         hit = hit & (F.col(f"w{i}").bitwiseAND(_bit(i, F.col("mark"))) != 0)
-    probe = probe.withColumn("maybe", F.coalesce(hit, F.lit(False))).select(*urls.columns, "maybe")
-    if not small:
+    small = size + 16 * n <= BROADCAST_LIST
+    if small:
+        probe = probe.join(F.broadcast(bloom), "block", "left")
+    else:  # the filter is a tenth of the list; blocks are even, as they are hashed
+        probe = probe.join(F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom, "block", "left")
+    probe = probe.select(*urls.columns, F.when(F.coalesce(hit, F.lit(False)), F.col("canonical")).alias("possible"))
+    exact = listed.select(F.col("canonical").alias("possible"), F.lit(True).alias("is_listed"))
+    if small:
+        joined = probe.join(F.broadcast(exact), "possible", "left")
+    else:
         probe = materialize(probe, "probe")
-    possible = probe.where("maybe").drop("maybe")
-    exact = possible.join(listed.withColumn("is_listed", F.lit(True)), "canonical", "left").select(*urls.columns, F.coalesce("is_listed", F.lit(False)).alias("is_listed"))
-    missed = probe.where(~F.col("maybe")).drop("maybe").withColumn("is_listed", F.lit(False))
-    hostless = urls.where(F.col("canonical").isNull()).withColumn("is_listed", F.lit(False))
-    return exact.unionByName(missed).unionByName(hostless)
+        some = probe.where(F.col("possible").isNotNull())
+        joined = split_join(some, exact, ["possible"], some.count(), "left").unionByName(probe.where(F.col("possible").isNull()).withColumn("is_listed", F.lit(False)))
+    return joined.select(*urls.columns, F.coalesce("is_listed", F.lit(False)).alias("is_listed"))
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[UrlRule] = RULES) -> DataFrame:
@@ -103,7 +112,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[UrlRule] =
 
     ``listed`` has a ``canonical`` column of blocked URLs. The longest fitting rule decides; without
     one, a listed URL is blocked and any other allowed. Null or malformed urls have an empty host and
-    path and are allowed. Repeated ids and urls keep one row each; either table may be empty.
+    path and are allowed. Repeated ids and urls keep one row each; either table may be empty. Urls of any length
+    are parsed whole; other columns are ignored.
     """
     host, path, canonical = parse_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), canonical.alias("canonical"))

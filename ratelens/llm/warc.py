@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import materialize, new_path, table
+from ratelens.llm._common import materialize, new_path, split_join, table
 
 ROLL_BYTES, ROLL_RECORDS = 16_000_000, 20_000
 LEVEL = 1
@@ -300,7 +300,8 @@ def arc_to_warc(arcs: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     records = materialize(_dealt(arcs.select("path")).mapInArrow(_digester, "path string, offset long, page_id long, digest string, bytes long"), "records")
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "offset")
     firsts = records.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min(place).alias("first"))
-    joined = records.join(firsts, ["digest", "bytes"])
+    # All empty pages share a digest; so may a third of the others.
+    joined = split_join(records, materialize(firsts, "firsts"), ["digest", "bytes"], records.count())
     revisits = joined.where((F.col("path") != F.col("first.path")) | (F.col("offset") != F.col("first.offset")))
     entry = F.struct("offset", F.col("first.path").alias("to_path"), F.col("first.offset").alias("to_offset"))
     by_archive = revisits.groupBy("path").agg(F.collect_list(entry).alias("revisits"))  # at most ROLL_RECORDS each
@@ -314,8 +315,10 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
     """All response and revisit records of a manifest, digests verified; refers_to is a page id."""
     schema = "record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to_id string, url string"
     found = materialize(_dealt(warcs.select("path")).mapInArrow(_reader, schema), "readback")
-    targets = found.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"))
-    revisits = found.where("record_type = 'revisit'").join(targets, F.col("refers_to_id") == F.col("target"), "left").drop("target")
+    targets = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    revisits = found.where("record_type = 'revisit'")
+    asked = targets.join(materialize(revisits.select("refers_to_id").distinct(), "asked"), "refers_to_id", "left_semi")
+    revisits = split_join(revisits, materialize(asked, "targets"), ["refers_to_id"], found.count(), "left")
     return found.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
 
 
@@ -323,7 +326,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to version-1 ARC files, those to WARC files, and these read back.
 
     Null html is an empty payload; a null or blank url is written as ``-``; rows without a page id
-    keep a null one; repeated ids are records of their own; an empty table gives no archives.
+    keep a null one; repeated ids are records of their own; an empty table gives no archives. Payloads of any length are
+    written whole, one in memory at a time; other columns are ignored.
     """
     arcs = write_arc(table(spark, sf_dir, "pages"), new_path(spark, "arc"))
     warcs = arc_to_warc(arcs, new_path(spark, "warc"))

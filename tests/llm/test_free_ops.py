@@ -90,6 +90,18 @@ def test_cut_texts_have_the_tokenizers_ids():
         assert got == np.asarray(encode(text)[:-1], "<u4").tobytes(), text
 
 
+def test_other_tokenizers_are_left_to_themselves():
+    from tokenizers import Tokenizer
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.is_word_bpe(BPE) and not packing.is_word_bpe(other)
+    texts = ["Ab  cd\nÉ 12", "x" * 3000]
+    found = packing.token_ids(other)
+    for t in texts:
+        raw = b"".join(map(found.learn(set(found.parts(t))).__getitem__, found.parts(t)))
+        assert np.frombuffer(raw, "<u4").tolist() == Tokenizer.from_file(other).encode(t, add_special_tokens=False).ids
+
+
 def test_least_squares_and_plan():
     rng = np.random.default_rng(1)
     a, b = rng.random((20, 30)), rng.random(20)
@@ -115,54 +127,81 @@ def test_sliding_minima():
         assert substring_dedup.sliding_min(v, w).tolist() == [v[i : i + w].min() for i in range(len(v) - w + 1)]
 
 
-def test_compact_windows_are_maximal_ranges_of_equal_minima():
-    config = substring_dedup.PassageConfig(words=12)
-    words = np.random.default_rng(3).integers(0, 2**63, 180).astype(np.uint64)
-    ends = np.array([0, 100, 100, 105, 180])
-    keys, text, lo, hi = substring_dedup.compact_windows(words, ends, config)
-    assert set(text.tolist()) == {1, 4}
-    for t, start, n in ((1, 0, 100), (4, 105, 75)):
-        alone = substring_dedup.compact_windows(words[start : start + n], np.array([n]), config)
-        assert all(x.tolist() == y[text == t].tolist() for x, y in zip((alone[0], alone[2], alone[3]), (keys, lo, hi)))
-        for b in range(config.bands):
-            own = [(x, y, k) for x, y, k, z in zip(lo.tolist(), hi.tolist(), keys.tolist(), text.tolist()) if k & 7 == b and z == t]
-            assert own[0][0] == 0 and own[-1][1] == n - 12 and all(p[1] + 1 == q[0] and p[2] != q[2] for p, q in zip(own, own[1:]))
-
-
-def test_overlapping_ranges_combine():
-    ranges = [(8, 0, 10), (9, 5, 20), (16, 11, 30), (10, 25, 40)]  # bands 0, 1, 0, 2
-    assert sorted(substring_dedup.combine(ranges, 2)) == [(8, 9, 5, 10), (16, 9, 11, 20)]
-    assert [r[2:] for r in substring_dedup.combine([(8, 0, 10), (9, 5, 20), (10, 7, 9)], 3)] == [(7, 9)]
+def brute_tree(values, begin, end, least):
+    """(left, centre, right) of a Cartesian tree by its definition, the first of equal values on top."""
+    out, todo = [], [(begin, end)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo >= least:
+            c = lo + int(np.argmin(values[lo:hi]))
+            out.append((lo, c, hi - 1))
+            todo += [(lo, c), (c + 1, hi)]
+    return out
+
+
+@pytest.mark.parametrize("top", [3, 50, 2**32])
+def test_compact_windows_are_the_nodes_of_cartesian_trees(top):
+    values = np.random.default_rng(3).integers(0, top, 300).astype(np.uint32)
+    starts, ends = np.array([0, 5, 120, 120, 131]), np.array([0, 120, 120, 130, 300])
+    for least in (1, 7, 46, 200):
+        text, left, centre, right = substring_dedup.compact_windows(values, starts, ends, least)
+        expected = sorted(x for a, b in zip(starts, ends) for x in brute_tree(values, int(a), int(b), least))
+        assert sorted(zip(left.tolist(), centre.tolist(), right.tolist())) == expected
+        assert all(starts[t] <= c < ends[t] for t, c in zip(text, centre))
+        first, last = substring_dedup.shared_starts(left, centre, right, least)
+        held = sorted((s, c) for s0, s1, c in zip(first.tolist(), last.tolist(), centre.tolist()) for s in range(s0, s1 + 1))
+        assert held == [(s, s + int(np.argmin(values[s : s + least]))) for a, b in zip(starts, ends) for s in range(a, b - least + 1)]
+
+
+def test_windows_with_enough_shared_minima_are_candidates():
+    config = substring_dedup.PassageConfig(functions=4, enough=2)
+    keys = np.array([16, 33, 48, 50, 67, 16], np.int64)  # functions 0, 1, 0, 2, 3, 0
+    text, lo, hi = np.array([0, 0, 0, 0, 0, 1]), np.array([0, 4, 8, 20, 22, 0]), np.array([7, 10, 12, 30, 23, 9])
+    found = substring_dedup.candidates(keys, text, lo, hi, config)
+    assert sorted(zip(*(x.tolist() for x in found[1:]))) == [(0, 4, 7), (0, 8, 10), (0, 22, 23)]
+    assert len(set(found[0].tolist())) == 3 and sorted(found[0] & 15) == [0, 0, 1]
+    assert all(len(x) == 0 for x in substring_dedup.candidates(keys[:0], text[:0], lo[:0], hi[:0], config))
 
 
 def passages(spark, docs):
     return {r.doc_id: r for r in substring_dedup.find_passages(spark.createDataFrame(docs, DOCS)).collect()}
 
 
+def spans_of(row):
+    return [(s.begin, s.end) for s in row.spans]
+
+
+def words_of(seed):
+    rng = random.Random(seed)
+    return lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
 def test_planted_passages(spark):
-    rng = random.Random(8)
-    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
-    p, line = text(60), text(9)
+    text = words_of(8)
+    p, line, six = text(60), text(9), text(60)
     near = list(p)
     near[30] = "edit"
     docs = [(1, text(80) + p + text(80)), (2, text(30) + p), (3, p + text(200)), (4, text(50) + near + text(20)), (5, text(400)), (6, text(60) + p[:40] + text(60))]
-    docs += [(100 + i, text(70) + line + text(70)) for i in range(40)]
-    docs = [(k, " ".join(t)) for k, t in docs] + [(7, docs[4][1] and " ".join(docs[4][1])), (8, None), (9, ""), (10, "short text"), (11, "short text")]
+    docs += [(100 + i, text(70) + line + text(70)) for i in range(40)] + [(20 + i, text(40) + six + text(40)) for i in range(6)]
+    # An exact copy of a passage between overlapping fragments of it.
+    docs += [(50, text(20) + [w for k in range(0, 45, 5) for w in p[k : k + 20]] + p + [w for k in range(0, 45, 5) for w in p[k : k + 20]])]
+    docs = [(k, " ".join(t)) for k, t in docs] + [(7, " ".join(docs[4][1])), (8, None), (9, ""), (10, "short text"), (11, "short text")]
     got = passages(spark, docs)
-    spans = {k: [(s.begin, s.end) for s in r.spans] for k, r in got.items() if r.spans}
-    assert spans == {2: [(30, 90)], 3: [(0, 60)], 4: [(50, 110)], 7: [(0, 400)]}
-    assert got[1].class_id == got[2].class_id == got[3].class_id == got[4].class_id == 1 and got[7].class_id == 5 and got[6].class_id == 6
-    assert got[2].n_links == 1 and got[1].n_links == 0 and got[8].n_words == 0 and got[11].class_id == 10
-
-
-def test_rounds_reach_passages_behind_other_owners(spark):
-    """A shared line puts unrelated documents into the buckets of a passage."""
-    rng = random.Random(9)
-    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
-    line, p = text(30), text(30)
-    docs = [(i, " ".join(text(60) + line + text(60))) for i in range(30)] + [(100 + i, " ".join(text(60) + line + p + text(60))) for i in range(5)]
-    got = passages(spark, docs)
-    assert all(not got[i].spans for i in range(30)) and all([(s.begin, s.end) for s in got[100 + i].spans] == [(60, 120)] for i in range(1, 5))
+    spans = {k: spans_of(r) for k, r in got.items() if r.spans}
+    fragments = spans.pop(50)
+    assert any(a <= 200 and b >= 260 for a, b in fragments)
+    assert spans == {2: [(30, 90)], 3: [(0, 60)], 4: [(50, 110)], 7: [(0, 400)], **{20 + i: [(40, 100)] for i in range(1, 6)}}
+    assert all(got[k].class_id == 1 and got[k].class_size == 5 for k in (1, 2, 3, 4, 50)) and got[7].class_id == 5 and got[6].class_id == 6
+    assert all(got[20 + i].class_size == 6 and got[20 + i].class_id == 20 for i in range(6))
+    assert got[6].class_size == 1 and got[8].n_words == 0 and got[11].class_id == 10 and got[11].n_repeated_words == 0
+
+
+def test_an_owner_of_fragments_hides_no_copy(spark):
+    text = words_of(12)
+    p = text(60)
+    fragments = [w for k in range(0, 45, 5) for w in p[k : k + 20]]
+    got = passages(spark, [(1, " ".join(text(20) + fragments + p + fragments)), (2, " ".join(text(30) + p + text(30)))])
+    assert spans_of(got[2]) == [(30, 90)]
 
 
 def brute_windows(member, owner, config):
@@ -173,8 +212,6 @@ def brute_windows(member, owner, config):
 def test_windows_are_verified_as_sets():
     config = substring_dedup.PassageConfig()
     grams = lambda words: substring_dedup.gram_hashes(substring_dedup.mix64(np.array(words, np.uint64)), config.shingle)
-    words = list(range(1000, 1050))
-    assert substring_dedup.matching_spans(grams(words[25:] + words[:25]), grams([*range(40), *words, *range(60, 90)]), [(0, 0)], config) == [(0, 50)]
     rng = np.random.default_rng(3)
     found = 0
     for vocabulary in [4, 40, 2000] * 30:
@@ -184,51 +221,117 @@ def test_windows_are_verified_as_sets():
         passage = passage[k:] + passage[:k]
         passage[int(rng.integers(0, 60))] = 99999
         member, other = grams([*rng.integers(5000, 5020, 20), *passage, *rng.integers(5000, 5020, 20)]), grams(owner)
-        good, size = np.zeros(len(member) - config.window + 1, bool), substring_dedup._set_sizes(member, config.window)[1]
-        substring_dedup._match_sets(member, other, ~good, size, good, np.zeros(len(member), bool), config)
-        expected = brute_windows(member, other, config)
-        assert good.tolist() == expected
-        covered = np.zeros(len(member) + 4, bool)
-        for begin, end in substring_dedup.matching_spans(member, other, [(0, len(good) - 1)], config):
-            covered[begin:end] = True
-        assert all(covered[s + 10 : s + 40].all() for s in np.flatnonzero(expected))
-        found += sum(expected)
+        good, hits = substring_dedup.matching_starts(substring_dedup.Content(member, config.window), substring_dedup.Content(other, config.window), config.percent)
+        assert good.tolist() == brute_windows(member, other, config) and set(hits.tolist()) == set(np.flatnonzero(np.isin(member, other)).tolist())
+        found += int(good.sum())
     assert found > 100
 
 
-def test_near_passages_behind_a_common_line_against_brute_force(spark, monkeypatch):
-    """Smaller unrelated documents own the signatures that two near-duplicates share."""
-    monkeypatch.setattr(substring_dedup, "TILE_SHINGLES", 400)
-    config = substring_dedup.PassageConfig()
-    rng = random.Random(10)
-    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
-    line = text(34)
-    docs = [(i, text(40) + line + text(40)) for i in range(40)]
+@pytest.mark.parametrize("across", [False, True])
+@pytest.mark.parametrize("vocabulary", [30, 10**6])
+def test_tiles_settle_all_windows_and_join_all_documents(vocabulary, across):
+    config = substring_dedup.PassageConfig(words=14, shingle=3)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, vocabulary, 40)
+    sets, nodes, blocks = [], [], []
+    for k in range(40):
+        own = base[int(rng.integers(0, 12)) :][: int(rng.integers(16, 30))].copy()
+        for e in rng.integers(0, len(own), int(rng.integers(0, 4))):
+            own[e] = rng.integers(10**6, 10**7)
+        sets.append(substring_dedup.gram_hashes(substring_dedup.mix64(own.astype(np.uint64)), 3))
+        nodes.append(int(rng.integers(0, 30)))
+        blocks.append(nodes[-1] % 2 if across else 0)
+    good = {k: np.zeros(len(s) - config.window + 1, bool) for k, s in enumerate(sets)}
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j, first, last, begin, end in substring_dedup.tile_links(blocks, nodes, sets, config):
+        assert nodes[j] < nodes[i] and first <= begin < end <= last + config.words
+        good[i][first : last + 1] = True
+        parent[max(root(nodes[i]), root(nodes[j]))] = min(root(nodes[i]), root(nodes[j]))
+    joined = {n: root(n) for n in nodes}
+    expected, parent = {k: np.zeros(len(v), bool) for k, v in good.items()}, {n: n for n in nodes}
     for i in range(40):
-        p = text(8) + line + text(8)
-        docs.append((100 + i, text(45) + p + text(45)))
-        p[4] = "edit"
-        docs.append((200 + i, text(45) + p + text(45)))
+        for j in range(40):
+            if nodes[j] < nodes[i] and not (across and blocks[i] == blocks[j]):
+                found = np.array(brute_windows(sets[i], sets[j], config))
+                expected[i] |= found
+                if found.any():
+                    parent[max(root(nodes[i]), root(nodes[j]))] = min(root(nodes[i]), root(nodes[j]))
+    assert all((good[k] == expected[k]).all() for k in good) and joined == {n: root(n) for n in nodes}
+    assert sum(v.sum() for v in good.values()) > 20
+
+
+@pytest.mark.parametrize("tile", [250_000, 400])
+def test_passages_against_brute_force(spark, monkeypatch, tile):
+    """All windows of a small corpus with near-duplicates behind a common line, repetitive texts and swapped halves."""
+    monkeypatch.setattr(substring_dedup, "TILE_SHINGLES", tile)
+    config = substring_dedup.PassageConfig()
+    text = words_of(10)
+    line, beat, p = text(34), text(12), text(70)
+    docs = [(i, text(25) + line + text(25)) for i in range(8)]
+    for i in range(6):
+        q = text(8) + line + text(8)
+        docs.append((100 + i, text(25) + q + text(25)))
+        q[4] = "edit"
+        docs.append((200 + i, text(25) + q + text(25)))
+    docs += [(300 + i, text(20) + beat * 6 + text(20 + i)) for i in range(4)] + [(400, p + text(20)), (401, text(9) + p[35:] + p[:35]), (402, text(30) + p[:30] + ["x"] + p[31:])]
     got = passages(spark, [(k, " ".join(w)) for k, w in docs])
-    hashes = {k: substring_dedup.hash_words([" ".join(w).encode()])[0] for k, w in docs}
-    keys = {k: substring_dedup.compact_windows(h, np.array([len(h)]), config) for k, h in hashes.items()}
-    grams = {k: substring_dedup.gram_hashes(h, config.shingle) for k, h in hashes.items()}
-    expected = set()
-    for i in range(40):
-        a, b = 100 + i, 200 + i
-        good = brute_windows(grams[b], grams[a], config)
-        shared = [good[s] for k, lo, hi in zip(keys[b][0], keys[b][2], keys[b][3]) if k in set(keys[a][0]) for s in range(lo, hi + 1)]
-        expected |= {b} if any(shared) else set()
-    assert {k for k, r in got.items() if r.spans} == expected and len(expected) >= 30
-    assert all(got[k].class_id == k - 100 for k in expected) and all(not got[k].spans for k in range(40))
+    grams = {k: substring_dedup.gram_hashes(substring_dedup.hash_words([" ".join(w).encode()])[0], config.shingle) for k, w in docs}
+    ids, missed, total = sorted(grams), 0, 0
+    parent = {k: k for k in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, b in enumerate(ids):
+        covered = np.zeros(len(grams[b]) + config.shingle - 1, bool)
+        for begin, end in spans_of(got[b]):
+            covered[begin:end] = True
+        good = np.zeros(len(grams[b]) - config.window + 1, bool)
+        for a in ids[:n]:
+            if len(np.intersect1d(grams[a], grams[b])) >= 8:
+                found = np.array(brute_windows(grams[b], grams[a], config))
+                good |= found
+                if found.any():
+                    parent[max(root(a), root(b))] = min(root(a), root(b))
+        # Inner words of windows; up to ten at either end may have no shingle in common.
+        missed += sum(not covered[s + 10 : s + 40].all() for s in np.flatnonzero(good))
+        total += int(good.sum())
+        assert good.any() or not covered.any()
+    assert total > 100 and missed <= 0.01 * total
+    wrong = [k for k in ids if got[k].class_id != root(k)]
+    assert len(wrong) <= 1 and all(got[k].class_size == sum(r.class_id == got[k].class_id for r in got.values()) for k in ids)
+
+
+def test_passages_of_odd_tables(spark):
+    """Very long and repeated rows, several texts under one id, rows without an id, clashing columns."""
+    text = words_of(13)
+    a, b, p = " ".join(text(100)), " ".join(text(100)), text(55)
+    long = " ".join(text(60_000) + p)
+    rows = [(1, a), (1, a), (2, a + " x"), (2, b), (3, " ".join(p) + " " + b), (None, a), (4, long), (5, "beat " * 5000), (6, "beat " * 5000)]
+    docs = spark.createDataFrame([(*r, 0, "h", 1) for r in rows], DOCS + ", node long, key string, h1 int")
+    got = [(r.doc_id, r.class_id, r.class_size, r.n_words, spans_of(r)) for r in substring_dedup.find_passages(docs).collect()]
+    # Of the texts under one id that of the greater hash comes after all ids: document 3 owns the passage.
+    expected = [(1, 1, 2, 100, []), (1, 1, 2, 100, []), (2, 1, 2, 101, [(0, 100)]), (2, 2, 3, 100, [(0, 100)]), (3, 2, 3, 155, []), (None, None, 1, 100, [])]
+    expected += [(4, 2, 3, 60_055, [(60_000, 60_055)]), (5, 5, 2, 5000, []), (6, 5, 2, 5000, [(0, 5000)])]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert substring_dedup.find_passages(docs.where("false")).isEmpty()
 
 
 def test_removal(spark):
     assert substring_dedup.remove_words("a  b c\né f", [(1, 3)]) == "a  \né f"
     assert substring_dedup.remove_words("a b", [(0, 2)]) == "" and substring_dedup.remove_words("a b", []) == "a b"
     docs = spark.createDataFrame([(1, "a b c", "x"), (2, None, "y")], "doc_id long, text string, lang string")
-    cut = spark.createDataFrame([(1, [(1, 2)])], f"doc_id long, spans {substring_dedup.SPANS}")
-    assert sorted((r.doc_id, r.text, r.lang) for r in substring_dedup.remove_passages(docs, cut).collect()) == [(1, "a  c", "x"), (2, None, "y")]
+    cut = docs.where("doc_id = 1").select("doc_id", F.expr("array(named_struct('begin', 1, 'end', 2))").alias("spans"), *substring_dedup.text_hashes(F.col("text")))
+    other = docs.union(spark.createDataFrame([(1, "d e f", "z")], docs.schema))
+    assert sorted((r.doc_id, r.text, r.lang) for r in substring_dedup.remove_passages(other, cut).collect()) == [(1, "a  c", "x"), (1, "d e f", "z"), (2, None, "y")]
     assert substring_dedup.find_passages(spark.createDataFrame([], DOCS)).isEmpty()
 
 
@@ -280,8 +383,11 @@ def test_measurements_of_odd_texts(spark):
     df = spark.createDataFrame(ODD, DOCS).withColumn("n_words", F.lit("clash"))
     got = sorted(((r.doc_id or -1, r.n_words, r.word_chars, r.n_repeat_words) for r in quality_rules.rule_ledger(df).collect()))
     assert got[:5] == [(-1, 2, 2, 0), (1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 1, 1, 0)] and got[-1] == (6, 9000, 36000, 9000)
-    kept = quality_rules.keep_by_rules(df)
+    kept = quality_rules.keep_by_ledger(df, quality_rules.stored_ledger(df))
     assert kept.columns == df.columns and kept.isEmpty()
+    clean = " ".join(f"word{k}" for k in range(30))
+    two = spark.createDataFrame([(1, clean), (1, "bad"), (None, clean), (None, "bad"), (2, clean)], DOCS)
+    assert sorted((r.doc_id or 0, r.text) for r in quality_rules.keep_by_ledger(two, quality_rules.stored_ledger(two)).collect()) == [(0, clean), (1, clean), (2, clean)]
     assert quality_rules.rule_ledger(spark.createDataFrame([], DOCS)).isEmpty()
 
 
@@ -313,6 +419,10 @@ def test_language_of_odd_texts(spark):
     assert got[90] == got[91] == got[92] == ("und", 0.0) and got[1][0] == "en" and got[2][0] == "fr" and got[None][0] == "en"
     assert {r.lang_pred for r in predict_languages(docs, fit_languages(docs.where("false"))).collect()} == {"und"}
     assert isinstance(model, HierarchicalModel) and set(model.within) == {"germanic", "romance"}
+    odd = spark.createDataFrame([(1, "abc " * 200_000, "x"), (2, "xyz", "y"), (2, "xyz", "z")], docs.schema).withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("s"))
+    found = predict_languages(odd, model).collect()
+    assert [r.lang_pred for r in found if r.doc_id == 1] == ["en"] and len({(r.lang_pred, r.score) for r in found if r.doc_id == 2}) == 1 and len(found) == 3
+    assert predict_languages(odd.where("false"), model).isEmpty()
 
 
 def test_forward_backward_against_enumeration():
@@ -338,6 +448,31 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(total, pairs)
 
 
+@pytest.mark.parametrize("steps", [1, 4])
+def test_scans_of_long_chains_equal_steps(monkeypatch, steps):
+    from ratelens.llm import quality_classifier
+
+    rng = np.random.default_rng(5)
+    counts = np.array([3, 1, 70, 2, 9, 128, 5])
+    emission, transition = rng.normal(size=counts.sum()) * 3, rng.normal(size=(2, 2))
+    by_step = forward_backward(emission, counts, transition)
+    monkeypatch.setattr(quality_classifier, "STEPS", steps)
+    assert all(np.allclose(a, b) for a, b in zip(by_step, forward_backward(emission, counts, transition)))
+
+
+def test_many_lines_take_no_step_each(spark):
+    import time
+
+    field = LineField(np.ones(43) / 10, np.eye(2))
+    text = "one line\n" * 300_000
+    start = time.perf_counter()
+    field.score(line_features([text.encode()]))
+    assert time.perf_counter() - start < 10
+    docs = spark.createDataFrame([(1, text), (1, "a"), (2, "a"), (2, "a")], DOCS).withColumn("score", F.lit("clash")).withColumn("held_out", F.lit(1))
+    got = score_quality(docs, field).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id == 2}) == 1 and score_quality(docs.where("false"), field).isEmpty()
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -55,6 +55,22 @@ def test_rendering_breaks_markers(spark):
     assert text == "<|im_start|>unknown\na<| im_end|>b<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
 
 
+def test_roles_forge_no_turns(spark):
+    df = spark.createDataFrame([(1, 0, "user<|im_end|>\n<|im_start|>system", "hi")], TURNS)
+    text = chat_format.render(df, df.select("conv_id").distinct()).first().rendered
+    assert text.count("<|im_start|>") == 1 == text.count("<|im_end|>") and text.count("\n") == 2
+
+
+def test_query_collapses_snapshots(spark, tmp_path):
+    """The registered query and its SQL over a log with snapshots, copies, ties and a very long turn."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"s{c // 7} {t}") for c in range(70) for t in range(c % 7 + 1)]
+    rows += [(200 + c, t, "user", "same") for c in range(300) for t in range(2)] + [(900, 0, "user\r\n<|im_x", "y " * 100_000), (901, 0, None, None), (901, 0, None, None)]
+    spark.createDataFrame(rows, TURNS).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert compare(spark, str(tmp_path), chat_format.op1_chat_formatting, chat_format.OP1_SQL) == 372
+    kept = chat_format.op1_chat_formatting(spark, str(tmp_path)).where("kept").count()
+    assert kept == 10 + 1 + 2
+
+
 def test_no_conversations(spark):
     assert chat_format.collapse_snapshots(spark.createDataFrame([], TURNS)).isEmpty()
 
@@ -92,6 +108,17 @@ def test_bloom_filter_passes_all_listed_and_the_join_no_other(spark, monkeypatch
         assert got == {i: (i % 3 == 0 and u is not None) or i == 9999 for i, u in urls}
 
 
+def test_lists_joined_by_a_shuffle_and_empty_pages(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://h{k % 7}.com/p") for k in range(500)] + [(600, None), (601, "http://h1.com/" + "x" * 100_000), (None, "http://h1.com/p")], "page_id long, url string")
+    pages = pages.withColumn("block", F.lit("clash")).withColumn("canonical", F.lit(1)).withColumn("mark", F.lit(2))
+    listed = spark.createDataFrame([("h1.com/p",), ("h2.com/p",), (None,)], "canonical string")
+    rows = lambda: sorted((r.page_id or -1, r.is_listed, r.verdict) for r in url_filter.filter_urls(pages, listed).collect())
+    small = rows()
+    monkeypatch.setattr(url_filter, "BROADCAST_LIST", 0)
+    assert rows() == small and sum(x for _, x, _ in small) == 72 + 72 + 1
+    assert url_filter.filter_urls(pages.where("false"), listed).isEmpty() and url_filter.filter_urls(pages, listed.where("false")).where("is_listed").isEmpty()
+
+
 def test_edited_items_are_found_and_others_left(spark):
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(5000)}"
@@ -111,15 +138,54 @@ def test_edited_items_are_found_and_others_left(spark):
     assert found == {(i, i) for i in range(12) if i % 3 < 2} | {(103, 0)}
 
 
-def test_blocks_find_all_within_the_radius():
+def test_blocks_find_all_within_the_radius(spark):
     rng = random.Random(5)
-    masks = set(decontaminate._variants())
-    for _ in range(3000):
+    rows = []
+    for k in range(300):
         x = rng.getrandbits(64)
         y = x
         for b in rng.sample(range(64), decontaminate.RADIUS):
             y ^= 1 << b
-        assert any(((x ^ y) >> 8 * b & 255) in masks for b in range(8))
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        rows.append((k, signed(x), signed(y), signed(rng.getrandbits(64))))
+    df = spark.createDataFrame(rows, "k long, x long, y long, z long")
+    index = df.select("k", F.explode(decontaminate.near_blocks("x")).alias("at"))
+    probes = lambda c: df.select("k", F.explode(decontaminate.blocks(c)).alias("at"))
+    assert index.join(probes("y"), ["k", "at"]).select("k").distinct().count() == 300
+    assert index.join(probes("z"), ["k", "at"]).select("k").distinct().count() < 110  # a quarter of unrelated pairs
+
+
+def test_recall_of_fingerprints_at_the_threshold(spark):
+    """Windows at similarities from 0.8 on, by brute force over all windows, are found by their fingerprints."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(40_000)}"
+    items = [[word() for _ in range(rng.randrange(30, 90))] for _ in range(40)]
+    docs = []
+    for k in range(400):
+        own = list(items[k % 40])
+        for at in rng.sample(range(len(own)), rng.randrange(1, 4)):
+            own[at] = word()
+        docs.append([word() for _ in range(20)] + own + [word() for _ in range(20)])
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    expected = set()
+    for k, t in enumerate(docs):
+        mine, n = shingles(items[k % 40]), len(items[k % 40])
+        if any(100 * len(mine & x) >= 80 * len(mine | x) for s in range(len(t) - n + 1) for x in [shingles(t[s : s + n])]):
+            expected.add((k, k % 40))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string")
+    listed = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, listed).collect()}
+    assert found <= expected and len(found) >= 0.99 * len(expected) and len(expected) > 100
+
+
+def test_texts_under_one_id_and_long_texts(spark):
+    item = " ".join(f"i{k}" for k in range(40))
+    long = " ".join(f"v{k}" for k in range(60_000))
+    docs = [(1, "clean " + long), (1, "x " + item), (2, long + " " + item), (2, long + " " + item), (None, item)]
+    df = spark.createDataFrame([(*d, 0, "c") for d in docs], "doc_id long, text string, h1 int, item_id string")
+    items = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.similarity, r.start) for r in decontaminate.contaminated(df, items).collect()) == [(1, 7, 1.0, 1), (2, 7, 1.0, 60_000)]
+    assert decontaminate.matched_texts(df, items).count() == 2
 
 
 def test_contamination_of_empty_tables(spark):

@@ -61,6 +61,25 @@ def test_empty_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in found) == [(-1, -1, True), (2, 2, True), (2, 2, True)]
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (2, a + " x"), (2, b), (2, b), (3, b + " y"), (4, "z"), (4, None)]
+    found = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == [
+        (1, 36, 1, True), (2, 36, 2, True), (2, 36, 2, True), (2, 37, 1, False), (3, 37, 2, False), (4, 0, 4, True), (4, 1, 4, True)]
+
+
+def test_hot_keys_join_as_others_do(spark, monkeypatch):
+    from ratelens.llm import _common
+
+    monkeypatch.setattr(_common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k % 5 if k < 50 else k, k) for k in range(80)], "key long, v long").repartition(3)
+    facts = spark.createDataFrame([(0, "a"), (1, "b"), (60, "c")], "key long, f string")
+    for how in ("inner", "left", "left_semi"):
+        expected = sorted(map(str, rows.join(facts, ["key"], how).collect()))
+        assert sorted(map(str, _common.split_join(rows, facts, ["key"], 80, how).collect())) == expected
+
+
 def test_clashing_columns_are_ignored(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 7, 8)], "doc_id long, text string, component_id int, s1 int")
     assert sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(1, 1), (2, 1)]
