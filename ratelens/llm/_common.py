@@ -8,7 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
 
 import numpy as np
@@ -75,6 +75,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that the block has written, but for those it hands to the given function, at its end.
+
+    Nothing that leaves the block may read a deleted table, so what is handed over must be a written one.
+    """
+    first, kept = len(_made), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.extend(f.rpartition("/")[0] for f in df.inputFiles()[:1])
+        return df
+
+    try:
+        yield keep
+    finally:
+        for app, path in _made[first:]:
+            if path not in kept and not any(path.rpartition("/")[2] in k for k in kept):
+                _delete(spark, path)
+                _made.remove((app, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release() -> None:
     """Hand a worker's free memory back to the system at the end of a task, as idle workers stay."""
     gc.collect()
@@ -88,9 +114,7 @@ def cleanup(spark: SparkSession) -> int:
     gone = 0
     for app, path in list(_made):
         if app == spark.sparkContext.applicationId:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
             _made.remove((app, path))
             gone += 1
     return gone
