@@ -31,9 +31,11 @@ def fold(text: Column) -> Column:
     """Null to empty, lower case, without addresses and mentions, emoji as words or blanks."""
     out = F.lower(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(F.regexp_replace(out, URLS, ""), MENTIONS, "")
+    worded = out
     for emoji, word in EMOJI_WORDS.items():
-        out = F.replace(out, F.lit(emoji), F.lit(f" {word} "))
-    return F.regexp_replace(out, OTHER_EMOJI, " ")
+        worded = F.replace(worded, F.lit(emoji), F.lit(f" {word} "))
+    # Most texts have none of them: one search spares the replacements.
+    return F.when(out.rlike(OTHER_EMOJI), F.regexp_replace(worded, OTHER_EMOJI, " ")).otherwise(out)
 
 
 def shorten(text: Column) -> Column:

@@ -1,11 +1,13 @@
 """Confident learning over out-of-fold class probabilities, and diagnostics of what it flags.
 
-Input rows: ``review_id, rating`` (1 to 5) and ``probs`` (array of five). Thresholds and joint counts
-are tables of five and 25 rows, so they are broadcast.
+Input rows: ``review_id, rating`` (1 to 5) and ``probs`` (array of five). Thresholds, cells and cuts are
+tables of five to sixty rows: they are read and become constants of the plan, so that flags need no join.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,43 +28,106 @@ def thresholds(df: DataFrame) -> DataFrame:
     return df.groupBy("rating").agg(F.avg(own).alias("threshold"), F.count("*").alias("n"))
 
 
-def _threshold_array(df: DataFrame) -> DataFrame:
-    wide = [F.coalesce(F.max(F.when(F.col("rating") == j, F.col("threshold"))), F.lit(float("inf"))) for j in CLASSES]
-    return thresholds(df).agg(F.array(*wide).alias("t"))
-
-
 def with_confident_class(df: DataFrame) -> DataFrame:
-    """Adds ``confident``: the likeliest class of those at or above their threshold, null if none is."""
-    passing = F.zip_with("probs", "t", lambda p, t: F.when(p >= t, p).otherwise(-1.0))
+    """Adds ``confident``: the likeliest class of those at or above their threshold, null if none is.
+
+    The five thresholds are read first and become part of the plan.
+    """
+    known = {r["rating"]: r["threshold"] for r in thresholds(df).collect()}
+    limits = F.array(*(F.lit(known[j] if known.get(j) is not None else float("inf")) for j in CLASSES))
+    passing = F.zip_with("probs", limits, lambda p, t: F.when(p >= t, p).otherwise(-1.0))
     best = F.array_max(passing)
-    joined = df.crossJoin(F.broadcast(_threshold_array(df)))  # one row
-    return joined.withColumn("confident", F.when(best >= 0, F.array_position(passing, best).cast("int"))).drop("t")
+    return df.withColumn("confident", F.when(best >= 0, F.array_position(passing, best).cast("int")))
+
+
+def _cells(marked: DataFrame) -> list:
+    """Rows by label, confident class and whether they are predicted as labelled: at most sixty, read in one pass."""
+    return marked.groupBy("rating", "confident", (F.col("predicted_rating") != F.col("rating")).alias("wrong")).agg(F.count("*").alias("n")).collect()
+
+
+def _joint(cells: list) -> dict[tuple[int, int], int]:
+    out = {(i, j): 0 for i in CLASSES for j in CLASSES}
+    for r in cells:
+        if (r["rating"], r["confident"]) in out:
+            out[r["rating"], r["confident"]] += r["n"]
+    return out
+
+
+def _calibrated(cells: list) -> dict[tuple[int, int], float | None]:
+    """The joint scaled so that each label's row has as many rows as carry it, and all add up to n."""
+    joint, sizes = _joint(cells), _sizes(cells)
+    rows = {i: sum(joint[i, j] for j in CLASSES) for i in CLASSES}
+    scaled = {(i, j): joint[i, j] * sizes.get(i, 0) / rows[i] if rows[i] else 0.0 for i, j in joint}
+    total, n = sum(scaled.values()), sum(sizes.get(i, 0) for i in CLASSES)
+    return {k: v * n / total if total else None for k, v in scaled.items()}
+
+
+def _sizes(cells: list) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for r in cells:
+        out[r["rating"]] = out.get(r["rating"], 0) + r["n"]
+    return out
+
+
+def _table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def confident_joint(df: DataFrame) -> DataFrame:
     """``rating, confident, n``: all 25 cells of rows with a confident class."""
-    marked = with_confident_class(df).where("confident is not null")
-    counts = marked.groupBy("rating", "confident").agg(F.count("*").alias("n"))
-    cells = df.sparkSession.createDataFrame([(i, j) for i in CLASSES for j in CLASSES], "rating int, confident int")
-    return cells.join(counts, ["rating", "confident"], "left").select("rating", "confident", F.coalesce("n", F.lit(0)).alias("n"))
+    joint = _joint(_cells(with_predictions(with_confident_class(df))))
+    return _table(df, [(*k, v) for k, v in joint.items()], "rating int, confident int, n long")
 
 
 def calibrated_joint(df: DataFrame) -> DataFrame:
-    """The joint scaled so that each label's row has as many rows as carry it, and all add up to n."""
-    sizes = df.groupBy("rating").agg(F.count("*").alias("label_n"))
-    cells = confident_joint(df).join(F.broadcast(sizes), "rating", "left")
-    row = F.sum("n").over(Window.partitionBy("rating"))
-    scaled = cells.withColumn("scaled", F.coalesce(F.col("n") * F.col("label_n") / F.nullif(row, F.lit(0)).cast("double"), F.lit(0.0)))
-    whole = Window.partitionBy()
-    total = F.sum("scaled").over(whole)
-    n = F.coalesce(F.sum(F.when(F.col("rating") == F.col("confident"), F.col("label_n"))).over(whole), F.lit(0))
-    return scaled.select("rating", "confident", "n", (F.col("scaled") * n / F.nullif(total, F.lit(0.0))).alias("calibrated"))
+    """``rating, confident, n, calibrated``: the calibrated joint."""
+    cells = _cells(with_predictions(with_confident_class(df)))
+    joint, calibrated = _joint(cells), _calibrated(cells)
+    return _table(df, [(*k, n, calibrated[k]) for k, n in joint.items()], "rating int, confident int, n long, calibrated double")
+
+
+def _estimate(cells: list) -> int | None:
+    off = [v for (i, j), v in _calibrated(cells).items() if i != j]
+    return None if None in off else math.floor(sum(off))
 
 
 def estimated_issues(df: DataFrame) -> DataFrame:
     """``estimated``: the mass off the diagonal of the calibrated joint."""
-    off = F.when(F.col("rating") != F.col("confident"), F.col("calibrated"))
-    return calibrated_joint(df).agg(F.floor(F.sum(off)).cast("long").alias("estimated"))
+    return _table(df, [(_estimate(_cells(with_predictions(with_confident_class(df)))),)], "estimated long")
+
+
+def _cuts(marked: DataFrame, cells: list) -> tuple[dict[tuple[int, int], tuple[float, object]], int]:
+    """Per label and other class the margin and id of the last row within its quota, and the number of rows within any."""
+    sizes = _sizes(cells)
+    quotas = {k: round(v) for k, v in _calibrated(cells).items() if v is not None and k[0] != k[1] and sizes.get(k[0], 0) >= MIN_CLASS}
+    quotas = {k: v for k, v in quotas.items() if v > 0}
+    if not quotas:
+        return {}, 0
+    entry = F.array(*(F.struct(F.lit(i).alias("label"), F.lit(j).alias("other"), F.lit(q).cast("long").alias("quota")) for (i, j), q in quotas.items()))
+    margins = marked.where("predicted_rating <> rating").select("review_id", "rating", "probs", F.explode(entry).alias("x")).where("x.label = rating")
+    margins = margins.select("review_id", "rating", "x.other", "x.quota", (F.element_at("probs", F.col("x.other")) - F.element_at("probs", F.col("rating"))).alias("margin"))
+    rank = F.row_number().over(Window.partitionBy("rating", "other").orderBy(F.desc("margin"), "review_id"))
+    # The constant bound lets every task drop all rows beyond it before the shuffle.
+    picked = margins.withColumn("rank", rank).where(F.col("rank") <= max(quotas.values())).where(F.col("rank") <= F.col("quota"))
+    by_row = picked.groupBy("review_id").agg(F.collect_list(F.struct("rating", "other", "rank", "margin")).alias("hits"))
+    last = F.max(F.struct("hit.rank", "hit.margin", "review_id")).alias("last")
+    found = by_row.select("review_id", F.posexplode("hits").alias("at", "hit")).groupBy("hit.rating", "hit.other").agg(last, F.count_if(F.col("at") == 0).alias("rows")).collect()
+    return {(r["rating"], r["other"]): (r["last"]["margin"], r["last"]["review_id"]) for r in found}, sum(r["rows"] for r in found)
+
+
+def _flagged(df: DataFrame) -> tuple[DataFrame, list, int]:
+    """Rows with both flags, the cells, and the number of rows that the second flags. Three small results are read before:
+    thresholds, cells and cuts; the flags themselves are a projection."""
+    marked = with_predictions(with_confident_class(df))
+    cells = _cells(marked)
+    cuts, pruned = _cuts(marked, cells)
+    wrong = F.col("predicted_rating") != F.col("rating")
+    by_joint = F.coalesce(F.col("confident") != F.col("rating"), F.lit(False)) & wrong
+    hit = F.lit(False)
+    for (i, j), (margin, last) in cuts.items():
+        own = F.element_at("probs", F.lit(j)) - F.element_at("probs", F.col("rating"))
+        hit = hit | ((F.col("rating") == i) & ((own > margin) | ((own == margin) & (F.col("review_id") <= F.lit(last)))))
+    return marked.withColumns({"confident_learning": by_joint, "prune_by_noise_rate": hit & wrong}).drop("confident"), cells, pruned
 
 
 def flags(df: DataFrame) -> DataFrame:
@@ -73,42 +138,28 @@ def flags(df: DataFrame) -> DataFrame:
     of the class over the label. Neither flags a row that is predicted as labelled, and labels of
     fewer than ``MIN_CLASS`` rows are left alone by the second.
     """
-    marked = with_predictions(with_confident_class(df))
-    wrong = F.col("predicted_rating") != F.col("rating")
-    by_joint = F.col("confident").isNotNull() & (F.col("confident") != F.col("rating")) & wrong
-    big = df.groupBy("rating").agg(F.count("*").alias("label_n"))
-    quotas = calibrated_joint(df).join(F.broadcast(big), "rating").where((F.col("rating") != F.col("confident")) & (F.col("label_n") >= MIN_CLASS))
-    quotas = quotas.select("rating", F.col("confident").alias("other"), F.rint("calibrated").cast("long").alias("quota")).where("quota > 0")
-    margins = marked.where(wrong).join(F.broadcast(quotas), "rating")  # at most four rows a label
-    margin = F.element_at("probs", F.col("other")) - F.element_at("probs", F.col("rating"))
-    rank = F.row_number().over(Window.partitionBy("rating", "other").orderBy(F.desc("margin"), "review_id"))
-    picked = margins.withColumn("margin", margin).withColumn("rank", rank).where(F.col("rank") <= F.col("quota"))
-    picked = picked.select("review_id").distinct().withColumn("hit", F.lit(True))
-    joined = marked.withColumn("confident_learning", by_joint).join(picked, "review_id", "left")
-    return joined.withColumn("prune_by_noise_rate", F.coalesce("hit", F.lit(False))).drop("hit", "confident")
+    return _flagged(df)[0]
 
 
-def method_counts(flagged: DataFrame) -> DataFrame:
-    """``method, ord, n_flagged`` in the fixed order of the methods."""
-    counts = flagged.agg(*(F.count_if(m).alias(m) for m in ("confident_learning", "prune_by_noise_rate")))
-    rows = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(i).alias("ord"), F.col(m).alias("n_flagged")) for i, m in enumerate(("confident_learning", "prune_by_noise_rate"))))
-    return counts.select(F.explode(rows).alias("x")).select("x.*")
+def _selected(cells: list, pruned: int) -> tuple[str, int, int | None]:
+    """The method whose count is nearest to the estimate, the first of equally near ones."""
+    by_joint = sum(r["n"] for r in cells if r["wrong"] and r["confident"] is not None and r["confident"] != r["rating"])
+    counts, estimated = {"confident_learning": by_joint, "prune_by_noise_rate": pruned}, _estimate(cells)
+    best = min(counts, key=lambda m: abs(counts[m] - (estimated or 0)))
+    return best, counts[best], estimated
 
 
-def select_method(df: DataFrame, flagged: DataFrame) -> DataFrame:
-    """The method whose count is nearest to the estimate, the first of equally near ones."""
-    both = method_counts(flagged).crossJoin(estimated_issues(df))
-    gap = F.struct(F.abs(F.col("n_flagged") - F.col("estimated")).alias("gap"), "ord")
-    return both.agg(F.min_by("method", gap).alias("selected"), F.min_by("n_flagged", gap).alias("n_flagged"), F.max("estimated").alias("estimated"))
+def select_method(df: DataFrame) -> DataFrame:
+    """``selected, n_flagged, estimated``: the method nearest to the estimate."""
+    _, cells, pruned = _flagged(df)
+    return _table(df, [_selected(cells, pruned)], "selected string, n_flagged long, estimated long")
 
 
 def detect(df: DataFrame, threshold: int = SEVERITY) -> DataFrame:
     """Rows with ``is_noise`` by the selected method and ``is_noise_severe``."""
-    flagged = flags(df)
-    chosen = select_method(df, flagged).select("selected")
-    noise = F.when(F.col("selected") == "confident_learning", F.col("confident_learning")).otherwise(F.col("prune_by_noise_rate"))
-    joined = flagged.crossJoin(F.broadcast(chosen)).withColumn("is_noise", noise).drop("selected")
-    return joined.withColumn("is_noise_severe", F.col("is_noise") & (F.col("rating_diff") >= threshold))
+    flagged, cells, pruned = _flagged(df)
+    noisy = flagged.withColumn("is_noise", F.col(_selected(cells, pruned)[0]))
+    return noisy.withColumn("is_noise_severe", F.col("is_noise") & (F.col("rating_diff") >= threshold))
 
 
 VARIANTS = ("raw", "hard", "severe")

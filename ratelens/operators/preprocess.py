@@ -11,9 +11,14 @@ from ratelens.functions.text import SHORT_WORDS, clean, tokens, word_count
 
 
 def clean_reviews(df: DataFrame, slang: Mapping[str, str] | None = None, elongation: bool = True) -> DataFrame:
-    """Drops null texts, cleans, drops blank results and flags very short ones; no shuffle takes place."""
-    cleaned = df.where("review_text is not null").withColumn("cleaned_text", clean(F.col("review_text"), slang, elongation))
-    kept = cleaned.where("cleaned_text <> ''").withColumn("n_words", word_count(F.col("cleaned_text")))
+    """Drops null texts, cleans, drops blank results and flags very short ones; no shuffle takes place.
+
+    The cleaned text is exploded from an array that is empty for a blank one: a filter on a projection would make
+    the optimiser compute the whole chain twice.
+    """
+    once = F.filter(F.array(clean(F.col("review_text"), slang, elongation)), lambda t: t != "")
+    cleaned = df.where("review_text is not null").select(*df.columns, F.explode(once).alias("cleaned_text"))
+    kept = cleaned.withColumn("n_words", word_count(F.col("cleaned_text")))
     return kept.withColumn("is_very_short", F.col("n_words") <= SHORT_WORDS)
 
 
@@ -28,11 +33,14 @@ def resolve_conflicts(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
 
     Texts with one rating keep all their rows.
     """
-    per = df.groupBy(text, "rating").agg(F.count("*").alias("n"))
-    by_text = Window.partitionBy(text)
-    best = per.withColumn("most", F.max("n").over(by_text)).where("n = most")
-    single = best.withColumn("ties", F.count("*").over(by_text)).where("ties = 1").select(text, "rating")
-    return df.join(single, [text, "rating"], "left_semi").select(*df.columns)
+    digest = F.struct(F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text)), F.length(text))
+    by_text = Window.partitionBy("_text")
+    counted = df.withColumn("_text", digest).withColumn("_n", F.count("*").over(Window.partitionBy("_text", "rating")))
+    # The rows are read and cleaned once; of a rating's rows the first stands for it.
+    first = F.row_number().over(Window.partitionBy("_text", "rating").orderBy(F.lit(1))) == 1
+    best = counted.withColumn("_first", first).withColumn("_most", F.max("_n").over(by_text))
+    ties = F.sum(F.when(F.col("_first") & (F.col("_n") == F.col("_most")), 1).otherwise(0)).over(by_text)
+    return best.withColumn("_ties", ties).where("_n = _most and _ties = 1").select(*df.columns)
 
 
 def preprocess_summary(raw: DataFrame, cleaned: DataFrame) -> DataFrame:

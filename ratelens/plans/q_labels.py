@@ -172,8 +172,7 @@ add("prune_by_noise_rate", lambda s, d: confident.flags(scored(s, d)).where("pru
 
 
 def select_method(spark, sf):
-    df = scored(spark, sf)
-    return confident.select_method(df, confident.flags(df))
+    return confident.select_method(scored(spark, sf))
 
 
 add("cl_select_method", select_method, f"{CL} --> SELECT * FROM sel")

@@ -183,11 +183,10 @@ add(
     lambda s, d: preprocess.mark_languages(reviews(s, d).select("review_id", "review_text", "detected_lang"), F.col("detected_lang"), language="en").select("review_id", "detected_lang"),
     "m AS (SELECT review_id, CASE WHEN length(trim(coalesce(review_text, ''))) < 3 THEN 'undetected_short' ELSE detected_lang END AS detected_lang FROM reviews) --> SELECT * FROM m WHERE detected_lang IN ('undetected_short', 'en')",
 )
-SMALL_QUOTA = {k: v // 300 for k, v in QUOTAS.items()}
 add(
     "scrape_quota",
-    lambda s, d: quota_rows(reviews(s, d).select("review_id", "source_app", "rating"), SMALL_QUOTA),
-    "SELECT review_id, source_app, rating FROM reviews QUALIFY row_number() OVER (PARTITION BY source_app, rating ORDER BY review_id) <= CASE rating " + " ".join(f"WHEN {k} THEN {v}" for k, v in SMALL_QUOTA.items()) + " ELSE 0 END",
+    lambda s, d: quota_rows(reviews(s, d).select("review_id", "source_app", "rating"), QUOTAS),
+    "SELECT review_id, source_app, rating FROM reviews QUALIFY row_number() OVER (PARTITION BY source_app, rating ORDER BY review_id) <= CASE rating " + " ".join(f"WHEN {k} THEN {v}" for k, v in QUOTAS.items()) + " ELSE 0 END",
 )
 
 # Splits
@@ -227,8 +226,8 @@ add(
 )
 add(
     "id_set_hash",
-    lambda s, d: ids_hash(reviews(s, d).where("rating = 1")),
-    "SELECT count(*) AS n, sha256(string_agg(review_id::VARCHAR, chr(10) ORDER BY review_id::VARCHAR)) AS sha256 FROM reviews WHERE rating = 1",
+    lambda s, d: ids_hash(reviews(s, d)),
+    "SELECT count(*) AS n, sha256(string_agg(review_id::VARCHAR, chr(10) ORDER BY review_id::VARCHAR)) AS sha256 FROM reviews",
 )
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratelens.functions.ordinal import sql_qwk
-from ratelens.functions.rng import sql_u
+from ratelens.functions.rng import sql_h, sql_u
 from ratelens.operators import agreement, confident, significance, splitting
-from ratelens.plans.config import BOOT_SEED, HYPOTHESES, SCENARIOS, WEIGHT_SEEDS
+from ratelens.plans.config import BOOT_SEED, HYPOTHESES, N_BOOT, SCENARIOS, WEIGHT_SEEDS
 from ratelens.plans.fixtures import ANNOTATIONS_SQL, EFFECTS_SQL, PREDICTIONS_SQL, SCORED_SQL, annotations, effects, predictions, scored
 from ratelens.plans.q_labels import CL
 from ratelens.plans.registry import Registry
@@ -15,8 +15,7 @@ from ratelens.sources.tables import table
 
 R = Registry(PREDICTIONS_SQL)
 add = R.add
-#: Resamples in the queries; the study's own number is 2000.
-REPS = 100
+REPS = N_BOOT
 NAMES = [s["name"] for s in SCENARIOS]
 
 
@@ -54,7 +53,27 @@ add(
     lambda s, d: significance.wilcoxon(significance.paired_differences(wide(s, d))),
     f"{WILCOXON} --> SELECT hypothesis, m::BIGINT AS n, r_plus, round((r_plus - m * (m + 1) / 4) / nullif(sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 0), 9) AS z FROM sm",
 )
-add("significance_test", lambda s, d: significance.significance_table(wide(s, d)))
+def sql_p(z: str) -> str:
+    """The tail of the normal distribution as the operator has it."""
+    x = f"(abs({z}) / {2**0.5!r}::DOUBLE)"
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * {x}))"
+    power = f"{significance.ERFC[-1]}::DOUBLE"
+    for c in reversed(significance.ERFC[:-1]):
+        power = f"({c}::DOUBLE + {t} * {power})"
+    return f"coalesce(least({t} * exp(-{x} * {x} + {power}), 1.0::DOUBLE), 1.0::DOUBLE)"
+
+
+_PAIRS = " UNION ALL ".join(f"SELECT '{h}' AS hypothesis, '{a}' AS model_a, '{b}' AS model_b, avg({significance.error(a)}) AS mean_error_a, avg({significance.error(b)}) AS mean_error_b FROM wide" for h, a, b in HYPOTHESES)
+TESTED = f"""{WILCOXON}, zt AS (SELECT hypothesis, m::BIGINT AS n, r_plus, round((r_plus - m * (m + 1) / 4) / nullif(sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 0), 9) AS z FROM sm),
+tp AS (SELECT *, {sql_p("z")} AS p FROM zt), st AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, hypothesis) + 1) * p) AS st FROM tp),
+te AS (SELECT *, max(st) OVER (ORDER BY p, hypothesis ROWS UNBOUNDED PRECEDING) AS p_holm FROM st)"""
+TEST = ("hypothesis", "model_a", "model_b", "n", "r_plus", "z", "significant")
+ROUNDED = ("mean_error_a", "mean_error_b", "p", "p_holm")
+add(
+    "significance_test",
+    lambda s, d: significance.significance_table(wide(s, d)).select(*TEST, *(F.round(c, 9).alias(c) for c in ROUNDED)),
+    f"{TESTED}, pa AS ({_PAIRS}) --> SELECT hypothesis, model_a, model_b, n, r_plus, z, p_holm <= 0.05 AS significant, {', '.join(f'round({c}, 9) AS {c}' for c in ROUNDED)} FROM te JOIN pa USING (hypothesis)",
+)
 HOLM_P = [(h, p) for (h, _, _), p in zip(HYPOTHESES, (0.03, 0.004, 0.2, 0.012, 0.9), strict=True)]
 add(
     "holm_adjust",
@@ -62,16 +81,22 @@ add(
     "t(hypothesis, p) AS (VALUES " + ", ".join(f"('{h}', {p}::DOUBLE)" for h, p in HOLM_P) + "), s AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, hypothesis) + 1) * p) AS st FROM t), a AS (SELECT hypothesis, p, max(st) OVER (ORDER BY p, hypothesis ROWS UNBOUNDED PRECEDING) AS h FROM s) --> SELECT hypothesis, p, round(h, 9) AS p_holm, h <= 0.05 AS significant FROM a",
     "unused AS (SELECT 1)",
 )
-BOOT = f"""{WIDE}, nm AS (SELECT row_number() OVER (ORDER BY review_id) - 1 AS pos, * FROM wide), nn AS (SELECT count(*) AS n FROM wide),
-dr AS (SELECT r.i AS rep, floor({sql_u(str(BOOT_SEED), "r.i", "j.i")} * n)::BIGINT AS pos FROM nn, range({REPS}) r(i), (SELECT unnest(range(n)) AS i FROM nn) j), rs AS (SELECT * FROM dr JOIN nm USING (pos))"""
+BOOT = f"""{WIDE}, nm AS (SELECT row_number() OVER (ORDER BY {sql_h("'bucket'", "review_id")} % {significance.BUCKETS}, review_id) - 1 AS pos, * FROM wide), nn AS (SELECT count(*) AS n FROM wide),
+dg AS (SELECT r.i AS rep, b.i AS block, md5(concat_ws('|', {BOOT_SEED}, r.i, b.i)) AS d, n FROM nn, range({REPS}) r(i), (SELECT unnest(range((n + 3) // 4)) AS i FROM nn) b),
+dr AS (SELECT rep, floor(('0x' || substr(d, 8 * k.i + 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::BIGINT AS pos FROM dg, range(4) k(i) WHERE block * 4 + k.i < n), rs AS (SELECT * FROM dr JOIN nm USING (pos))"""
 
 
 def boot_sql(expression) -> str:
     """Point estimates and percentile intervals of ``expression(model_a, model_b)``."""
+    return f"""{BOOT}, {effect_sql("", expression)} --> SELECT * FROM ef"""
+
+
+def effect_sql(tag: str, expression) -> str:
+    """``ef`` with a tag: point estimates and intervals of one metric, from the shared draws."""
     cells = ", ".join(f"{expression(a, b)} AS {h}" for h, a, b in HYPOTHESES)
     names = ", ".join(h for h, _, _ in HYPOTHESES)
-    return f"""{BOOT}, bt AS (SELECT rep, {cells} FROM rs GROUP BY rep), bl AS (UNPIVOT bt ON {names} INTO NAME hypothesis VALUE v), pt AS (SELECT {cells} FROM wide), pl AS (UNPIVOT pt ON {names} INTO NAME hypothesis VALUE diff)
---> SELECT bl.hypothesis, round(any_value(diff), 9) AS diff, round(quantile_cont(v, 0.025), 9) AS ci_low, round(quantile_cont(v, 0.975), 9) AS ci_high FROM bl JOIN pl ON bl.hypothesis = pl.hypothesis GROUP BY bl.hypothesis"""
+    return f"""bt{tag} AS (SELECT rep, {cells} FROM rs GROUP BY rep), bl{tag} AS (UNPIVOT bt{tag} ON {names} INTO NAME hypothesis VALUE v), pt{tag} AS (SELECT {cells} FROM wide), pl{tag} AS (UNPIVOT pt{tag} ON {names} INTO NAME hypothesis VALUE diff),
+ef{tag} AS (SELECT bl.hypothesis, round(any_value(diff), 9) AS diff, round(quantile_cont(v, 0.025), 9) AS ci_low, round(quantile_cont(v, 0.975), 9) AS ci_high FROM bl{tag} bl JOIN pl{tag} pl ON bl.hypothesis = pl.hypothesis GROUP BY bl.hypothesis)"""
 
 
 def _mae(a: str, b: str) -> str:
@@ -89,7 +114,15 @@ def _per(a: str, b: str) -> str:
 add("bootstrap_mae_ci", lambda s, d: significance.mae_effects(wide(s, d), REPS), boot_sql(_mae))
 add("bootstrap_qwk_ensemble", lambda s, d: significance.qwk_ensemble_effects(wide(s, d), REPS), boot_sql(_ens))
 add("bootstrap_qwk_per_seed", lambda s, d: significance.qwk_per_seed_effects(wide(s, d), REPS), boot_sql(_per))
-add("effect_long", lambda s, d: significance.effect_table(wide(s, d), 20, 42))
+METRICS = (("MAE", _mae), ("QWK_ensemble", _ens), ("QWK_per_seed", _per))
+EFFECT = ("hypothesis", "metric", "diff", "ci_low", "ci_high", "z", "significant", "split_seed", "n_weight_seeds")
+add(
+    "effect_long",
+    lambda s, d: significance.effect_table(wide(s, d), REPS, 42).select(*EFFECT, F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm")),
+    f"{BOOT}, {TESTED.removeprefix(WIDE + ', ')}, " + ", ".join(effect_sql(f"_{m}", e) for m, e in METRICS)
+    + ", al AS (" + " UNION ALL ".join(f"SELECT *, '{m}' AS metric FROM ef_{m}" for m, _ in METRICS) + ") --> SELECT al.hypothesis, metric, diff, ci_low, ci_high, z, p_holm <= 0.05 AS significant, "
+    "42::INT AS split_seed, 3::INT AS n_weight_seeds, round(p, 9) AS p, round(p_holm, 9) AS p_holm FROM al LEFT JOIN te ON al.hypothesis = te.hypothesis AND metric = 'MAE'",
+)
 VERDICT = """e AS (SELECT hypothesis, metric, CASE WHEN metric = 'MAE' THEN -diff ELSE diff END AS e, CASE WHEN metric = 'MAE' THEN -ci_high ELSE ci_low END AS lo, CASE WHEN metric = 'MAE' THEN -ci_low ELSE ci_high END AS hi FROM effects),
 f AS (SELECT *, CASE WHEN e > 0 THEN 'A' WHEN e < 0 THEN 'B' ELSE 'tie' END AS way, lo > 0 OR hi < 0 AS excl FROM e),
 g AS (SELECT hypothesis, metric, count(*) AS n_splits, min(way) = max(way) AND min(way) <> 'tie' AS same_direction, count(*) FILTER (excl) AS n_excluding_zero, min(way) AS way FROM f GROUP BY 1, 2)
@@ -213,8 +246,8 @@ add(
 )
 add(
     "subset_check",
-    lambda s, d: agreement.unmatched(table(s, d, "labels").select(F.col("doc_id").alias("review_id")), table(s, d, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("review_id"))),
-    "SELECT DISTINCT doc_id::VARCHAR AS review_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)",
+    lambda s, d: agreement.unmatched(table(s, d, "documents").select(F.col("doc_id").alias("review_id")), table(s, d, "labels").select(F.col("doc_id").alias("review_id"))),
+    "SELECT DISTINCT doc_id::VARCHAR AS review_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "unused AS (SELECT 1)",
 )
 add(
