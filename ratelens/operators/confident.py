@@ -28,6 +28,11 @@ def thresholds(df: DataFrame) -> DataFrame:
     return df.groupBy("rating").agg(F.avg(own).alias("threshold"), F.count("*").alias("n"))
 
 
+def once(df: DataFrame, column: str = "probs") -> DataFrame:
+    """The same rows; what computes the column is evaluated once a row and not again wherever it is used."""
+    return df.select(*(c for c in df.columns if c != column), F.explode(F.array(column)).alias(column))
+
+
 def with_confident_class(df: DataFrame) -> DataFrame:
     """Adds ``confident``: the likeliest class of those at or above their threshold, null if none is.
 
@@ -37,7 +42,7 @@ def with_confident_class(df: DataFrame) -> DataFrame:
     limits = F.array(*(F.lit(known[j] if known.get(j) is not None else float("inf")) for j in CLASSES))
     passing = F.zip_with("probs", limits, lambda p, t: F.when(p >= t, p).otherwise(-1.0))
     best = F.array_max(passing)
-    return df.withColumn("confident", F.when(best >= 0, F.array_position(passing, best).cast("int")))
+    return once(df).withColumn("confident", F.when(best >= 0, F.array_position(passing, best).cast("int")))
 
 
 def _cells(marked: DataFrame) -> list:
@@ -123,10 +128,13 @@ def _flagged(df: DataFrame) -> tuple[DataFrame, list, int]:
     cuts, pruned = _cuts(marked, cells)
     wrong = F.col("predicted_rating") != F.col("rating")
     by_joint = F.coalesce(F.col("confident") != F.col("rating"), F.lit(False)) & wrong
-    hit = F.lit(False)
-    for (i, j), (margin, last) in cuts.items():
-        own = F.element_at("probs", F.lit(j)) - F.element_at("probs", F.col("rating"))
-        hit = hit | ((F.col("rating") == i) & ((own > margin) | ((own == margin) & (F.col("review_id") <= F.lit(last)))))
+    limits = F.array(*(F.struct(F.lit(i).alias("label"), F.lit(j).alias("other"), F.lit(margin).alias("margin"), F.lit(last).alias("last")) for (i, j), (margin, last) in cuts.items()))
+
+    def within(c: Column) -> Column:
+        margin = F.element_at("probs", c["other"]) - F.element_at("probs", F.col("rating"))
+        return (F.col("rating") == c["label"]) & ((margin > c["margin"]) | ((margin == c["margin"]) & (F.col("review_id") <= c["last"])))
+
+    hit = F.exists(limits, within) if cuts else F.lit(False)
     return marked.withColumns({"confident_learning": by_joint, "prune_by_noise_rate": hit & wrong}).drop("confident"), cells, pruned
 
 
