@@ -1,20 +1,35 @@
 """Model stage: out-of-fold probabilities from linear models on embeddings.
 
 Encoders and their fine-tuning are out of reach without their weights; what the other operators need
-is the contract ``review_id, probs (, q_chain)``, which any provider can meet.
+is the contract ``review_id, probs (, q_chain)``, which any provider can meet. Four proxies meet it here:
+calibrated regressions on the embedding (P1) and on its pooled form (P2), and a softmax (P3) and an ordinal
+chain (P4) of linear heads whose temperature is fitted on an inner hold-out of every fold.
+
+Rows stay distributed. What reaches the driver is bounded by models, not rows: heads, two calibration numbers
+a class and model, a temperature a fold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.functions.calibration import chain_probs, softmax
+from ratelens.functions.calibration import chain, chain_probs, sigmoid, softmax
+from ratelens.operators.regression import Head, fit_heads
+from ratelens.operators.splitting import stratified_kfold
+from ratelens.plans.config import CV_FOLDS, CV_SEED
+
+#: Parts of a training set for calibration; a hold-out is each so-many-th round of the deal.
+INNER_PARTS, HOLDOUT = 3, 10
+#: Passes over the scores at most, and the mean gradient that ends them.
+PASSES, GRADIENT = 60, 1e-7
+#: Temperatures tried in a pass, passes, and the range.
+CANDIDATES, REFINEMENTS, COLDEST, HOTTEST = 25, 4, 0.01, 100.0
+HEADS = "array<struct<w:array<double>,b:double>>"
 
 
 def mean_pool(embedding: str, width: int) -> Column:
@@ -24,52 +39,175 @@ def mean_pool(embedding: str, width: int) -> Column:
     return F.transform(runs, lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x.cast("double")) / width)
 
 
-def _features(df: DataFrame, embedding: str) -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.transform(embedding, lambda x: x.cast("double"))))
+def _prepared(df: DataFrame, embedding: str) -> DataFrame:
+    return df.withColumn("x", F.transform(embedding, lambda v: v.cast("double")))
+
 
+def _margins(heads: Column, x: Column) -> Column:
+    return F.transform(heads, lambda h: h["b"] + F.aggregate(F.zip_with(h["w"], x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
 
-def oof_logistic(df: DataFrame, k: int, classes: int, embedding: str = "embedding", label: str = "label", rounds: int = 60) -> DataFrame:
-    """Out-of-fold probabilities of a multinomial regression; ``df`` has a ``fold`` column.
 
-    The loop is over folds, a handful of models; rows stay distributed.
+def platt(scores: DataFrame, by: Sequence[str]) -> list[tuple]:
+    """``(*by, a, b)``: the sigmoid of ``a * score + b`` with the least loss against ``hit``, for every group.
+
+    Targets are drawn in by the classes' sizes: (n1 + 1) / (n1 + 2) and 1 / (n0 + 2). Damped Newton steps: a pass is
+    one aggregation of six sums a group for all groups, and a step that doesn't lower the loss is halved.
+    """
+    spark, hit = scores.sparkSession, F.col("hit").cast("double")
+    sizes = scores.groupBy(*by).agg(F.count("*").alias("n"), F.sum(hit).alias("n1")).collect()
+    state = {}
+    for r in sizes:
+        n0, n1 = r["n"] - r["n1"], r["n1"]
+        start = (0.0, math.log((n1 + 1.0) / (n0 + 1.0)))
+        state[tuple(r[c] for c in by)] = {"n": r["n"], "hi": (n1 + 1.0) / (n1 + 2.0), "lo": 1.0 / (n0 + 2.0), "best": start, "loss": math.inf, "step": (0.0, 0.0), "done": False}
+    schema = ", ".join([*(f"{c} int" for c in by), "a double", "b double", "hi double", "lo double"])
+    for _ in range(PASSES):
+        open_ = {k: s for k, s in state.items() if not s["done"]}
+        if not open_:
+            break
+        tried = {k: (s["best"][0] + s["step"][0], s["best"][1] + s["step"][1]) for k, s in open_.items()}
+        table = spark.createDataFrame([(*k, *tried[k], s["hi"], s["lo"]) for k, s in open_.items()], schema)  # a row a class and model
+        z, t = F.col("a") * F.col("score") + F.col("b"), F.when(F.col("hit"), F.col("hi")).otherwise(F.col("lo"))
+        loss = F.greatest(z, F.lit(0.0)) - t * z + F.log1p(F.exp(-F.abs(z)))
+        row = scores.join(F.broadcast(table), list(by)).select(*by, "score", loss.alias("loss"), (sigmoid(z) - t).alias("g"), (sigmoid(z) * (1.0 - sigmoid(z))).alias("w"))
+        f = F.col("score")
+        sums = row.groupBy(*by).agg(*(F.sum(c).alias(n) for n, c in {"loss": F.col("loss"), "ga": F.col("g") * f, "gb": F.col("g"), "haa": F.col("w") * f * f, "hab": F.col("w") * f, "hbb": F.col("w")}.items()))
+        for r in sums.collect():
+            k = tuple(r[c] for c in by)
+            s = state[k]
+            if r["loss"] > s["loss"]:
+                s["step"] = (s["step"][0] / 2, s["step"][1] / 2)
+                s["done"] = max(map(abs, s["step"])) < 1e-12
+                continue
+            s["best"], s["loss"] = tried[k], r["loss"]
+            s["done"] = max(abs(r["ga"]), abs(r["gb"])) < GRADIENT * s["n"]
+            haa, hbb = r["haa"] + 1e-9, r["hbb"] + 1e-9
+            det = haa * hbb - r["hab"] ** 2
+            s["step"] = ((r["hab"] * r["gb"] - hbb * r["ga"]) / det, (r["hab"] * r["ga"] - haa * r["gb"]) / det)
+    return [(*k, *s["best"]) for k, s in state.items()]
+
+
+def _scaled(p: Column) -> Column:
+    total = F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
+    return F.transform(p, lambda v: F.when(total > 0, v / total).otherwise(1.0 / F.size(p)))
+
+
+def oof_logistic(df: DataFrame, k: int, classes: int, embedding: str = "embedding", label: str = "label", key: str = "review_id", seed: int = CV_SEED) -> DataFrame:
+    """``fold, probs``: out-of-fold probabilities of a calibrated multinomial regression, labels from 0.
+
+    Every training set is dealt into three parts; three regressions leave one out each, their margins on that part
+    fit a sigmoid per class, and the scaled sigmoids of the three are averaged. ``df`` needs a distinct key; an empty table gives no rows.
     """
-    rows = _features(df, embedding).withColumn("target", F.col(label).cast("double"))
-    parts = []
-    for fold in range(k):
-        fit = LogisticRegression(featuresCol="features", labelCol="target", maxIter=rounds, regParam=0.01, family="multinomial").fit(rows.where(F.col("fold") != fold))
-        parts.append(fit.transform(rows.where(F.col("fold") == fold)).withColumn("probs", vector_to_array("probability")))
-    kept = [c for c in df.columns if c != embedding]
-    out = reduce(DataFrame.unionByName, parts)
-    return out.select(*kept, F.concat("probs", F.array_repeat(F.lit(0.0), F.greatest(F.lit(classes) - F.size("probs"), F.lit(0)))).alias("probs"))
-
-
-def oof_chain(df: DataFrame, k: int, classes: int, embedding: str = "embedding", label: str = "label", rounds: int = 40) -> DataFrame:
-    """Ordinal chain: one binary regression for each threshold, fitted on the rows that reached the one before."""
-    rows = _features(df, embedding)
-    parts = []
-    for fold in range(k):
-        test = rows.where(F.col("fold") == fold)
-        for t in range(classes - 1):
-            train = rows.where((F.col("fold") != fold) & (F.col(label) >= t)).withColumn("target", (F.col(label) > t).cast("double"))
-            fit = LogisticRegression(featuresCol="features", labelCol="target", maxIter=rounds, regParam=0.01, probabilityCol=f"p{t}", rawPredictionCol=f"r{t}", predictionCol=f"y{t}").fit(train)
-            test = fit.transform(test)
-        parts.append(test)
-    out = reduce(DataFrame.unionByName, parts)
-    product, q = F.lit(1.0), []
-    for t in range(classes - 1):
-        product = product * vector_to_array(f"p{t}")[1]
-        q.append(product)
-    kept = [c for c in df.columns if c != embedding]
-    return out.select(*kept, F.array(*q).alias("q_chain")).withColumn("probs", chain_probs(F.col("q_chain")))
-
-
-def temperature_grid(df: DataFrame, temperatures: Sequence[float], logits: str = "logits", label0: str = "label0") -> DataFrame:
+    folds = stratified_kfold(df, k, seed, label, key, deal="_deal").withColumn("_part", F.col("_deal") % INNER_PARTS)
+    base = _prepared(folds.select("fold", F.col("_part").alias("part"), F.col(label).cast("int").alias("label0"), embedding), embedding).drop(embedding).persist(StorageLevel.MEMORY_AND_DISK)
+    spark, jobs = df.sparkSession, [(o, i) for o in range(k) for i in range(INNER_PARTS)]
+    scores = None
+    try:
+        fitted = dict(zip(jobs, fit_heads(base, [Head(o, i) for o, i in jobs], classes)))
+        table = spark.createDataFrame([(i, o, heads) for (o, i), heads in fitted.items()], f"part int, outer int, heads {HEADS}")  # k times three rows
+        left_out = base.join(F.broadcast(table), "part").where("fold <> outer")
+        margins = left_out.select("outer", "part", "label0", F.posexplode(_margins(F.col("heads"), F.col("x"))).alias("class", "score"))
+        scores = margins.select("outer", "part", "class", "score", (F.col("label0") == F.col("class")).alias("hit")).persist(StorageLevel.MEMORY_AND_DISK)
+        curve = {r[:3]: r[3:] for r in platt(scores, ("outer", "part", "class"))}
+    finally:
+        base.unpersist()
+        if scores is not None:
+            scores.unpersist()
+    # The sigmoids become part of the heads: a * (w x + b) + c.
+    calibrated = []
+    for (o, i), heads in fitted.items():
+        own = [curve.get((o, i, c), (1.0, 0.0)) for c in range(len(heads))]
+        calibrated.append((o, i, [([a * v for v in w], a * b + c) for (w, b), (a, c) in zip(heads, own)]))
+    models = [(o, [h for p, _, h in calibrated if p == o and h]) for o in range(k)]
+    known = F.broadcast(spark.createDataFrame(models, f"fold int, models array<{HEADS}>"))  # k rows
+    each = F.transform("models", lambda m: _scaled(F.transform(_margins(m, F.col("x")), sigmoid)))
+    total = F.aggregate(each, F.array_repeat(F.lit(0.0), classes), lambda s, p: F.zip_with(s, p, lambda a, b: a + b))
+    out = _prepared(folds, embedding).join(known, "fold").withColumn("probs", F.transform(total, lambda v: v / F.size("models")))
+    return out.select(*(c for c in df.columns if c != embedding), "fold", "probs")
+
+
+def oof_scaled(df: DataFrame, k: int, classes: int, ordinal: bool, embedding: str = "embedding", label: str = "label", key: str = "review_id", seed: int = CV_SEED) -> tuple[DataFrame, dict[int, float]]:
+    """Out-of-fold probabilities of linear heads, and the temperature of every fold.
+
+    ``ordinal``: one binary regression for each threshold, fitted on the rows that reached the one before, which adds
+    ``q_chain``; else one softmax. A tenth of every training set, stratified, fits the temperature and no head. An
+    empty table gives no rows.
+    """
+    folds = stratified_kfold(df, k, seed, label, key, deal="_deal").withColumn("_held", (F.col("_deal") + F.col("fold")) % HOLDOUT == 0)
+    base = _prepared(folds.select("fold", F.col("_held").cast("int").alias("part"), F.col(label).cast("int").alias("label0"), embedding), embedding).drop(embedding).persist(StorageLevel.MEMORY_AND_DISK)
+    spark, heads_of = df.sparkSession, range(classes - 1) if ordinal else range(1)
+
+    try:
+        jobs = [(o, t) for o in range(k) for t in heads_of]
+        fitted = dict(zip(jobs, fit_heads(base, [Head(o, 1, t if ordinal else None) for o, t in jobs], classes)))
+        table = spark.createDataFrame([(o, [h for t in heads_of for h in fitted[o, t]]) for o in range(k)], f"outer int, heads {HEADS}")  # k rows
+        held = base.where("part = 1").join(F.broadcast(table), F.col("fold") != F.col("outer")).select("outer", _margins(F.col("heads"), F.col("x")).alias("logits"), "label0").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            temperatures = fit_temperatures(held, "outer", ordinal)
+        finally:
+            held.unpersist()
+    finally:
+        base.unpersist()
+    temperatures = {o: temperatures.get(o, 1.0) for o in range(k)}
+    warm = F.broadcast(spark.createDataFrame([(o, t) for o, t in temperatures.items()], "outer int, temperature double"))
+    rows = _prepared(folds, embedding).join(F.broadcast(table), F.col("fold") == F.col("outer")).drop("outer").join(warm, F.col("fold") == F.col("outer"))
+    rows = rows.withColumn("logits", _margins(F.col("heads"), F.col("x")))
+    kept = [*(c for c in df.columns if c != embedding), "fold"]
+    if ordinal:
+        out = rows.withColumn("q_chain", chain(F.col("logits"), F.col("temperature"))).withColumn("probs", chain_probs(F.col("q_chain")))
+        return out.select(*kept, "q_chain", "probs"), temperatures
+    return rows.withColumn("probs", softmax(F.col("logits"), F.col("temperature"))).select(*kept, "probs"), temperatures
+
+
+def _loss(logits: Column, temperature: Column, label0: Column, ordinal: bool) -> Column:
+    p = chain_probs(chain(logits, temperature)) if ordinal else softmax(logits, temperature)
+    return -F.log(F.greatest(F.element_at(p, label0 + 1), F.lit(1e-8)))
+
+
+def temperature_grid(df: DataFrame, temperatures: Sequence[float], logits: str = "logits", label0: str = "label0", ordinal: bool = False) -> DataFrame:
     """``temperature, nll`` for every candidate: rows meet the few candidates by an explode, then one aggregation."""
     grid = df.withColumn("temperature", F.explode(F.array(*(F.lit(float(t)) for t in temperatures))))
-    p = F.element_at(softmax(F.col(logits), F.col("temperature")), F.col(label0) + 1)
-    return grid.groupBy("temperature").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-8)))).alias("nll"))
+    return grid.groupBy("temperature").agg(F.avg(_loss(F.col(logits), F.col("temperature"), F.col(label0), ordinal)).alias("nll"))
+
+
+def fit_temperatures(df: DataFrame, by: str, ordinal: bool) -> dict[int, float]:
+    """The temperature of least loss of every group (the lowest of equal ones), by grids that close in on it: each pass
+    is one aggregation over all groups, and the last grid's step is below a thousandth of the temperature. A minimum
+    beyond the range gives its end."""
+    spark = df.sparkSession
+    spans = {r[by]: (math.log(COLDEST), math.log(HOTTEST)) for r in df.select(by).distinct().collect()}
+    best: dict[int, float] = {}
+    for _ in range(REFINEMENTS if spans else 0):
+        grids = {g: [math.exp(lo + (hi - lo) * i / (CANDIDATES - 1)) for i in range(CANDIDATES)] for g, (lo, hi) in spans.items()}
+        table = F.broadcast(spark.createDataFrame(list(grids.items()), f"{by} int, ts array<double>"))
+        tried = df.join(table, by).select(by, "logits", "label0", F.explode("ts").alias("t"))
+        nll = tried.groupBy(by, "t").agg(F.avg(_loss(F.col("logits"), F.col("t"), F.col("label0"), ordinal)).alias("nll"))
+        for r in nll.groupBy(by).agg(F.min_by("t", F.struct(F.round("nll", 12), "t")).alias("t")).collect():
+            best[r[by]] = r["t"]
+            lo, hi = spans[r[by]]
+            step, at = (hi - lo) / (CANDIDATES - 1), math.log(r["t"])
+            spans[r[by]] = (max(at - step, math.log(COLDEST)), min(at + step, math.log(HOTTEST)))
+    return best
 
 
 def best_temperature(grid: DataFrame) -> DataFrame:
     """The temperature of least loss (the lowest of equal ones); 1 where there are no rows."""
     return grid.agg(F.coalesce(F.min_by("temperature", F.struct("nll", "temperature")), F.lit(1.0)).alias("temperature"))
+
+
+#: Values averaged into one by the pooled proxy.
+POOL = 4
+PROXIES = {0: ("P1", "embedding_lr"), 1: ("P2", "pooled_lr"), 2: ("P3", "softmax_head"), 3: ("P4", "chain_head")}
+FINAL_PROXY = 3
+
+
+def proxy_oof(df: DataFrame, proxy_id: int, k: int = CV_FOLDS, classes: int = 5, label: str = "label") -> tuple[DataFrame, dict[int, float]]:
+    """Out-of-fold rows of one proxy and its temperatures (none for P1 and P2); only P4 takes other fold counts."""
+    if proxy_id not in PROXIES:
+        raise KeyError(proxy_id)
+    if proxy_id != FINAL_PROXY and k != CV_FOLDS:
+        raise ValueError(f"{PROXIES[proxy_id][0]} has {CV_FOLDS} folds, not {k}")
+    if proxy_id < 2:
+        rows = df.withColumn("embedding", mean_pool("embedding", POOL)) if proxy_id == 1 else df
+        return oof_logistic(rows, k, classes, label=label), {}
+    return oof_scaled(df, k, classes, proxy_id == FINAL_PROXY, label=label)

@@ -60,10 +60,13 @@ def overlaps(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found
 
 
-def stratified_kfold(df: DataFrame, k: int, seed: int, label: str = "rating", key: str = "review_id") -> DataFrame:
-    """Adds ``fold`` from 0 to k - 1; each label is dealt evenly, starting at another fold."""
-    order = Window.partitionBy(label).orderBy(order_key(seed, F.col(key)), key)
-    return df.withColumn("fold", ((F.row_number().over(order) - 1 + F.col(label)) % k).cast("int"))
+def stratified_kfold(df: DataFrame, k: int, seed: int, label: str = "rating", key: str = "review_id", deal: str | None = None) -> DataFrame:
+    """Adds ``fold`` from 0 to k - 1; each label is dealt evenly, starting at another fold. ``deal`` names a column for
+    the round in which a row was dealt, from 0: parts of rounds are stratified too, within any set of folds."""
+    nth = F.row_number().over(Window.partitionBy(label).orderBy(order_key(seed, F.col(key)), key)) - 1
+    ranked = df.withColumn("_nth", nth)
+    out = ranked.withColumn("fold", ((F.col("_nth") + F.col(label)) % k).cast("int"))
+    return (out.withColumn(deal, F.floor(F.col("_nth") / k).cast("int")) if deal else out).drop("_nth")
 
 
 def inner_holdout(folds: DataFrame, k: int, seed: int, share: float = 0.1, label: str = "rating", key: str = "review_id") -> DataFrame:

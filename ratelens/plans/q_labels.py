@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ratelens.functions import calibration as cal
 from ratelens.functions import ordinal
 from ratelens.functions.rng import h, sql_h
-from ratelens.operators import checks, confident, models, preprocess, splitting
-from ratelens.plans.config import CV_SEED, K_VALUES
+from ratelens.operators import checks, confident, models, preprocess, proxies, splitting
+from ratelens.plans.config import CV_FOLDS, N_BOOT
 from ratelens.plans.fixtures import SCORED_SQL, reviews, scored
 from ratelens.plans.registry import Registry
 from ratelens.sources.tables import table
@@ -213,20 +213,15 @@ rk AS (SELECT *, row_number() OVER (ORDER BY ok DESC, pct_severe DESC, rating) <
 )
 
 
-def proxy_row(rows, proxy_id: int, chain: bool):
-    """Identity, metrics, flagged share and, where there is a chain, its largest gap."""
-    out = rows.agg(F.lit(proxy_id).alias("proxy_id"), F.count("*").alias("n"), *ordinal.metrics(F.col("rating"), F.col("predicted_rating")), F.round(100.0 * F.count_if("is_noise") / F.count("*"), 6).alias("pct_flagged"))
-    return out.crossJoin(cal.chain_gap(rows, "q_chain", "probs").select(F.round("gap_max", 9).alias("chain_gap_max"))) if chain else out
-
-
-def ablation(spark, sf):
-    """Two proxies over the same rows: one without an ordinal chain, one with."""
+def evaluation_row(spark, sf):
+    """Metrics, flagged share and the chain's largest gap of one proxy."""
     rows = confident.detect(chained(spark, sf))
-    return confident.ablation_table([proxy_row(rows, 3, True), proxy_row(rows, 0, False)])
+    out = rows.agg(F.count("*").alias("n"), *ordinal.metrics(F.col("rating"), F.col("predicted_rating")), F.round(100.0 * F.count_if("is_noise") / F.count("*"), 6).alias("pct_flagged"))
+    return out.crossJoin(cal.chain_gap(rows, "q_chain", "probs").select(F.round("gap_max", 9).alias("chain_gap_max")))  # one row each
 
 
 _M = f"round(avg(abs(rating - predicted_rating)), 9) AS mae, round(sqrt(avg(((rating - predicted_rating) * (rating - predicted_rating))::DOUBLE)), 9) AS rmse, round(avg((rating = predicted_rating)::INT::DOUBLE), 9) AS accuracy, round(avg((abs(rating - predicted_rating) <= 1)::INT::DOUBLE), 9) AS off_by_one, round({ordinal.sql_qwk('rating', 'predicted_rating')}, 9) AS qwk, round(100.0::DOUBLE * count(*) FILTER (is_noise) / count(*), 6) AS pct_flagged"
-add("ablation_table", ablation, f"{CL}, {CHAIN}, {GAPS} --> SELECT 0::INT AS proxy_id, count(*) AS n, {_M}, NULL::DOUBLE AS chain_gap_max FROM de UNION ALL SELECT 3, count(*), {_M}, (SELECT round(max(gap), 9) FROM gaps) FROM de")
+add("evaluation_row", evaluation_row, f"{CL}, {CHAIN}, {GAPS} --> SELECT count(*) AS n, {_M}, (SELECT round(max(gap), 9) FROM gaps) AS chain_gap_max FROM de")
 
 
 def flag_jaccard(spark, sf):
@@ -237,25 +232,6 @@ def flag_jaccard(spark, sf):
 add("flag_jaccard", flag_jaccard, f"{CL} --> SELECT count(*) FILTER (confident_learning AND prune_by_noise_rate) AS n_both, count(*) FILTER (confident_learning OR prune_by_noise_rate) AS n_any, round(count(*) FILTER (confident_learning AND prune_by_noise_rate) / nullif(count(*) FILTER (confident_learning OR prune_by_noise_rate), 0)::DOUBLE, 9) AS jaccard FROM fl")
 
 
-def k_sensitivity(spark, sf):
-    """Flag sets of fold counts against that of five: a hashed tenth of the flags moves with each count."""
-    rows = confident.detect(scored(spark, sf)).select("review_id", "is_noise")
-    out = None
-    base = rows.where("is_noise")
-    for k in K_VALUES:
-        own = base if k == 5 else base.where(h(f"k{k}", F.col("review_id")) % 10 > 0)
-        row = confident.jaccard(own, base).select(F.lit(k).alias("k"), F.col("n_both").alias("n_flagged"), "jaccard")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-add(
-    "k_sensitivity",
-    k_sensitivity,
-    f"{CL} --> " + " UNION ALL ".join(f"SELECT {k}::INT AS k, count(*) FILTER ({'TRUE' if k == 5 else sql_h(repr(f'k{k}'), 'review_id') + ' % 10 > 0'}) AS n_flagged, round(count(*) FILTER ({'TRUE' if k == 5 else sql_h(repr(f'k{k}'), 'review_id') + ' % 10 > 0'}) / count(*)::DOUBLE, 9) AS jaccard FROM de WHERE is_noise" for k in K_VALUES),
-)
-
-
 # Models
 add(
     "meanpool_embeddings",
@@ -265,13 +241,21 @@ add(
 )
 
 
-def folded(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("review_id"), "embedding", F.col("label").cast("int").alias("label"))
-    return splitting.stratified_kfold(e, 3, CV_SEED, "label")
+def embedded(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("review_id"), "embedding", F.col("label").cast("int").alias("label"))
+
+
+def rated(spark, sf):
+    """The ten labels as five ratings of two each, in order."""
+    return embedded(spark, sf).select("review_id", "embedding", (F.floor(F.col("label") / 2) + 1).cast("int").alias("rating"))
 
 
-add("proxy_lr_oof", lambda s, d: models.oof_logistic(folded(s, d), 3, 10).select("review_id", "label", "fold", (cal.argmax(F.col("probs"))).alias("predicted")))
-add("corn_binary_lr_oof", lambda s, d: models.oof_chain(folded(s, d).withColumn("label", F.col("label") % 3), 3, 3).select("review_id", "label", "fold", cal.rank_decode(F.col("q_chain")).alias("predicted")))
+# All labels, each fold fitted; no SQL, so tests hold them against brute force.
+add("proxy_lr_oof", lambda s, d: models.oof_logistic(embedded(s, d), CV_FOLDS, 10).select("review_id", "label", "fold", cal.argmax(F.col("probs")).alias("predicted")))
+add("corn_binary_lr_oof", lambda s, d: models.oof_scaled(embedded(s, d), CV_FOLDS, 10, ordinal=True)[0].select("review_id", "label", "fold", cal.rank_decode(F.col("q_chain")).alias("predicted")))
+add("ablation_table", lambda s, d: proxies.proxy_ablation(rated(s, d)))
+add("k_sensitivity", lambda s, d: proxies.k_table(proxies.predictions_by_k(rated(s, d))))
+add("k_sensitivity_qwk_pairs", lambda s, d: proxies.paired_qwk(proxies.predictions_by_k(rated(s, d)), N_BOOT))
 
 
 def quality_gate(spark, sf):
