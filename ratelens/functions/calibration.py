@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,17 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scaled(values: Column) -> Column:
+    """Divided by their sum; equal shares where that is 0."""
+    share = lambda v, total: F.transform(v, lambda x: F.when(total > 0, x / total).otherwise(1.0 / F.size(v)))
+    return let(values, lambda v: let(_sum(v), lambda total: share(v, total)))
+
+
 def derived_cumulative(probs: Column, classes: int = 5) -> Column:
     """P(y > k) for k = 1 .. classes - 1 as tail sums."""
     return F.array(*(_sum(F.slice(probs, k + 1, classes - k)) for k in range(1, classes)))
@@ -43,21 +54,22 @@ def sigmoid(x: Column) -> Column:
 def chain(logits: Column, temperature: Column | float = 1.0) -> Column:
     """Ordinal chain: running products of the sigmoids of logits, P(y > k)."""
     parts = F.transform(logits, lambda z: sigmoid(z / temperature))
-    return F.transform(parts, lambda x, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(1.0), lambda a, v: a * v))
+    # Each product is the one before times the next part, so that every part is evaluated once.
+    none = F.array().cast("array<double>")
+    return F.aggregate(parts, none, lambda q, v: F.concat(q, F.array(F.when(F.size(q) == 0, v).otherwise(F.element_at(q, F.greatest(F.size(q), F.lit(1))) * v))))
 
 
 def chain_probs(q: Column, floor: float = FLOOR) -> Column:
     """Class probabilities of a chain: differences, floored, scaled to one."""
-    upper = F.concat(F.array(F.lit(1.0)), q)
-    lower = F.concat(q, F.array(F.lit(0.0)))
-    raw = F.zip_with(upper, lower, lambda a, b: F.greatest(a - b, F.lit(floor)))
-    return F.transform(raw, lambda p: p / _sum(raw))
+    def raw(q: Column) -> Column:
+        upper, lower = F.concat(F.array(F.lit(1.0)), q), F.concat(q, F.array(F.lit(0.0)))
+        return F.zip_with(upper, lower, lambda a, b: F.greatest(a - b, F.lit(floor)))
+
+    return scaled(let(q, raw))
 
 
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
-    top = F.array_max(logits)
-    raw = F.transform(logits, lambda z: F.exp((z - top) / temperature))
-    return F.transform(raw, lambda x: x / _sum(raw))
+    return scaled(let(F.array_max(logits), lambda top: F.transform(logits, lambda z: F.exp((z - top) / temperature))))
 
 
 def rank_decode(q: Column) -> Column:

@@ -149,10 +149,13 @@ def flags(df: DataFrame) -> DataFrame:
     return _flagged(df)[0]
 
 
+def _by_joint(cells: list) -> int:
+    return sum(r["n"] for r in cells if r["wrong"] and r["confident"] is not None and r["confident"] != r["rating"])
+
+
 def _selected(cells: list, pruned: int) -> tuple[str, int, int | None]:
     """The method whose count is nearest to the estimate, the first of equally near ones."""
-    by_joint = sum(r["n"] for r in cells if r["wrong"] and r["confident"] is not None and r["confident"] != r["rating"])
-    counts, estimated = {"confident_learning": by_joint, "prune_by_noise_rate": pruned}, _estimate(cells)
+    counts, estimated = {"confident_learning": _by_joint(cells), "prune_by_noise_rate": pruned}, _estimate(cells)
     best = min(counts, key=lambda m: abs(counts[m] - (estimated or 0)))
     return best, counts[best], estimated
 
@@ -163,11 +166,18 @@ def select_method(df: DataFrame) -> DataFrame:
     return _table(df, [_selected(cells, pruned)], "selected string, n_flagged long, estimated long")
 
 
+def detect_with_counts(df: DataFrame, threshold: int = SEVERITY) -> tuple[DataFrame, dict[str, object]]:
+    """Rows with ``is_noise`` by the selected method and ``is_noise_severe``; and the counts that led to the method."""
+    flagged, cells, pruned = _flagged(df)
+    method, _, estimated = _selected(cells, pruned)
+    noisy = flagged.withColumn("is_noise", F.col(method))
+    counts = {"selected_method": method, "n_confident_learning": _by_joint(cells), "n_prune_by_noise_rate": pruned, "n_estimated": estimated}
+    return noisy.withColumn("is_noise_severe", F.col("is_noise") & (F.col("rating_diff") >= threshold)), counts
+
+
 def detect(df: DataFrame, threshold: int = SEVERITY) -> DataFrame:
     """Rows with ``is_noise`` by the selected method and ``is_noise_severe``."""
-    flagged, cells, pruned = _flagged(df)
-    noisy = flagged.withColumn("is_noise", F.col(_selected(cells, pruned)[0]))
-    return noisy.withColumn("is_noise_severe", F.col("is_noise") & (F.col("rating_diff") >= threshold))
+    return detect_with_counts(df, threshold)[0]
 
 
 VARIANTS = ("raw", "hard", "severe")

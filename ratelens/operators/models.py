@@ -18,7 +18,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.functions.calibration import chain, chain_probs, sigmoid, softmax
+from ratelens.functions.calibration import chain, chain_probs, scaled, sigmoid, softmax
+from ratelens.operators.confident import once
 from ratelens.operators.regression import Head, fit_heads
 from ratelens.operators.splitting import stratified_kfold
 from ratelens.plans.config import CV_FOLDS, CV_SEED
@@ -69,9 +70,9 @@ def platt(scores: DataFrame, by: Sequence[str]) -> list[tuple]:
         table = spark.createDataFrame([(*k, *tried[k], s["hi"], s["lo"]) for k, s in open_.items()], schema)  # a row a class and model
         z, t = F.col("a") * F.col("score") + F.col("b"), F.when(F.col("hit"), F.col("hi")).otherwise(F.col("lo"))
         loss = F.greatest(z, F.lit(0.0)) - t * z + F.log1p(F.exp(-F.abs(z)))
-        row = scores.join(F.broadcast(table), list(by)).select(*by, "score", loss.alias("loss"), (sigmoid(z) - t).alias("g"), (sigmoid(z) * (1.0 - sigmoid(z))).alias("w"))
+        row = scores.join(F.broadcast(table), list(by)).select(*by, "score", loss.alias("_loss"), (sigmoid(z) - t).alias("_slope"), (sigmoid(z) * (1.0 - sigmoid(z))).alias("_curve"))
         f = F.col("score")
-        sums = row.groupBy(*by).agg(*(F.sum(c).alias(n) for n, c in {"loss": F.col("loss"), "ga": F.col("g") * f, "gb": F.col("g"), "haa": F.col("w") * f * f, "hab": F.col("w") * f, "hbb": F.col("w")}.items()))
+        sums = row.groupBy(*by).agg(*(F.sum(c).alias(n) for n, c in {"loss": F.col("_loss"), "ga": F.col("_slope") * f, "gb": F.col("_slope"), "haa": F.col("_curve") * f * f, "hab": F.col("_curve") * f, "hbb": F.col("_curve")}.items()))
         for r in sums.collect():
             k = tuple(r[c] for c in by)
             s = state[k]
@@ -87,11 +88,6 @@ def platt(scores: DataFrame, by: Sequence[str]) -> list[tuple]:
     return [(*k, *s["best"]) for k, s in state.items()]
 
 
-def _scaled(p: Column) -> Column:
-    total = F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(p, lambda v: F.when(total > 0, v / total).otherwise(1.0 / F.size(p)))
-
-
 def oof_logistic(df: DataFrame, k: int, classes: int, embedding: str = "embedding", label: str = "label", key: str = "review_id", seed: int = CV_SEED) -> DataFrame:
     """``fold, probs``: out-of-fold probabilities of a calibrated multinomial regression, labels from 0.
 
@@ -120,10 +116,10 @@ def oof_logistic(df: DataFrame, k: int, classes: int, embedding: str = "embeddin
         calibrated.append((o, i, [([a * v for v in w], a * b + c) for (w, b), (a, c) in zip(heads, own)]))
     models = [(o, [h for p, _, h in calibrated if p == o and h]) for o in range(k)]
     known = F.broadcast(spark.createDataFrame(models, f"fold int, models array<{HEADS}>"))  # k rows
-    each = F.transform("models", lambda m: _scaled(F.transform(_margins(m, F.col("x")), sigmoid)))
+    each = F.transform("models", lambda m: scaled(F.transform(_margins(m, F.col("x")), sigmoid)))
     total = F.aggregate(each, F.array_repeat(F.lit(0.0), classes), lambda s, p: F.zip_with(s, p, lambda a, b: a + b))
     out = _prepared(folds, embedding).join(known, "fold").withColumn("probs", F.transform(total, lambda v: v / F.size("models")))
-    return out.select(*(c for c in df.columns if c != embedding), "fold", "probs")
+    return once(out, "probs").select(*(c for c in df.columns if c != embedding), "fold", "probs")
 
 
 def oof_scaled(df: DataFrame, k: int, classes: int, ordinal: bool, embedding: str = "embedding", label: str = "label", key: str = "review_id", seed: int = CV_SEED) -> tuple[DataFrame, dict[int, float]]:
@@ -151,23 +147,29 @@ def oof_scaled(df: DataFrame, k: int, classes: int, ordinal: bool, embedding: st
     temperatures = {o: temperatures.get(o, 1.0) for o in range(k)}
     warm = F.broadcast(spark.createDataFrame([(o, t) for o, t in temperatures.items()], "outer int, temperature double"))
     rows = _prepared(folds, embedding).join(F.broadcast(table), F.col("fold") == F.col("outer")).drop("outer").join(warm, F.col("fold") == F.col("outer"))
-    rows = rows.withColumn("logits", _margins(F.col("heads"), F.col("x")))
+    rows = once(rows.withColumn("logits", _margins(F.col("heads"), F.col("x"))).drop("heads", "x"), "logits")
     kept = [*(c for c in df.columns if c != embedding), "fold"]
     if ordinal:
-        out = rows.withColumn("q_chain", chain(F.col("logits"), F.col("temperature"))).withColumn("probs", chain_probs(F.col("q_chain")))
-        return out.select(*kept, "q_chain", "probs"), temperatures
-    return rows.withColumn("probs", softmax(F.col("logits"), F.col("temperature"))).select(*kept, "probs"), temperatures
+        out = once(rows.withColumn("q_chain", chain(F.col("logits"), F.col("temperature"))), "q_chain")
+        return once(out.withColumn("probs", chain_probs(F.col("q_chain"))), "probs").select(*kept, "q_chain", "probs"), temperatures
+    return once(rows.withColumn("probs", softmax(F.col("logits"), F.col("temperature"))), "probs").select(*kept, "probs"), temperatures
 
 
-def _loss(logits: Column, temperature: Column, label0: Column, ordinal: bool) -> Column:
-    p = chain_probs(chain(logits, temperature)) if ordinal else softmax(logits, temperature)
-    return -F.log(F.greatest(F.element_at(p, label0 + 1), F.lit(1e-8)))
+def _with_loss(df: DataFrame, logits: str, temperature: str, label0: str, ordinal: bool) -> DataFrame:
+    """Adds ``loss``: less the logarithm of the label's probability."""
+    if not ordinal:
+        p = softmax(F.col(logits), F.col(temperature))
+    else:
+        df = once(df.withColumn("_q", chain(F.col(logits), F.col(temperature))), "_q")
+        p = chain_probs(F.col("_q"))
+    known = once(df.withColumn("_p", p), "_p")
+    return known.withColumn("loss", -F.log(F.greatest(F.element_at("_p", F.col(label0) + 1), F.lit(1e-8))))
 
 
 def temperature_grid(df: DataFrame, temperatures: Sequence[float], logits: str = "logits", label0: str = "label0", ordinal: bool = False) -> DataFrame:
     """``temperature, nll`` for every candidate: rows meet the few candidates by an explode, then one aggregation."""
     grid = df.withColumn("temperature", F.explode(F.array(*(F.lit(float(t)) for t in temperatures))))
-    return grid.groupBy("temperature").agg(F.avg(_loss(F.col(logits), F.col("temperature"), F.col(label0), ordinal)).alias("nll"))
+    return _with_loss(grid, logits, "temperature", label0, ordinal).groupBy("temperature").agg(F.avg("loss").alias("nll"))
 
 
 def fit_temperatures(df: DataFrame, by: str, ordinal: bool) -> dict[int, float]:
@@ -181,7 +183,7 @@ def fit_temperatures(df: DataFrame, by: str, ordinal: bool) -> dict[int, float]:
         grids = {g: [math.exp(lo + (hi - lo) * i / (CANDIDATES - 1)) for i in range(CANDIDATES)] for g, (lo, hi) in spans.items()}
         table = F.broadcast(spark.createDataFrame(list(grids.items()), f"{by} int, ts array<double>"))
         tried = df.join(table, by).select(by, "logits", "label0", F.explode("ts").alias("t"))
-        nll = tried.groupBy(by, "t").agg(F.avg(_loss(F.col("logits"), F.col("t"), F.col("label0"), ordinal)).alias("nll"))
+        nll = _with_loss(tried, "logits", "t", "label0", ordinal).groupBy(by, "t").agg(F.avg("loss").alias("nll"))
         for r in nll.groupBy(by).agg(F.min_by("t", F.struct(F.round("nll", 12), "t")).alias("t")).collect():
             best[r[by]] = r["t"]
             lo, hi = spans[r[by]]

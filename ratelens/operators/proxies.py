@@ -45,21 +45,17 @@ def evaluate(detected: DataFrame, counts: Mapping[str, object], chain: bool = Fa
     return reduce(DataFrame.crossJoin, parts, row)  # one row each
 
 
-def method_counts(rows: DataFrame) -> dict[str, object]:
-    """Rows each filter flags, the estimate and the method that is nearest to it."""
-    chosen = confident.select_method(rows).first()
-    both = confident.flags(rows).agg(F.count_if("confident_learning").alias("a"), F.count_if("prune_by_noise_rate").alias("b")).first()
-    estimated = F.lit(chosen["estimated"]).cast("long")
-    return {"selected_method": F.lit(chosen["selected"]), "n_confident_learning": F.lit(both["a"]).cast("long"), "n_prune_by_noise_rate": F.lit(both["b"]).cast("long"), "n_estimated": estimated}
+def _typed(counts: Mapping[str, object]) -> dict[str, Column]:
+    return {n: F.lit(v).cast("string" if n == "selected_method" else "long") for n, v in counts.items()}
 
 
 def evaluate_proxy(df: DataFrame, proxy_id: int, k: int = CV_FOLDS) -> tuple[DataFrame, DataFrame]:
     """The evaluation row of a proxy over ``review_id, rating, embedding``, and its rows with their flags."""
     oof, temperatures = models.proxy_oof(df.withColumn("label", F.col("rating") - 1), proxy_id, k, NUM_CLASSES)
-    detected = confident.detect(oof)
+    detected, counts = confident.detect_with_counts(oof)
     mean = sum(temperatures.values()) / len(temperatures) if temperatures else None
     label, name = models.PROXIES[proxy_id]
-    known = {"proxy_id": proxy_id, "label": label, "name": name, "k": k, **method_counts(oof), "mean_temperature": F.lit(mean).cast("double")}
+    known = {"proxy_id": proxy_id, "label": label, "name": name, "k": k, **_typed(counts), "mean_temperature": F.lit(mean).cast("double")}
     return evaluate(detected, known, proxy_id == models.FINAL_PROXY), detected
 
 
@@ -76,12 +72,12 @@ def predictions_by_k(df: DataFrame, ks: Sequence[int] = K_VALUES) -> dict[int, D
 
 def k_table(oof: Mapping[int, DataFrame], base: int = CV_FOLDS) -> DataFrame:
     """A row for each number of folds: metrics, calibration, counts, and the similarity of its flags to those of ``base``."""
-    found = {k: confident.detect(rows) for k, rows in oof.items()}
+    found = {k: confident.detect_with_counts(rows) for k, rows in oof.items()}
     rows = []
-    for k, detected in sorted(found.items()):
-        same = confident.jaccard(detected.where("is_noise"), found[base].where("is_noise")).select(F.col("jaccard").alias("jaccard_vs_base"))
+    for k, (detected, counts) in sorted(found.items()):
+        same = confident.jaccard(detected.where("is_noise"), found[base][0].where("is_noise")).select(F.col("jaccard").alias("jaccard_vs_base"))
         flagged = detected.agg(F.count_if("is_noise").alias("n_flagged"))
-        rows.append(evaluate(detected, {"k": k, **method_counts(oof[k])}, chain=True).crossJoin(flagged).crossJoin(same))  # one row each
+        rows.append(evaluate(detected, {"k": k, **_typed(counts)}, chain=True).crossJoin(flagged).crossJoin(same))  # one row each
     return reduce(DataFrame.unionByName, rows)
 
 
