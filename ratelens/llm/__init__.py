@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("chat_format", "packing", "decontaminate", "substring_dedup", "near_dedup", "url_filter", "warc", "language_id", "quality_rules", "quality_classifier")
+MODULES = ("chat_format", "packing", "decontaminate", "substring_dedup", "near_dedup", "url_filter", "warc", "language_id", "quality_rules", "quality_classifier", "topk_search", "dual_tree_kmeans", "filter_audit")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
