@@ -33,6 +33,12 @@ CANDIDATES, REFINEMENTS, COLDEST, HOTTEST = 25, 4, 0.01, 100.0
 HEADS = "array<struct<w:array<double>,b:double>>"
 
 
+class Temperatures(dict):
+    """A temperature for each fold; ``losses`` has the mean loss of its inner hold-out before and after scaling."""
+
+    losses: dict[int, tuple[float, float]] = {}
+
+
 def mean_pool(embedding: str, width: int) -> Column:
     """Means of consecutive runs of ``width`` values."""
     n = (F.size(embedding) / width).cast("int")
@@ -88,15 +94,17 @@ def platt(scores: DataFrame, by: Sequence[str]) -> list[tuple]:
     return [(*k, *s["best"]) for k, s in state.items()]
 
 
-def oof_logistic(df: DataFrame, k: int, classes: int, embedding: str = "embedding", label: str = "label", key: str = "review_id", seed: int = CV_SEED) -> DataFrame:
+def oof_logistic(df: DataFrame, k: int, classes: int, embedding: str = "embedding", label: str = "label", key: str = "review_id", seed: int = CV_SEED, only: Sequence[int] | None = None) -> DataFrame:
     """``fold, probs``: out-of-fold probabilities of a calibrated multinomial regression, labels from 0.
 
     Every training set is dealt into three parts; three regressions leave one out each, their margins on that part
-    fit a sigmoid per class, and the scaled sigmoids of the three are averaged. ``df`` needs a distinct key; an empty table gives no rows.
+    fit a sigmoid per class, and the scaled sigmoids of the three are averaged. ``df`` needs a distinct key; an empty table gives no rows. ``only`` names the folds to be fitted and
+    returned, all if it is none.
     """
     folds = stratified_kfold(df, k, seed, label, key, deal="_deal").withColumn("_part", F.col("_deal") % INNER_PARTS)
     base = _prepared(folds.select("fold", F.col("_part").alias("part"), F.col(label).cast("int").alias("label0"), embedding), embedding).drop(embedding).persist(StorageLevel.MEMORY_AND_DISK)
-    spark, jobs = df.sparkSession, [(o, i) for o in range(k) for i in range(INNER_PARTS)]
+    wanted = list(range(k) if only is None else only)
+    spark, jobs = df.sparkSession, [(o, i) for o in wanted for i in range(INNER_PARTS)]
     scores = None
     try:
         fitted = dict(zip(jobs, fit_heads(base, [Head(o, i) for o, i in jobs], classes)))
@@ -114,7 +122,7 @@ def oof_logistic(df: DataFrame, k: int, classes: int, embedding: str = "embeddin
     for (o, i), heads in fitted.items():
         own = [curve.get((o, i, c), (1.0, 0.0)) for c in range(len(heads))]
         calibrated.append((o, i, [([a * v for v in w], a * b + c) for (w, b), (a, c) in zip(heads, own)]))
-    models = [(o, [h for p, _, h in calibrated if p == o and h]) for o in range(k)]
+    models = [(o, [h for p, _, h in calibrated if p == o and h]) for o in wanted]
     known = F.broadcast(spark.createDataFrame(models, f"fold int, models array<{HEADS}>"))  # k rows
     each = F.transform("models", lambda m: scaled(F.transform(_margins(m, F.col("x")), sigmoid)))
     total = F.aggregate(each, F.array_repeat(F.lit(0.0), classes), lambda s, p: F.zip_with(s, p, lambda a, b: a + b))
@@ -122,29 +130,31 @@ def oof_logistic(df: DataFrame, k: int, classes: int, embedding: str = "embeddin
     return once(out, "probs").select(*(c for c in df.columns if c != embedding), "fold", "probs")
 
 
-def oof_scaled(df: DataFrame, k: int, classes: int, ordinal: bool, embedding: str = "embedding", label: str = "label", key: str = "review_id", seed: int = CV_SEED) -> tuple[DataFrame, dict[int, float]]:
+def oof_scaled(df: DataFrame, k: int, classes: int, ordinal: bool, embedding: str = "embedding", label: str = "label", key: str = "review_id", seed: int = CV_SEED, only: Sequence[int] | None = None) -> tuple[DataFrame, Temperatures]:
     """Out-of-fold probabilities of linear heads, and the temperature of every fold.
 
     ``ordinal``: one binary regression for each threshold, fitted on the rows that reached the one before, which adds
     ``q_chain``; else one softmax. A tenth of every training set, stratified, fits the temperature and no head. An
-    empty table gives no rows.
+    empty table gives no rows. ``only`` names the folds to be fitted and returned, all if it is none.
     """
+    wanted = list(range(k) if only is None else only)
     folds = stratified_kfold(df, k, seed, label, key, deal="_deal").withColumn("_held", (F.col("_deal") + F.col("fold")) % HOLDOUT == 0)
     base = _prepared(folds.select("fold", F.col("_held").cast("int").alias("part"), F.col(label).cast("int").alias("label0"), embedding), embedding).drop(embedding).persist(StorageLevel.MEMORY_AND_DISK)
     spark, heads_of = df.sparkSession, range(classes - 1) if ordinal else range(1)
 
     try:
-        jobs = [(o, t) for o in range(k) for t in heads_of]
+        jobs = [(o, t) for o in wanted for t in heads_of]
         fitted = dict(zip(jobs, fit_heads(base, [Head(o, 1, t if ordinal else None) for o, t in jobs], classes)))
-        table = spark.createDataFrame([(o, [h for t in heads_of for h in fitted[o, t]]) for o in range(k)], f"outer int, heads {HEADS}")  # k rows
+        table = spark.createDataFrame([(o, [h for t in heads_of for h in fitted[o, t]]) for o in wanted], f"outer int, heads {HEADS}")  # k rows
         held = base.where("part = 1").join(F.broadcast(table), F.col("fold") != F.col("outer")).select("outer", _margins(F.col("heads"), F.col("x")).alias("logits"), "label0").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            temperatures = fit_temperatures(held, "outer", ordinal)
+            found = fit_temperatures(held, "outer", ordinal)
+            temperatures = Temperatures({o: found.get(o, 1.0) for o in wanted})
+            temperatures.losses = _losses_at(held, "outer", temperatures, ordinal)
         finally:
             held.unpersist()
     finally:
         base.unpersist()
-    temperatures = {o: temperatures.get(o, 1.0) for o in range(k)}
     warm = F.broadcast(spark.createDataFrame([(o, t) for o, t in temperatures.items()], "outer int, temperature double"))
     rows = _prepared(folds, embedding).join(F.broadcast(table), F.col("fold") == F.col("outer")).drop("outer").join(warm, F.col("fold") == F.col("outer"))
     rows = once(rows.withColumn("logits", _margins(F.col("heads"), F.col("x"))).drop("heads", "x"), "logits")
@@ -192,6 +202,19 @@ def fit_temperatures(df: DataFrame, by: str, ordinal: bool) -> dict[int, float]:
     return best
 
 
+def _losses_at(df: DataFrame, by: str, temperatures: dict[int, float], ordinal: bool) -> dict[int, tuple[float, float]]:
+    """Mean loss of every group at the temperature 1 and at its own, from one aggregation."""
+    table = F.broadcast(df.sparkSession.createDataFrame([(g, side, t) for g, own in temperatures.items() for side, t in enumerate((1.0, own))], f"{by} int, side int, t double"))
+    tried = df.join(table, by).select(by, "side", "logits", "label0", "t")
+    found = {(r[by], r["side"]): r["nll"] for r in _with_loss(tried, "logits", "t", "label0", ordinal).groupBy(by, "side").agg(F.avg("loss").alias("nll")).collect()}
+    return {g: (found[g, 0], found[g, 1]) for g in temperatures if (g, 0) in found}
+
+
+def losses_of(temperatures: dict[int, float]) -> dict[int, tuple[float, float]]:
+    """Losses before and after scaling, by fold, where they are known."""
+    return getattr(temperatures, "losses", {})
+
+
 def best_temperature(grid: DataFrame) -> DataFrame:
     """The temperature of least loss (the lowest of equal ones); 1 where there are no rows."""
     return grid.agg(F.coalesce(F.min_by("temperature", F.struct("nll", "temperature")), F.lit(1.0)).alias("temperature"))
@@ -203,7 +226,7 @@ PROXIES = {0: ("P1", "embedding_lr"), 1: ("P2", "pooled_lr"), 2: ("P3", "softmax
 FINAL_PROXY = 3
 
 
-def proxy_oof(df: DataFrame, proxy_id: int, k: int = CV_FOLDS, classes: int = 5, label: str = "label") -> tuple[DataFrame, dict[int, float]]:
+def proxy_oof(df: DataFrame, proxy_id: int, k: int = CV_FOLDS, classes: int = 5, label: str = "label", only: Sequence[int] | None = None) -> tuple[DataFrame, dict[int, float]]:
     """Out-of-fold rows of one proxy and its temperatures (none for P1 and P2); only P4 takes other fold counts."""
     if proxy_id not in PROXIES:
         raise KeyError(proxy_id)
@@ -211,5 +234,5 @@ def proxy_oof(df: DataFrame, proxy_id: int, k: int = CV_FOLDS, classes: int = 5,
         raise ValueError(f"{PROXIES[proxy_id][0]} has {CV_FOLDS} folds, not {k}")
     if proxy_id < 2:
         rows = df.withColumn("embedding", mean_pool("embedding", POOL)) if proxy_id == 1 else df
-        return oof_logistic(rows, k, classes, label=label), {}
-    return oof_scaled(df, k, classes, proxy_id == FINAL_PROXY, label=label)
+        return oof_logistic(rows, k, classes, label=label, only=only), {}
+    return oof_scaled(df, k, classes, proxy_id == FINAL_PROXY, label=label, only=only)

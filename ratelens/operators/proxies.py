@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratelens.functions import calibration as cal
 from ratelens.functions.ordinal import metrics, qwk
 from ratelens.operators import confident, models
+from ratelens.operators.oof_store import Provider
 from ratelens.operators.significance import resample
 from ratelens.plans.config import BOOT_SEED, CV_FOLDS, K_VALUES, NUM_CLASSES
 
@@ -49,9 +50,16 @@ def _typed(counts: Mapping[str, object]) -> dict[str, Column]:
     return {n: F.lit(v).cast("string" if n == "selected_method" else "long") for n, v in counts.items()}
 
 
-def evaluate_proxy(df: DataFrame, proxy_id: int, k: int = CV_FOLDS) -> tuple[DataFrame, DataFrame]:
-    """The evaluation row of a proxy over ``review_id, rating, embedding``, and its rows with their flags."""
-    oof, temperatures = models.proxy_oof(df.withColumn("label", F.col("rating") - 1), proxy_id, k, NUM_CLASSES)
+def _fit(df: DataFrame, proxy_id: int, k: int) -> tuple[DataFrame, dict[int, float]]:
+    return models.proxy_oof(df, proxy_id, k, NUM_CLASSES)
+
+
+def evaluate_proxy(df: DataFrame, proxy_id: int, k: int = CV_FOLDS, provider: Provider = _fit) -> tuple[DataFrame, DataFrame]:
+    """The evaluation row of a proxy over ``review_id, rating, embedding``, and its rows with their flags.
+
+    ``provider`` gives the out-of-fold rows: fitted here, or ``OofStore.get``, which fits only what isn't stored.
+    """
+    oof, temperatures = provider(df.withColumn("label", F.col("rating") - 1), proxy_id, k)
     detected, counts = confident.detect_with_counts(oof)
     mean = sum(temperatures.values()) / len(temperatures) if temperatures else None
     label, name = models.PROXIES[proxy_id]
@@ -59,15 +67,15 @@ def evaluate_proxy(df: DataFrame, proxy_id: int, k: int = CV_FOLDS) -> tuple[Dat
     return evaluate(detected, known, proxy_id == models.FINAL_PROXY), detected
 
 
-def proxy_ablation(df: DataFrame, proxies: Sequence[int] = tuple(models.PROXIES)) -> DataFrame:
-    """The evaluation rows of P1 to P4, each fitted on its own; columns that a proxy lacks are null."""
-    return confident.ablation_table([evaluate_proxy(df, i)[0] for i in proxies])
+def proxy_ablation(df: DataFrame, proxies: Sequence[int] = tuple(models.PROXIES), provider: Provider = _fit) -> DataFrame:
+    """The evaluation rows of P1 to P4; columns that a proxy lacks are null."""
+    return confident.ablation_table([evaluate_proxy(df, i, provider=provider)[0] for i in proxies])
 
 
-def predictions_by_k(df: DataFrame, ks: Sequence[int] = K_VALUES) -> dict[int, DataFrame]:
-    """Flagged rows of the final proxy for every number of folds, each of them fitted."""
+def predictions_by_k(df: DataFrame, ks: Sequence[int] = K_VALUES, provider: Provider = _fit) -> dict[int, DataFrame]:
+    """Out-of-fold rows of the final proxy for every number of folds."""
     labelled = df.withColumn("label", F.col("rating") - 1)
-    return {k: models.proxy_oof(labelled, models.FINAL_PROXY, k, NUM_CLASSES)[0] for k in ks}
+    return {k: provider(labelled, models.FINAL_PROXY, k)[0] for k in ks}
 
 
 def k_table(oof: Mapping[int, DataFrame], base: int = CV_FOLDS) -> DataFrame:

@@ -8,9 +8,11 @@ from ratelens.functions import calibration as cal
 from ratelens.functions import ordinal
 from ratelens.functions.rng import h, sql_h
 from ratelens.operators import checks, confident, models, preprocess, proxies, splitting
+from ratelens.operators.oof_store import OofStore
 from ratelens.plans.config import CV_FOLDS, N_BOOT
 from ratelens.plans.fixtures import SCORED_SQL, reviews, scored
 from ratelens.plans.registry import Registry
+from ratelens.sources.store import store_path
 from ratelens.sources.tables import table
 
 R = Registry(SCORED_SQL)
@@ -253,9 +255,26 @@ def rated(spark, sf):
 # All labels, each fold fitted; no SQL, so tests hold them against brute force.
 add("proxy_lr_oof", lambda s, d: models.oof_logistic(embedded(s, d), CV_FOLDS, 10).select("review_id", "label", "fold", cal.argmax(F.col("probs")).alias("predicted")))
 add("corn_binary_lr_oof", lambda s, d: models.oof_scaled(embedded(s, d), CV_FOLDS, 10, ordinal=True)[0].select("review_id", "label", "fold", cal.rank_decode(F.col("q_chain")).alias("predicted")))
-add("ablation_table", lambda s, d: proxies.proxy_ablation(rated(s, d)))
-add("k_sensitivity", lambda s, d: proxies.k_table(proxies.predictions_by_k(rated(s, d))))
-add("k_sensitivity_qwk_pairs", lambda s, d: proxies.paired_qwk(proxies.predictions_by_k(rated(s, d)), N_BOOT))
+
+
+def oof_store(spark, sf):
+    """The stored out-of-fold rows of the rated embeddings, shared by all queries on them."""
+    return OofStore(store_path(spark, "oof", sf))
+
+
+add("ablation_table", lambda s, d: proxies.proxy_ablation(rated(s, d), provider=oof_store(s, d).get))
+add("k_sensitivity", lambda s, d: proxies.k_table(proxies.predictions_by_k(rated(s, d), provider=oof_store(s, d).get)))
+add("k_sensitivity_qwk_pairs", lambda s, d: proxies.paired_qwk(proxies.predictions_by_k(rated(s, d), provider=oof_store(s, d).get), N_BOOT))
+
+
+def oof_folds(spark, sf):
+    """A row for each stored fold of P4 with five folds: rows, temperature and losses of its inner hold-out."""
+    store = oof_store(spark, sf)
+    store.get(rated(spark, sf).withColumn("label", F.col("rating") - 1), models.FINAL_PROXY)
+    return store.progress(spark).where("proxy = 'P4' and k = 5").drop("seconds")
+
+
+add("oof_folds", oof_folds)
 
 
 def quality_gate(spark, sf):
