@@ -39,8 +39,8 @@ def fold(text: Column) -> Column:
 
 
 def shorten(text: Column) -> Column:
-    """Three or more of a character become two."""
-    return F.regexp_replace(text, "(.)\\1{2,}", "$1$1")
+    """Three or more of a character become two; line breaks are left alone."""
+    return F.regexp_replace(text, "([^\\n])\\1{2,}", "$1$1")
 
 
 def punctuate(text: Column) -> Column:

@@ -87,3 +87,26 @@ def unmatched(ids: DataFrame, known: DataFrame, key: str = "review_id") -> DataF
 
 def nearest_first(df: DataFrame, by: str, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("review_id"))).where(F.col("rank") <= n)
+
+
+def _or_raise(found: Column, value: Column, what: str, key: str) -> Column:
+    """``value`` where the other side was found; else the job ends with the id that has none."""
+    return F.when(found.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit(what), F.col(key).cast("string"))))
+
+
+def paired(first: DataFrame, second: DataFrame, suffixes: tuple[str, str] = ("_1", "_2"), key: str = "review_id") -> DataFrame:
+    """The second annotator's (or later) rows beside the first one's; columns that both have get the suffixes.
+
+    Ids are compared as text. An id of ``second`` that ``first`` lacks ends the job: a subset must come from its parent.
+    """
+    both = (set(first.columns) & set(second.columns)) - {key}
+    named = lambda df, s: df.select(F.col(key).cast("string").alias(key), *(F.col(c).alias(c + s if c in both else c) for c in df.columns if c != key))
+    joined = named(second, suffixes[1]).join(named(first, suffixes[0]).withColumn("_found", F.lit(True)), key, "left")
+    return joined.withColumn(key, _or_raise(F.col("_found"), F.col(key), "the first annotator lacks review ", key)).drop("_found")
+
+
+def with_distance(sample: DataFrame, flagged: DataFrame, key: str = "review_id", distance: str = "rating_diff") -> DataFrame:
+    """``sample`` with the distance of its flagged rows; a row that isn't flagged ends the job."""
+    known = flagged.select(F.col(key).cast("string").alias(key), F.col(distance).alias("_distance"))
+    joined = sample.drop(distance).withColumn(key, F.col(key).cast("string")).join(known, key, "left")
+    return joined.withColumn(distance, _or_raise(F.col("_distance"), F.col("_distance"), "no flagged row for review ", key)).drop("_distance")

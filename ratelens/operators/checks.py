@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -68,3 +69,39 @@ def assert_ok(table: DataFrame) -> None:
     failed = [f"{r.section}: {r.check}" for r in table.where("not ok and severity = 'error'").collect()]
     if failed:
         raise AssertionError("; ".join(failed))
+
+
+def present(found: DataFrame, wanted: Sequence[str], section: str, severity: str = "error") -> DataFrame:
+    """A check for each wanted name: ``found`` (name, n: rows or bytes) has it and it isn't empty."""
+    at = lambda name: F.coalesce(F.max(F.when(F.col("name") == name, F.col("n"))), F.lit(0)) > 0
+    return _rows(found, section, {f"there: {name}": at(name) for name in wanted}, severity)
+
+
+def profile(found: DataFrame, wanted: Sequence[str], preserved: Sequence[str] = ()) -> DataFrame:
+    """Tables of the quality report, and a warning for each preserved input that is missing."""
+    out = present(found, wanted, "profile")
+    return out.unionByName(present(found, preserved, "profile", "warning")) if preserved else out
+
+
+def ablation(found: DataFrame, proxies: Sequence[str], variants: DataFrame) -> DataFrame:
+    """Results of all proxies are there, and the cleaned variants (``variant, proxy``) are the three of the last proxy, or none."""
+    own = F.sort_array(F.collect_set("variant"))
+    three = (F.count("*") == 0) | ((own == F.array(F.lit("hard"), F.lit("raw"), F.lit("severe"))) & (F.count_if(F.col("proxy") != proxies[-1]) == 0))
+    return present(found, proxies, "ablation").unionByName(_rows(variants, "ablation", {"variants come from the last proxy only": three}))
+
+
+def gold(found: DataFrame, wanted: Sequence[str] = ("gold_evaluation", "gold_effects", "gold_undetermined")) -> DataFrame:
+    return present(found, wanted, "gold")
+
+
+def partitions(units_done: DataFrame, effects: DataFrame, splits: Sequence[int], expected: int) -> DataFrame:
+    """For every split: all units (``split_seed, scenario, weight_seed``) have predictions, and effects are there."""
+    per = units_done.select("split_seed", "scenario", "weight_seed").distinct().groupBy().agg(*(F.count_if(F.col("split_seed") == s).alias(f"s{s}") for s in splits))
+    stored = effects.groupBy().agg(*(F.count_if(F.col("split_seed") == s).alias(f"e{s}") for s in splits))
+    checks = {f"split {s}: all units": F.max(f"s{s}") == expected for s in splits}
+    return _rows(per, "partitions", checks).unionByName(_rows(stored, "partitions", {f"split {s}: effects": F.max(f"e{s}") > 0 for s in splits}))
+
+
+def report(*tables: DataFrame) -> DataFrame:
+    """All gates as one table."""
+    return reduce(DataFrame.unionByName, tables)

@@ -207,15 +207,10 @@ def effect_table(wide: DataFrame, n_boot: int, split_seed: int, n_seeds: int = l
     return out.withColumns({"split_seed": F.lit(split_seed), "n_weight_seeds": F.lit(n_seeds)})
 
 
-def consistency(effects: DataFrame, expected: int = 3) -> DataFrame:
-    """A verdict per hypothesis and metric over the splits.
-
-    Effects are turned so that more than 0 favours model A (MAE differences change sign). Consistent:
-    one direction without ties and at least two intervals that exclude 0; with fewer splits than
-    expected there is no verdict.
-    """
+def turned(effects: DataFrame) -> DataFrame:
+    """``hypothesis, metric, split_seed, e, lo, hi``: effects and intervals in which more than 0 favours model A."""
     flip = F.col("metric") == "MAE"
-    e = effects.select(
+    return effects.select(
         "hypothesis",
         "metric",
         "split_seed",
@@ -223,6 +218,23 @@ def consistency(effects: DataFrame, expected: int = 3) -> DataFrame:
         F.when(flip, -F.col("ci_high")).otherwise(F.col("ci_low")).alias("lo"),
         F.when(flip, -F.col("ci_low")).otherwise(F.col("ci_high")).alias("hi"),
     )
+
+
+def effects_by_split(effects: DataFrame, splits: Sequence[int]) -> DataFrame:
+    """``hypothesis, metric`` and for each split ``effect, low, high``, turned; null where a split is missing."""
+    at = lambda s, c: F.max(F.when(F.col("split_seed") == s, F.col(c)))
+    named = (("effect", "e"), ("low", "lo"), ("high", "hi"))
+    return turned(effects).groupBy("hypothesis", "metric").agg(*(at(s, c).alias(f"{n}_{s}") for s in splits for n, c in named))
+
+
+def consistency(effects: DataFrame, expected: int = 3) -> DataFrame:
+    """A verdict per hypothesis and metric over the splits.
+
+    Effects are turned so that more than 0 favours model A (MAE differences change sign). Consistent:
+    one direction without ties and at least two intervals that exclude 0; with fewer splits than
+    expected there is no verdict.
+    """
+    e = turned(effects)
     e = e.withColumns({"way": F.when(F.col("e") > 0, "A").when(F.col("e") < 0, "B").otherwise("tie"), "excl": (F.col("lo") > 0) | (F.col("hi") < 0)})
     per = e.groupBy("hypothesis", "metric").agg(F.count("*").alias("n_splits"), F.min("way").alias("low"), F.max("way").alias("high"), F.count_if("excl").alias("n_excluding_zero"))
     same = (F.col("low") == F.col("high")) & (F.col("low") != "tie")

@@ -107,7 +107,6 @@ EFFECTS = [
     ("H2", "QWK_ensemble", 42, -0.01, -0.02, -0.001), ("H2", "QWK_ensemble", 123, -0.012, -0.02, -0.003), ("H2", "QWK_ensemble", 2024, -0.009, -0.02, 0.002),
     ("H1", "QWK_per_seed", 42, -0.1, -0.2, -0.1), ("H1", "QWK_per_seed", 123, -0.1, -0.2, -0.1),
 ]
-EFFECTS_SQL = "effects(hypothesis, metric, split_seed, diff, ci_low, ci_high) AS (VALUES " + ", ".join(f"('{h_}', '{m}', {s}, {d}::DOUBLE, {lo}::DOUBLE, {hi}::DOUBLE)" for h_, m, s, d, lo, hi in EFFECTS) + ")"
 
 
 def effects(spark: SparkSession) -> DataFrame:

@@ -130,19 +130,23 @@ add(
 
 
 def calibration_report(spark, sf):
-    """One wide row: error of the likeliest class, of each threshold and their mean, monotonicity."""
+    """One wide row: error of the likeliest class, of each threshold and their mean, monotonicity of the chain, its gap to the probabilities."""
     per = cal.ece(thresholds(spark, sf), "q", "event", ("k",))
     cum = per.agg(*(F.round(F.max(F.when(F.col("k") == k, F.col("ece"))), 9).alias(f"ece_threshold{k}") for k in range(1, 5)), F.round(F.avg("ece"), 9).alias("ece_mean"))
     top = cal.ece(predicted(spark, sf).select(F.array_max("probs").alias("p"), (F.col("rating") == F.col("predicted_rating")).alias("ok")), "p", "ok").select(F.round("ece", 9).alias("ece_top_label"))
-    mono = cal.monotonicity(scored(spark, sf).select(cal.derived_cumulative(F.col("probs")).alias("q")), "q").select(F.col("n_violating").alias("monotonicity__n_violating"))
-    return cum.crossJoin(top).crossJoin(mono)  # one row each
+    own = chained(spark, sf)
+    mono = cal.monotonicity(own, "q_chain").select("n_rows", "n_violating", F.round("share_monotone", 9).alias("share_monotone"), F.round("largest_rise", 9).alias("largest_rise"))
+    gap = cal.chain_gap(own, "q_chain", "probs").select(F.round("gap_max", 9).alias("chain_gap__max"), F.round("gap_mean", 9).alias("chain_gap__mean"))
+    return cum.crossJoin(top).crossJoin(mono.select(*(F.col(c).alias(f"monotonicity__{c}") for c in mono.columns))).crossJoin(gap)  # one row each
 
 
 add(
     "calibration_report",
     calibration_report,
-    f"""{LONG}, {ECE}, t AS (SELECT greatest({', '.join(P)}) AS q, (rating = predicted)::INT AS event FROM best), tb AS (SELECT {BIN.format('q')} AS bin, count(*) AS n, avg(q) AS mq, avg(event::DOUBLE) AS me FROM t GROUP BY 1)
---> SELECT {", ".join(f"round(max(ece) FILTER (k = {k}), 9) AS ece_threshold{k}" for k in range(1, 5))}, round(avg(ece), 9) AS ece_mean, (SELECT round(sum(n * abs(me - mq)) / sum(n), 9) FROM tb) AS ece_top_label, 0::BIGINT AS monotonicity__n_violating FROM e""",
+    f"""{LONG}, {ECE}, {CHAIN}, {GAPS}, mo AS (SELECT greatest(q2 - q1, q3 - q2, q4 - q3) AS r FROM chain), t AS (SELECT greatest({', '.join(P)}) AS q, (rating = predicted)::INT AS event FROM best), tb AS (SELECT {BIN.format('q')} AS bin, count(*) AS n, avg(q) AS mq, avg(event::DOUBLE) AS me FROM t GROUP BY 1)
+--> SELECT {", ".join(f"round(max(ece) FILTER (k = {k}), 9) AS ece_threshold{k}" for k in range(1, 5))}, round(avg(ece), 9) AS ece_mean, (SELECT round(sum(n * abs(me - mq)) / sum(n), 9) FROM tb) AS ece_top_label,
+(SELECT count(*) FROM mo) AS monotonicity__n_rows, (SELECT count(*) FILTER (r > 0) FROM mo) AS monotonicity__n_violating, (SELECT round(1.0::DOUBLE - count(*) FILTER (r > 0) / greatest(count(*), 1)::DOUBLE, 9) FROM mo) AS monotonicity__share_monotone, (SELECT round(max(r), 9) FROM mo) AS monotonicity__largest_rise,
+(SELECT round(max(gap), 9) FROM gaps) AS chain_gap__max, (SELECT round(avg(gap), 9) FROM gaps) AS chain_gap__mean FROM e""",
 )
 
 # Confident learning

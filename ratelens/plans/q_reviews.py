@@ -111,32 +111,43 @@ URL_SQL = "regexp_replace(regexp_replace(lower(coalesce({0}, '')), 'http[^\\t\\n
 def _emoji_sql(expr: str) -> str:
     for e, word in tx.EMOJI_WORDS.items():
         expr = f"replace({expr}, '{e}', ' {word} ')"
-    expr = f"regexp_replace({expr}, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{1F1E6}}-\\x{{1F1FF}}\\x{{2190}}-\\x{{21FF}}\\x{{FE0F}}]+', ' ', 'g')"
+    return f"regexp_replace({expr}, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{1F1E6}}-\\x{{1F1FF}}\\x{{2190}}-\\x{{21FF}}\\x{{FE0F}}]+', ' ', 'g')"
+
+
+def _marks_sql(expr: str) -> str:
     for mark in "!?.,":
         expr = f"regexp_replace({expr}, '[{mark}]{{2,}}', '{mark}', 'g')"
     return expr
 
 
 SPACES = "'[\\t\\n\\x0B\\f\\r ]+'"
-CLEANED = f"""c0 AS (SELECT *, trim(regexp_replace({_emoji_sql(URL_SQL.format('review_text'))}, {SPACES}, ' ', 'g')) AS cleaned_text FROM reviews WHERE review_text IS NOT NULL),
+#: Without back-references a repeated character is one that equals the two before it, in a list of characters.
+SHORTENED = "array_to_string(list_filter(chars, lambda c, i: i < 3 OR c = chr(10) OR c <> chars[i - 1] OR c <> chars[i - 2]), '')"
+CLEANED = f"""f0 AS (SELECT *, string_split({_emoji_sql(URL_SQL.format('review_text'))}, '') AS chars FROM reviews WHERE review_text IS NOT NULL), f1 AS (SELECT * EXCLUDE (chars), {SHORTENED} AS folded FROM f0),
+c0 AS (SELECT * EXCLUDE (folded), trim(regexp_replace({_marks_sql('folded')}, {SPACES}, ' ', 'g')) AS cleaned_text FROM f1),
 cleaned AS (SELECT *, len({TOKENS.format('cleaned_text')})::INT AS n_words, len({TOKENS.format('cleaned_text')}) <= 3 AS is_very_short FROM c0 WHERE cleaned_text <> '')"""
 KEPT = ("review_id", "rating", "cleaned_text", "n_words", "is_very_short")
 
 
 def cleaned(spark, sf):
-    """Without the step that shortens repeated characters, as the oracle's patterns have no back-references."""
-    return preprocess.clean_reviews(reviews(spark, sf), elongation=False)
+    """All steps of the cleaning but the lexicon."""
+    return preprocess.clean_reviews(reviews(spark, sf))
 
 
 add("text_clean_sqlsafe", lambda s, d: cleaned(s, d).select(*KEPT), f"{CLEANED} --> SELECT {', '.join(KEPT)} FROM cleaned")
-add("text_clean_full", lambda s, d: preprocess.clean_reviews(reviews(s, d), SLANG).select(*KEPT))
 SLANG_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SLANG.items()) + "}"
 CORE = "^([^\\p{L}\\p{N}_]*)([\\p{L}\\p{N}_]+)([^\\p{L}\\p{N}_]*)$"
+NORMALISED = f"""trim(array_to_string(list_transform({TOKENS.format('cleaned_text')}, lambda w: CASE WHEN regexp_matches(w, '{CORE}')
+  THEN regexp_extract(w, '{CORE}', 1) || coalesce({SLANG_SQL}[regexp_extract(w, '{CORE}', 2)], regexp_extract(w, '{CORE}', 2)) || regexp_extract(w, '{CORE}', 3) ELSE w END), ' '))"""
 add(
     "slang_normalise",
     lambda s, d: cleaned(s, d).select("review_id", tx.squeeze(tx.normalise_tokens(F.col("cleaned_text"), SLANG)).alias("normalised")),
-    f"""{CLEANED} --> SELECT review_id, trim(array_to_string(list_transform({TOKENS.format('cleaned_text')}, lambda w: CASE WHEN regexp_matches(w, '{CORE}')
-  THEN regexp_extract(w, '{CORE}', 1) || coalesce({SLANG_SQL}[regexp_extract(w, '{CORE}', 2)], regexp_extract(w, '{CORE}', 2)) || regexp_extract(w, '{CORE}', 3) ELSE w END), ' ')) AS normalised FROM cleaned""",
+    f"{CLEANED} --> SELECT review_id, {NORMALISED} AS normalised FROM cleaned",
+)
+add(
+    "text_clean_full",
+    lambda s, d: preprocess.clean_reviews(reviews(s, d), SLANG).select(*KEPT),
+    f"{CLEANED}, full_ AS (SELECT review_id, rating, {NORMALISED} AS cleaned_text FROM cleaned) --> SELECT *, len({TOKENS.format('cleaned_text')})::INT AS n_words, len({TOKENS.format('cleaned_text')}) <= 3 AS is_very_short FROM full_ WHERE cleaned_text <> ''",
 )
 add(
     "slang_coverage",

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.functions.ordinal import sql_qwk
-from ratelens.functions.rng import sql_h, sql_u
-from ratelens.operators import agreement, confident, significance, splitting
-from ratelens.plans.config import BOOT_SEED, HYPOTHESES, N_BOOT, SCENARIOS, WEIGHT_SEEDS
-from ratelens.plans.fixtures import ANNOTATIONS_SQL, EFFECTS_SQL, PREDICTIONS_SQL, SCORED_SQL, annotations, effects, predictions, scored
+from ratelens.functions.ordinal import metrics, sql_qwk
+from ratelens.functions.rng import h, sql_h
+from ratelens.operators import agreement, cells, confident, significance, splitting
+from ratelens.plans.config import BOOT_SEED, HYPOTHESES, N_BOOT, SCENARIOS, SPLIT_SEEDS, WEIGHT_SEEDS
+from ratelens.plans.fixtures import ANNOTATIONS_SQL, PREDICTIONS_SQL, SCORED_SQL, annotations, predictions, scored
 from ratelens.plans.q_labels import CL
 from ratelens.plans.registry import Registry
+from ratelens.sources.store import by_split, store_path
 from ratelens.sources.tables import table
 
 R = Registry(PREDICTIONS_SQL)
@@ -74,13 +78,6 @@ add(
     lambda s, d: significance.significance_table(wide(s, d)).select(*TEST, *(F.round(c, 9).alias(c) for c in ROUNDED)),
     f"{TESTED}, pa AS ({_PAIRS}) --> SELECT hypothesis, model_a, model_b, n, r_plus, z, p_holm <= 0.05 AS significant, {', '.join(f'round({c}, 9) AS {c}' for c in ROUNDED)} FROM te JOIN pa USING (hypothesis)",
 )
-HOLM_P = [(h, p) for (h, _, _), p in zip(HYPOTHESES, (0.03, 0.004, 0.2, 0.012, 0.9), strict=True)]
-add(
-    "holm_adjust",
-    lambda s, d: significance.holm(s.createDataFrame(HOLM_P, "hypothesis string, p double")).select("hypothesis", "p", F.round("p_holm", 9).alias("p_holm"), "significant"),
-    "t(hypothesis, p) AS (VALUES " + ", ".join(f"('{h}', {p}::DOUBLE)" for h, p in HOLM_P) + "), s AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, hypothesis) + 1) * p) AS st FROM t), a AS (SELECT hypothesis, p, max(st) OVER (ORDER BY p, hypothesis ROWS UNBOUNDED PRECEDING) AS h FROM s) --> SELECT hypothesis, p, round(h, 9) AS p_holm, h <= 0.05 AS significant FROM a",
-    "unused AS (SELECT 1)",
-)
 BOOT = f"""{WIDE}, nm AS (SELECT row_number() OVER (ORDER BY {sql_h("'bucket'", "review_id")} % {significance.BUCKETS}, review_id) - 1 AS pos, * FROM wide), nn AS (SELECT count(*) AS n FROM wide),
 dg AS (SELECT r.i AS rep, b.i AS block, md5(concat_ws('|', {BOOT_SEED}, r.i, b.i)) AS d, n FROM nn, range({REPS}) r(i), (SELECT unnest(range((n + 3) // 4)) AS i FROM nn) b),
 dr AS (SELECT rep, floor(('0x' || substr(d, 8 * k.i + 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::BIGINT AS pos FROM dg, range(4) k(i) WHERE block * 4 + k.i < n), rs AS (SELECT * FROM dr JOIN nm USING (pos))"""
@@ -123,42 +120,135 @@ add(
     + ", al AS (" + " UNION ALL ".join(f"SELECT *, '{m}' AS metric FROM ef_{m}" for m, _ in METRICS) + ") --> SELECT al.hypothesis, metric, diff, ci_low, ci_high, z, p_holm <= 0.05 AS significant, "
     "42::INT AS split_seed, 3::INT AS n_weight_seeds, round(p, 9) AS p, round(p_holm, 9) AS p_holm FROM al LEFT JOIN te ON al.hypothesis = te.hypothesis AND metric = 'MAE'",
 )
-VERDICT = """e AS (SELECT hypothesis, metric, CASE WHEN metric = 'MAE' THEN -diff ELSE diff END AS e, CASE WHEN metric = 'MAE' THEN -ci_high ELSE ci_low END AS lo, CASE WHEN metric = 'MAE' THEN -ci_low ELSE ci_high END AS hi FROM effects),
+# Effects by split: every split tests another fifth of the reviews; its effects and tests are stored and read as one table
+IN_SPLIT = "{0} % 5 = 0"
+SPLIT_WIDE = f"sp(split_seed) AS (VALUES {', '.join(f'({x})' for x in SPLIT_SEEDS)}), sw AS (SELECT split_seed, wide.* FROM wide, sp WHERE {IN_SPLIT.format(sql_h(repr('split'), 'split_seed', 'review_id'))})"
+SPLIT_TESTS = f"""{WIDE}, {SPLIT_WIDE}, sd AS ({" UNION ALL ".join(f"SELECT split_seed, '{h_}' AS hypothesis, round({significance.error(a)} - {significance.error(b)}, 9) AS d FROM sw" for h_, a, b in HYPOTHESES)}),
+sz AS (SELECT split_seed, hypothesis, abs(d) AS a, count(*)::DOUBLE AS t, count(*) FILTER (d > 0)::DOUBLE AS up, count(*) FILTER (d = 0)::DOUBLE AS zero FROM sd GROUP BY 1, 2, 3),
+rk AS (SELECT *, sum(t) OVER (PARTITION BY split_seed, hypothesis ORDER BY a) - t + (t + 1) / 2 AS rank FROM sz),
+sm AS (SELECT split_seed, hypothesis, sum(t) AS m, sum(up * rank) + sum(zero * rank) / 2 AS r_plus, sum(t * t * t - t) AS ties FROM rk GROUP BY 1, 2),
+zt AS (SELECT split_seed, hypothesis, round((r_plus - m * (m + 1) / 4) / nullif(sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 0), 9) AS z FROM sm), tp AS (SELECT *, {sql_p("z")} AS p FROM zt),
+st AS (SELECT *, least(1, (count(*) OVER (PARTITION BY split_seed) - row_number() OVER (PARTITION BY split_seed ORDER BY p, hypothesis) + 1) * p) AS st FROM tp),
+te AS (SELECT *, max(st) OVER (PARTITION BY split_seed ORDER BY p, hypothesis ROWS UNBOUNDED PRECEDING) AS p_holm FROM st)"""
+SPLIT_BOOT = f"""{WIDE}, {SPLIT_WIDE}, nm AS (SELECT row_number() OVER (PARTITION BY split_seed ORDER BY {sql_h("'bucket'", "review_id")} % {significance.BUCKETS}, review_id) - 1 AS pos, * FROM sw), nn AS (SELECT split_seed, count(*) AS n FROM sw GROUP BY 1),
+dg AS (SELECT split_seed, r.i AS rep, b.i AS block, md5(concat_ws('|', {BOOT_SEED}, r.i, b.i)) AS d, n FROM range({REPS}) r(i), (SELECT split_seed, n, unnest(range((n + 3) // 4)) AS i FROM nn) b),
+dr AS (SELECT split_seed, rep, floor(('0x' || substr(d, 8 * k.i + 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::BIGINT AS pos FROM dg, range(4) k(i) WHERE block * 4 + k.i < n), rs AS (SELECT * FROM dr JOIN nm USING (split_seed, pos))"""
+
+
+def split_effect_sql(tag: str, expression) -> str:
+    cells, names = ", ".join(f"{expression(a, b)} AS {h_}" for h_, a, b in HYPOTHESES), ", ".join(h_ for h_, _, _ in HYPOTHESES)
+    return f"""bt{tag} AS (SELECT split_seed, rep, {cells} FROM rs GROUP BY 1, 2), bl{tag} AS (UNPIVOT bt{tag} ON {names} INTO NAME hypothesis VALUE v), pt{tag} AS (SELECT split_seed, {cells} FROM sw GROUP BY 1), pl{tag} AS (UNPIVOT pt{tag} ON {names} INTO NAME hypothesis VALUE diff),
+ef{tag} AS (SELECT split_seed, hypothesis, round(any_value(diff), 9) AS diff, round(quantile_cont(v, 0.025), 9) AS ci_low, round(quantile_cont(v, 0.975), 9) AS ci_high FROM bl{tag} JOIN pl{tag} USING (split_seed, hypothesis) GROUP BY 1, 2)"""
+
+
+SPLIT_METRICS = METRICS[:2]
+EFFECTS_SQL = f"""{SPLIT_BOOT}, {", ".join(split_effect_sql(f"_{m}", e) for m, e in SPLIT_METRICS)},
+effects AS ({" UNION ALL ".join(f"SELECT *, '{m}' AS metric FROM ef_{m}" for m, _ in SPLIT_METRICS)})"""
+EFFECTS_SCHEMA = "hypothesis string, metric string, diff double, ci_low double, ci_high double, split_seed int"
+TESTS_SCHEMA = "hypothesis string, z double, p double, split_seed int"
+
+
+def split_part(spark, sf, seed: int):
+    """The wide predictions of the reviews that a split tests."""
+    return wide(spark, sf).where(h("split", F.lit(seed), F.col("review_id")) % 5 == 0)
+
+
+def stored_effects(spark, sf):
+    """Effects of all splits, one table partitioned by split; a split that is stored isn't computed again."""
+    path = store_path(spark, "effects", sf)
+    made = lambda x: reduce(DataFrame.unionByName, (f(split_part(spark, sf, x), REPS).withColumn("metric", F.lit(m)) for f, (m, _) in zip((significance.mae_effects, significance.qwk_ensemble_effects), SPLIT_METRICS, strict=True)))
+    return by_split(spark, path, EFFECTS_SCHEMA, made)
+
+
+def stored_tests(spark, sf):
+    """Signed-rank tests of all splits, stored likewise."""
+    made = lambda x: significance.wilcoxon(significance.paired_differences(split_part(spark, sf, x))).withColumn("p", significance.two_sided_p(F.col("z"))).select("hypothesis", "z", "p")
+    return by_split(spark, store_path(spark, "tests", sf), TESTS_SCHEMA, made)
+
+
+VERDICT = """e AS (SELECT hypothesis, metric, split_seed, CASE WHEN metric = 'MAE' THEN -diff ELSE diff END AS e, CASE WHEN metric = 'MAE' THEN -ci_high ELSE ci_low END AS lo, CASE WHEN metric = 'MAE' THEN -ci_low ELSE ci_high END AS hi FROM effects),
 f AS (SELECT *, CASE WHEN e > 0 THEN 'A' WHEN e < 0 THEN 'B' ELSE 'tie' END AS way, lo > 0 OR hi < 0 AS excl FROM e),
-g AS (SELECT hypothesis, metric, count(*) AS n_splits, min(way) = max(way) AND min(way) <> 'tie' AS same_direction, count(*) FILTER (excl) AS n_excluding_zero, min(way) AS way FROM f GROUP BY 1, 2)
---> SELECT hypothesis, metric, n_splits, same_direction, n_excluding_zero, CASE WHEN n_splits < 3 THEN 'not assessable' WHEN same_direction AND n_excluding_zero >= 2 THEN 'consistent' ELSE 'not consistent' END AS verdict, CASE WHEN same_direction THEN way ELSE 'mixed' END AS direction FROM g"""
-add("consistency_verdict", lambda s, d: significance.consistency(effects(s)), VERDICT, EFFECTS_SQL)
+g AS (SELECT hypothesis, metric, count(*) AS n_splits, min(way) = max(way) AND min(way) <> 'tie' AS same_direction, count(*) FILTER (excl) AS n_excluding_zero, min(way) AS way"""
+PER_SPLIT = (("effect", "e"), ("low", "lo"), ("high", "hi"))
+add(
+    "consistency_verdict",
+    lambda s, d: significance.consistency(stored_effects(s, d)).join(significance.effects_by_split(stored_effects(s, d), SPLIT_SEEDS), ["hypothesis", "metric"]),
+    EFFECTS_SQL + ", " + VERDICT + "".join(f", max({c}) FILTER (split_seed = {x}) AS {n}_{x}" for x in SPLIT_SEEDS for n, c in PER_SPLIT) + " FROM f GROUP BY 1, 2) --> SELECT hypothesis, metric, n_splits, same_direction, n_excluding_zero, "
+    "CASE WHEN n_splits < 3 THEN 'not assessable' WHEN same_direction AND n_excluding_zero >= 2 THEN 'consistent' ELSE 'not consistent' END AS verdict, CASE WHEN same_direction THEN way ELSE 'mixed' END AS direction, "
+    + ", ".join(f"{n}_{x}" for x in SPLIT_SEEDS for n, _ in PER_SPLIT)
+    + " FROM g",
+)
+#: Two of the splits only: no verdict, and the third partition isn't read.
+add(
+    "consistency_two_splits",
+    lambda s, d: significance.consistency(stored_effects(s, d).where(F.col("split_seed").isin(*SPLIT_SEEDS[:2]))),
+    EFFECTS_SQL.replace("effects AS (", "every AS (") + f", effects AS (SELECT * FROM every WHERE split_seed IN {SPLIT_SEEDS[:2]}), " + VERDICT + " FROM f GROUP BY 1, 2) --> SELECT hypothesis, metric, n_splits, same_direction, n_excluding_zero, 'not assessable' AS verdict, CASE WHEN same_direction THEN way ELSE 'mixed' END AS direction FROM g",
+)
+_P3 = lambda c: ", ".join(f"round(max({c}) FILTER (split_seed = {x}), 9) AS {c}_{x}" for x in SPLIT_SEEDS)
 add(
     "wilcoxon_pivot",
-    lambda s, d: significance.pivot_by_split(effects(s).where("metric = 'MAE'"), "diff", (42, 123, 2024)),
-    "SELECT hypothesis, " + ", ".join(f"max(diff) FILTER (split_seed = {x}) AS diff_{x}" for x in (42, 123, 2024)) + " FROM effects WHERE metric = 'MAE' GROUP BY hypothesis",
-    EFFECTS_SQL,
+    lambda s, d: significance.pivot_by_split(stored_tests(s, d).withColumn("p", F.round("p", 9)), "p", SPLIT_SEEDS).join(significance.pivot_by_split(stored_tests(s, d), "z", SPLIT_SEEDS), "hypothesis"),
+    f"{SPLIT_TESTS} --> SELECT hypothesis, {_P3('p')}, {_P3('z')} FROM te GROUP BY hypothesis",
 )
+add(
+    "holm_adjust",
+    lambda s, d: significance.holm(stored_tests(s, d), by=("split_seed",)).select("split_seed", "hypothesis", F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"), "significant"),
+    f"{SPLIT_TESTS} --> SELECT split_seed, hypothesis, round(p, 9) AS p, round(p_holm, 9) AS p_holm, p_holm <= 0.05 AS significant FROM te",
+)
+
+# Effects over cells
+_SEEDS = ", ".join(f"round({{{i}}}, 9) AS diff_{w}" for i, w in enumerate(WEIGHT_SEEDS))
+_seed_points = lambda a, b: [f"{sql_qwk('y', _u(a, w))} - {sql_qwk('y', _u(b, w))}" for w in WEIGHT_SEEDS]
+_NULLS = ", ".join(f"NULL::DOUBLE AS diff_{w}" for w in WEIGHT_SEEDS)
+add(
+    "effect_points",
+    lambda s, d: cells.effect_points(wide(s, d)),
+    f"{WIDE} --> " + " UNION ALL ".join(f"SELECT '{h_}' AS hypothesis, '{m}' AS metric, round({e(a, b)}, 9) AS diff, {_SEEDS.format(*_seed_points(a, b)) if m == 'QWK_per_seed' else _NULLS} FROM wide" for h_, a, b in HYPOTHESES for m, e in METRICS),
+)
+add("effect_cells", lambda s, d: cells.effect_long(wide(s, d), REPS, 42))
+
+
+def suite(spark, sf):
+    """The six tables of the main split, written once; one row for each table and hypothesis or scenario in it."""
+    folder = store_path(spark, "suite", sf)
+    cells.significance_suite(predictions(spark, sf), folder, REPS, 42)
+    key = {"final_results": "scenario"}
+    return reduce(DataFrame.unionByName, (spark.read.parquet(f"{folder}/{t}").groupBy(F.col(key.get(t, "hypothesis")).alias("name")).agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(t)) for t in cells.SUITE))
+
+
+add(
+    "significance_suite",
+    suite,
+    "sc AS (SELECT DISTINCT scenario FROM predictions), hy(name, a, b) AS (VALUES " + ", ".join(str(x) for x in HYPOTHESES) + "), ok AS (SELECT name FROM hy WHERE a IN (SELECT * FROM sc) AND b IN (SELECT * FROM sc)), tb(table_name, n) AS (VALUES "
+    + ", ".join(f"('{t}', {3 if t == 'effects_long' else 1})" for t in cells.SUITE[1:]) + ") --> SELECT scenario AS name, count(*) AS n_rows, 'final_results' AS table_name FROM sc GROUP BY 1 UNION ALL SELECT name, n::BIGINT, table_name FROM ok, tb",
+)
+
 add(
     "alignment_check",
     lambda s, d: significance.alignment(predictions(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("review_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("y_true"))),
     "SELECT scenario, weight_seed, 0::BIGINT AS n_missing, 0::BIGINT AS n_unknown, count(*) FILTER (y_true IS NULL) AS n_other_label FROM predictions GROUP BY 1, 2",
 )
 
-# Training log
-LOG_SQL = f"log AS (SELECT u.i::INT AS unit, e.i::INT AS epoch, {sql_u(repr('q'), 'u.i', 'e.i')} AS qwk, floor({sql_u(repr('m'), 'u.i', 'e.i')} * 8)::INT / 8.0::DOUBLE AS mae FROM range(1, 19) u(i), range(1, 11) e(i))"
-
+# Validation log: the predictions of an epoch are those of a tenth of the reviews
+LOG_SQL = f"""eb AS (SELECT scenario, weight_seed, ({sql_h("'epoch'", "scenario", "weight_seed", "review_id")} % 10 + 1)::INT AS epoch, y_true, y_pred FROM predictions),
+log AS (SELECT scenario, weight_seed, epoch, {sql_metrics("y_true", "y_pred")} FROM eb GROUP BY 1, 2, 3)"""
+UNIT = ("scenario", "weight_seed")
 
-def training_log(spark):
-    from ratelens.functions.rng import u01
 
-    grid = spark.range(18).select((F.col("id") + 1).cast("int").alias("unit"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("epoch"))
-    return grid.select("unit", "epoch", u01("q", F.col("unit"), F.col("epoch")).alias("qwk"), (F.floor(u01("m", F.col("unit"), F.col("epoch")) * 8).cast("int") / 8.0).alias("mae"))
+def validation_log(spark, sf):
+    """``scenario, weight_seed, epoch, mae, qwk``, measured over the reviews that a hash deals to the epoch."""
+    epoch = (h("epoch", F.col("scenario"), F.col("weight_seed"), F.col("review_id")) % 10 + 1).cast("int")
+    return predictions(spark, sf).groupBy(*UNIT, epoch.alias("epoch")).agg(*metrics(F.col("y_true"), F.col("y_pred")))
 
 
-add("best_epoch", lambda s, d: significance.best_epoch(training_log(s)), "SELECT unit, epoch, qwk, mae FROM log QUALIFY row_number() OVER (PARTITION BY unit ORDER BY qwk DESC, mae, epoch) = 1", LOG_SQL)
+add("best_epoch", lambda s, d: significance.best_epoch(validation_log(s, d), UNIT), f"{LOG_SQL} --> SELECT scenario, weight_seed, epoch, qwk, mae FROM log QUALIFY row_number() OVER (PARTITION BY scenario, weight_seed ORDER BY qwk DESC, mae, epoch) = 1")
 add(
     "early_stop_epoch",
-    lambda s, d: significance.early_stop(training_log(s)),
-    """a AS (SELECT *, mae < coalesce(min(mae) OVER (PARTITION BY unit ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e9) AS better FROM log),
-b AS (SELECT *, count(*) FILTER (better) OVER (PARTITION BY unit ORDER BY epoch) AS run FROM a), c AS (SELECT *, count(*) OVER (PARTITION BY unit, run ORDER BY epoch) - 1 AS streak FROM b)
---> SELECT unit, coalesce(min(epoch) FILTER (streak >= 3), max(epoch))::INT AS last_epoch FROM c GROUP BY unit""",
-    LOG_SQL,
+    lambda s, d: significance.early_stop(validation_log(s, d), by=UNIT),
+    LOG_SQL
+    + """, a AS (SELECT *, mae < coalesce(min(mae) OVER (PARTITION BY scenario, weight_seed ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e9) AS better FROM log),
+b AS (SELECT *, count(*) FILTER (better) OVER (PARTITION BY scenario, weight_seed ORDER BY epoch) AS run FROM a), c AS (SELECT *, count(*) OVER (PARTITION BY scenario, weight_seed, run ORDER BY epoch) - 1 AS streak FROM b)
+--> SELECT scenario, weight_seed, coalesce(min(epoch) FILTER (streak >= 3), max(epoch))::INT AS last_epoch FROM c GROUP BY scenario, weight_seed""",
 )
 
 # Sampling

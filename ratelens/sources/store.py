@@ -5,11 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ratelens.plans.config import SPLIT_SEEDS
+
 _SETTING = "spark.ratelens.store.dir"
 
 
@@ -49,3 +53,15 @@ def read_partitions(spark: SparkSession, path: str, schema: T.StructType | str)
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+
+
+def by_split(spark: SparkSession, path: str, schema: str, made: Callable[[int], DataFrame], splits: Sequence[int] = SPLIT_SEEDS) -> DataFrame:
+    """One table of all splits, partitioned by ``split_seed``: what is stored is read, what is missing is made and stored.
+
+    A filter on ``split_seed`` prunes partitions, so one split can be read without the others.
+    """
+    names = [f.strip().split()[0] for f in schema.split(",")]
+    for seed in splits:
+        if read_partitions(spark, path, schema).where(F.col("split_seed") == seed).isEmpty():
+            replace_partitions(made(seed).withColumn("split_seed", F.lit(seed)).select(*names), path, ("split_seed",))
+    return read_partitions(spark, path, schema)

@@ -77,3 +77,21 @@ def quota_rows(rows: DataFrame, quotas: dict[int, int], key: str = "rating", wit
     limit = F.coalesce(*(F.when(F.col(key) == k, F.lit(n)) for k, n in quotas.items()), F.lit(0))
     nth = F.row_number().over(Window.partitionBy(*within, key).orderBy(order))
     return rows.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
+
+
+def read_json_objects(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """JSON files by a schema, with ``corrupt``: the text of an object that can't be read, else null.
+
+    Its other fields are null then; fields that are missing in the file are null, further ones are left out.
+    """
+    reader = spark.read.schema(f"{schema}, corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt")
+    return reader.option("multiLine", multi_line).json(path)
+
+
+def json_column(df: DataFrame, column: str, schema: str, into: str = "json") -> DataFrame:
+    """Adds ``into`` (the object of a JSON column) and ``malformed``: a text that isn't such an object, or has a field of another type."""
+    parsed = F.from_json(F.col(column), f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    out = df.withColumn("_parsed", parsed)
+    fields = out.schema["_parsed"].dataType.names[:-1]
+    bad = F.col(column).isNotNull() & (F.col("_parsed").isNull() | F.col("_parsed._corrupt").isNotNull())
+    return out.withColumns({into: F.when(F.col("_parsed").isNotNull() & ~bad, F.struct(*(F.col(f"_parsed.{f}").alias(f) for f in fields))), "malformed": bad}).drop("_parsed")
