@@ -75,13 +75,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes the tables that the block has written, but for those it hands to the given function, at its end.
 
-    Nothing that leaves the block may read a deleted table, so what is handed over must be a written one.
+    Nothing that leaves the block may read a deleted table, so what is handed over must be a written one. Inside the block
+    Spark removes the shuffle files of an action when it ends, as what is read again has been written as a table.
     """
     first, kept = len(_made), []
+    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
 
     def keep(df: DataFrame) -> DataFrame:
         kept.extend(f.rpartition("/")[0] for f in df.inputFiles()[:1])
@@ -90,12 +96,23 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
         for app, path in _made[first:]:
             if path not in kept and not any(path.rpartition("/")[2] in k for k in kept):
                 _delete(spark, path)
                 _made.remove((app, path))
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written; nothing may read them any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = file.rpartition("/")[0].rpartition("/")[2]
+            for app, path in [m for m in _made if m[1].rpartition("/")[2] == folder]:
+                _delete(df.sparkSession, path)
+                _made.remove((app, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
