@@ -136,3 +136,41 @@ def naive_split_leak(df: DataFrame, test_size: float, seed: int, text: str = "re
 
 def row_set(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
+
+
+def summary(df: DataFrame, text: str = "review_text", short: int = 3) -> DataFrame:
+    """The profile's one-row summary from one scan and one shuffle: rows, apps, ratings, dates, lengths, copies and conflicts.
+
+    Rows are first added up by a digest of their text (map-side), with all that the summary needs of them, so copies and
+    conflicts come from the same pass as the counts. Null texts have no length and are no copies.
+    """
+    words = word_count(F.col(text))
+    known = F.col(text).isNotNull()
+    digest = F.when(known, F.sha2(F.col(text), 256))
+    stars = [F.count_if(F.col("rating") == r).alias(f"r{r}") for r in range(1, 6)]
+    by_text = df.groupBy(digest.alias("digest"), F.when(~known, F.col("rating")).alias("_spread")).agg(
+        F.count("*").alias("n"),
+        F.collect_set("source_app").alias("apps"),
+        F.min("date").alias("first"),
+        F.max("date").alias("last"),
+        F.sum(F.when(known, words)).alias("words"),
+        F.count_if(known & (words <= short)).alias("short"),
+        *stars,
+    )
+    text_row, ratings = F.col("digest").isNotNull(), sum((F.col(f"r{r}") > 0).cast("int") for r in range(1, 6))
+    total = F.sum("n")
+    share = lambda c: F.round(100.0 * c / F.nullif(total, F.lit(0)), 6)
+    return by_text.agg(
+        total.alias("n_rows"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("apps")))).cast("long").alias("n_apps"),
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
+        F.sum(F.when(~text_row, F.col("n")).otherwise(0)).alias("n_null_texts"),
+        F.count_if(text_row).alias("n_texts"),
+        F.round(F.sum("words") / F.sum(F.when(text_row, F.col("n"))), 6).alias("mean_words"),
+        share(F.sum("short")).alias("pct_short"),
+        F.count_if(text_row & (F.col("n") > 1)).alias("n_copy_groups"),
+        F.sum(F.when(text_row & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("n_copy_rows"),
+        F.count_if(text_row & (ratings > 1)).alias("n_conflict_groups"),
+        *(share(F.sum(f"r{r}")).alias(f"pct_{r}") for r in range(1, 6)),
+    )

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ratelens.functions import tokens
 from ratelens.functions.rng import h, sql_h
-from ratelens.operators import agreement, cells, checks, confident, preprocess, significance, splitting
+from ratelens.operators import agreement, cells, checks, confident, language, preprocess, profile, significance, splitting
 from ratelens.operators.oof_store import OofStore
 from ratelens.operators.training import UNIT, Trainer, log_table, training_rows
 from ratelens.plans.config import BOOT_SEED, HYPOTHESES, N_BOOT, SPLIT_SEEDS
 from ratelens.plans.fixtures import ANNOTATIONS_SQL, PREDICTIONS_SQL, REVIEWS_SQL, SCORED_SQL, annotations, predictions, reviews, scored
 from ratelens.plans.q_labels import CL, rated
+from ratelens.plans.q_reviews import TOKENS
 from ratelens.plans.q_statistics import WIDE
 from ratelens.plans.registry import Registry
 from ratelens.sources.store import store_path
@@ -218,6 +219,39 @@ wt AS (SELECT scenario, weight_seed, review_id, CASE WHEN other THEN y % 5 + 1 E
 )
 
 
+# Profile in one pass, language detection
+_NW = f"len({TOKENS.format('review_text')})"
+add(
+    "profile_summary",
+    lambda s, d: profile.summary(reviews(s, d)),
+    f"""rw AS (SELECT *, CASE WHEN review_text IS NOT NULL THEN {_NW} END AS w FROM reviews), tx AS (SELECT review_text, count(*) AS n, count(DISTINCT rating) AS k FROM reviews WHERE review_text IS NOT NULL GROUP BY 1)
+--> SELECT count(*) AS n_rows, count(DISTINCT source_app) AS n_apps, min(date) AS first_date, max(date) AS last_date, count(*) FILTER (review_text IS NULL) AS n_null_texts, (SELECT count(*) FROM tx) AS n_texts,
+  round(sum(w) / count(w)::DOUBLE, 6) AS mean_words, round(100.0::DOUBLE * count(*) FILTER (w <= 3) / count(*), 6) AS pct_short, (SELECT count(*) FILTER (n > 1) FROM tx) AS n_copy_groups, (SELECT coalesce(sum(n) FILTER (n > 1), 0)::BIGINT FROM tx) AS n_copy_rows,
+  (SELECT count(*) FILTER (k > 1) FROM tx) AS n_conflict_groups, {", ".join(f"round(100.0::DOUBLE * count(*) FILTER (rating = {r}) / count(*), 6) AS pct_{r}" for r in range(1, 6))} FROM rw""",
+    REVIEWS_SQL,
+)
+
+
+def detected(spark, sf):
+    """Languages of all reviews by a model of those that a hash keeps for fitting."""
+    rows = reviews(spark, sf).select("review_id", "review_text", "detected_lang")
+    return language.detect(rows, language.fit(rows.where(h("fit", F.col("review_id")) % 4 != 2)))
+
+
+add(
+    "language_detect",
+    detected,
+    f"""rw AS (SELECT review_id, review_text AS t, detected_lang AS l, lower(review_text) AS lo, length(trim(coalesce(review_text, ''))) < 3 AS short FROM reviews),
+ch AS (SELECT review_id, l, short, string_split(lo, '') AS c, length(t) AS n FROM rw WHERE length(t) >= 3), tg AS (SELECT review_id, l, short, unnest(list_transform(range(1, n - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM ch),
+ct AS (SELECT l, g, count(*) AS n FROM tg WHERE l IS NOT NULL AND {sql_h("'fit'", "review_id")} % 4 <> 2 GROUP BY 1, 2), tt AS (SELECT l, sum(n) AS total FROM ct GROUP BY 1),
+kp AS (SELECT DISTINCT g FROM (SELECT g, row_number() OVER (PARTITION BY l ORDER BY n DESC, g) AS nth FROM ct) WHERE nth <= 400),
+md AS (SELECT kp.g, tt.l, ln((coalesce(ct.n, 0) + 1.0::DOUBLE) / (total + count(*) OVER (PARTITION BY tt.l))) AS w FROM kp CROSS JOIN tt LEFT JOIN ct ON ct.g = kp.g AND ct.l = tt.l),
+sc AS (SELECT review_id, md.l, round(sum(w), 6) AS s FROM tg JOIN md USING (g) WHERE NOT short GROUP BY 1, 2), be AS (SELECT review_id, l FROM sc QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY s DESC, l) = 1)
+--> SELECT rw.review_id, CASE WHEN short THEN 'undetected_short' ELSE coalesce(be.l, 'und') END AS lang_pred FROM rw LEFT JOIN be USING (review_id)""",
+    REVIEWS_SQL,
+)
+
+
 # Training: log, checkpoints and predictions are stored, and read by all that follows
 def trainer(spark, sf) -> Trainer:
     """The units of the main split over the rated embeddings; what is stored isn't trained again."""
