@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratelens.functions import tokens
 from ratelens.functions.rng import h, sql_h
 from ratelens.operators import agreement, cells, checks, confident, language, preprocess, profile, significance, splitting
-from ratelens.operators.oof_store import OofStore
+from ratelens.operators.oof_store import OofStore, lineage
 from ratelens.operators.training import UNIT, Trainer, log_table, training_rows
 from ratelens.plans.config import BOOT_SEED, HYPOTHESES, N_BOOT, SPLIT_SEEDS
 from ratelens.plans.fixtures import ANNOTATIONS_SQL, PREDICTIONS_SQL, REVIEWS_SQL, SCORED_SQL, annotations, predictions, reviews, scored
@@ -255,10 +255,12 @@ sc AS (SELECT review_id, md.l, round(sum(w), 6) AS s FROM tg JOIN md USING (g) W
 # Training: log, checkpoints and predictions are stored, and read by all that follows
 def trainer(spark, sf) -> Trainer:
     """The units of the main split over the rated embeddings; what is stored isn't trained again."""
-    made = Trainer(store_path(spark, "training", sf), SPLIT_SEEDS[0])
+    rows = rated(spark, sf)
+    mark = lineage(rows, ("review_id", "rating", "embedding"))  # other rows under the same folder have another place
+    made = Trainer(store_path(spark, "training", sf, mark), SPLIT_SEEDS[0])
     if made.todo(spark):
-        store = OofStore(store_path(spark, "oof-train", sf))
-        made.run(training_rows(rated(spark, sf), made.split_seed, store.get))
+        store = OofStore(store_path(spark, "oof-train", sf, mark))
+        made.run(training_rows(rows, made.split_seed, store.get))
     return made
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ratelens.functions.ordinal import metrics, sql_qwk
 from ratelens.functions.rng import h, sql_h
 from ratelens.operators import agreement, cells, confident, significance, splitting
+from ratelens.operators.oof_store import lineage
 from ratelens.plans.config import BOOT_SEED, HYPOTHESES, N_BOOT, SCENARIOS, SPLIT_SEEDS, WEIGHT_SEEDS
 from ratelens.plans.fixtures import ANNOTATIONS_SQL, PREDICTIONS_SQL, SCORED_SQL, annotations, predictions, scored
 from ratelens.plans.q_labels import CL
@@ -153,9 +154,14 @@ def split_part(spark, sf, seed: int):
     return wide(spark, sf).where(h("split", F.lit(seed), F.col("review_id")) % 5 == 0)
 
 
+def place(spark, sf, name: str) -> str:
+    """Where results of these predictions are stored: other rows under the same folder have another place."""
+    return store_path(spark, name, sf, lineage(table(spark, sf, "orders"), ("o_orderkey", "o_orderpriority")))
+
+
 def stored_effects(spark, sf):
     """Effects of all splits, one table partitioned by split; a split that is stored isn't computed again."""
-    path = store_path(spark, "effects", sf)
+    path = place(spark, sf, "effects")
     made = lambda x: reduce(DataFrame.unionByName, (f(split_part(spark, sf, x), REPS).withColumn("metric", F.lit(m)) for f, (m, _) in zip((significance.mae_effects, significance.qwk_ensemble_effects), SPLIT_METRICS, strict=True)))
     return by_split(spark, path, EFFECTS_SCHEMA, made)
 
@@ -163,7 +169,7 @@ def stored_effects(spark, sf):
 def stored_tests(spark, sf):
     """Signed-rank tests of all splits, stored likewise."""
     made = lambda x: significance.wilcoxon(significance.paired_differences(split_part(spark, sf, x))).withColumn("p", significance.two_sided_p(F.col("z"))).select("hypothesis", "z", "p")
-    return by_split(spark, store_path(spark, "tests", sf), TESTS_SCHEMA, made)
+    return by_split(spark, place(spark, sf, "tests"), TESTS_SCHEMA, made)
 
 
 VERDICT = """e AS (SELECT hypothesis, metric, split_seed, CASE WHEN metric = 'MAE' THEN -diff ELSE diff END AS e, CASE WHEN metric = 'MAE' THEN -ci_high ELSE ci_low END AS lo, CASE WHEN metric = 'MAE' THEN -ci_low ELSE ci_high END AS hi FROM effects),
@@ -210,7 +216,7 @@ add("effect_cells", lambda s, d: cells.effect_long(wide(s, d), REPS, 42))
 
 def suite(spark, sf):
     """The six tables of the main split, written once; one row for each table and hypothesis or scenario in it."""
-    folder = store_path(spark, "suite", sf)
+    folder = place(spark, sf, "suite")
     cells.significance_suite(predictions(spark, sf), folder, REPS, 42)
     key = {"final_results": "scenario"}
     return reduce(DataFrame.unionByName, (spark.read.parquet(f"{folder}/{t}").groupBy(F.col(key.get(t, "hypothesis")).alias("name")).agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(t)) for t in cells.SUITE))
