@@ -10,6 +10,7 @@ within the radius are verified by the exact weighted similarity of their shingle
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,9 @@ BLOCK_BITS, BLOCK_RADIUS = (13, 13, 13, 13, 12), 3
 RADIUS = len(BLOCK_BITS) * (BLOCK_RADIUS + 1) - 1
 #: Items of at most this many shingles in all are broadcast, with their places, and so is an index of at most this many entries.
 BROADCAST_GRAMS = 500_000
+#: Shingles of a text that stay together (or those of the longest item, if it has more), and of a chunk's windows.
+PIECE, CHUNK_GRAMS = 4096, 65_536
+KEY = ["doc_id", "h1", "h2"]
 
 
 def words(text: Column) -> Column:
@@ -77,6 +81,58 @@ def common_weight(x: str, y: str) -> Column:
     return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(weighted)
 
 
+def _chunks(windows: DataFrame, pieces: DataFrame, size: int) -> DataFrame:
+    """``windows`` (n, start, placed) gathered in chunks of neighbours, with the shingles ``part`` of each chunk, which begins at ``low``.
+
+    A chunk has at most ``n`` windows and ``CHUNK_GRAMS`` shingles in all of them (or one window), so no row grows with the text.
+    """
+    per = F.greatest(F.lit(1), F.least(F.col("n"), F.floor(CHUNK_GRAMS / F.col("n")).cast("int")))
+    dealt = windows.withColumns({"c": F.floor(F.col("start") / size).cast("int"), "d": F.floor(F.col("start") / per).cast("int")})
+    chunks = dealt.groupBy(*KEY, "n", "c", "d").agg(F.collect_list(F.struct("start", "placed")).alias("windows"), F.min("start").alias("low"), F.max("start").alias("high"))
+    part = F.slice("piece", F.col("low") - F.col("c") * size + 1, F.col("high") - F.col("low") + F.col("n") - (SHINGLE - 1))
+    return chunks.join(pieces, [*KEY, "c"]).select(*KEY, "n", "low", "windows", part.alias("part"))
+
+
+def _sliced(chunks: DataFrame) -> DataFrame:
+    """``start, placed, window_grams`` of every window."""
+    cut = F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["placed"].alias("placed"), F.slice("part", x["start"] - F.col("low") + 1, F.col("n") - (SHINGLE - 1)).alias("window_grams")))
+    return chunks.select(*KEY, "n", F.explode_outer(cut).alias("x")).select(*KEY, "n", "x.*")
+
+
+def _marked(chunks: DataFrame, widest: int) -> DataFrame:
+    """``start, placed, mark`` of every window: ``simhash`` by running counts, which a chunk's windows share.
+
+    The counts of several bits lie side by side in a long, each wide enough for a chunk; a window's are those at its end
+    less those at its start.
+    """
+    bits = max(1, (2 * widest).bit_length())
+    lanes = 63 // bits
+    groups = [range(b, min(64, b + lanes)) for b in range(0, 64, lanes)]
+
+    def spread(g: Column, of: range) -> Column:
+        ones = [F.shiftleft(F.shiftrightunsigned(g, b).bitwiseAND(F.lit(1).cast("long")), bits * k) for k, b in enumerate(of)]
+        return functools.reduce(lambda x, y: x.bitwiseOR(y), ones)
+
+    def running(of: range) -> Column:
+        return F.aggregate("part", F.array(F.lit(0).cast("long")), lambda sums, g: F.concat(sums, F.array(F.element_at(sums, -1) + spread(g, of))))
+
+    counted = chunks.select(*KEY, "n", "low", "windows", F.size("part").alias("length"), F.array(*(running(of) for of in groups)).alias("sums"))
+
+    def own(x: Column) -> Column:
+        first = x["start"] - F.col("low")
+        end = F.least(first + F.col("n") - (SHINGLE - 1), F.col("length"))
+        return F.struct(x["start"].alias("start"), x["placed"].alias("placed"), (end - first).alias("count"), F.transform("sums", lambda s: F.get(s, end) - F.get(s, first)).alias("counts"))
+
+    each = counted.select(*KEY, "n", F.explode_outer(F.transform("windows", own)).alias("x")).select(*KEY, "n", "x.*")
+
+    def bit(j: int, k: int, b: int) -> Column:
+        ones = F.shiftrightunsigned(F.get("counts", F.lit(j)), bits * k).bitwiseAND(F.lit((1 << bits) - 1))
+        return F.when(2 * ones > F.col("count"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    mark = functools.reduce(lambda x, y: x.bitwiseOR(y), [bit(j, k, b) for j, of in enumerate(groups) for k, b in enumerate(of)])
+    return each.select(*KEY, "n", "start", "placed", mark.alias("mark"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, item_id, similarity, start`` for every document and item that some window matches.
 
@@ -87,7 +143,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     item is one window. Items of fewer than five words are too short to tell and match nothing, as do
     null and empty texts on either side and rows without an id. Repeated rows count once, and of different texts under one
     id the best match; an empty table gives no rows. Other columns are ignored. Texts are read whole; a row holds a few arrays
-    of a text's words, whatever its length, and its fingerprinted windows with the shingles of each.
+    of a text's words, whatever its length. Its windows are rows of their own, which meet their shingles in pieces of bounded size.
     """
     best = matched_texts(docs, items, percent).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return best.select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.back")).alias("start"))
@@ -102,48 +158,57 @@ def matched_texts(docs: DataFrame, items: DataFrame, percent: int = PERCENT) ->
     total = places.count()
 
     text = F.col("text").cast("string")
-    key = ["doc_id", "h1", "h2"]
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), *text_hashes(text), text.alias("text"))
-    cut = texts.select(*key, words(F.col("text")).alias("w")).select(*key, F.size("w").alias("len"), grams("w").alias("grams"))
-    # The outer form, as the filter that is inferred for the other would compute the shingles once more below.
-    spots = cut.select(*key, "len", F.posexplode_outer("grams").alias("p", "g"))
+    cut = texts.select(*KEY, words(F.col("text")).alias("w")).select(*KEY, F.size("w").alias("len"), grams("w").alias("grams"))
+    # The outer form here and below, as the filter that is inferred for the other would compute the arrays once more, for each element of a lambda.
+    spots = cut.select(*KEY, "len", F.posexplode_outer("grams").alias("p", "g"))
     hits = spots.join(F.broadcast(places) if total <= BROADCAST_GRAMS else places, "g")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("len") - F.col("n")))
-    sized = hits.groupBy(*key, "len", "n").agg(F.sort_array(F.collect_set("p")).alias("at"), F.collect_set(start).alias("placed"))  # bounded by the text
+    sized = hits.groupBy(*KEY, "len", "n").agg(F.sort_array(F.collect_set("p")).alias("at"), F.collect_set(start).alias("placed"))  # bounded by the text
     width = F.least("len", "n") - (SHINGLE - 1)
     fewest = F.ceil(percent * (width + F.col("n") - (SHINGLE - 1)) / (100 + percent)).cast("int")
-    sized = sized.select(*key, "len", "n", "at", "placed", width.alias("width"), fewest.alias("fewest")).where(F.size("at") >= F.col("fewest"))
-    # A window holds the i-th hit and the ``fewest`` - 1 after it if it begins in this range.
-    ranges = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("fewest")), lambda i: F.struct((F.get("at", i + F.col("fewest") - 1) - F.col("width") + 1).alias("lo"), F.get("at", i).alias("hi")))
+    sized = sized.select(*KEY, "len", "n", "at", "placed", width.alias("width"), fewest.alias("fewest")).where(F.size("at") >= F.col("fewest"))
     last = F.greatest(F.lit(0), F.col("len") - F.col("n"))
-    starts = F.transform(F.filter(ranges, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(F.greatest(F.lit(0), r["lo"]), F.least(r["hi"], last)))
-    found = sized.select(*key, "n", "placed", F.array_distinct(F.flatten(starts)).alias("starts")).where(F.size("starts") > 0)
-    windows = F.transform("starts", lambda s: F.struct(F.col("n").alias("n"), s.alias("start"), F.array_contains("placed", s).alias("placed")))
-    found = found.groupBy(*key).agg(F.flatten(F.collect_list(windows)).alias("windows"))  # bounded by the text and the number of sizes
-    found = materialize(found, "windows")
-    own = materialize(texts.join(keys_for_join(found.select(*key)), key, "left_semi").dropDuplicates(key), "texts")
-    filled = own.select(*key, words(F.col("text")).alias("w")).select(*key, grams("w").alias("grams")).join(found, key)
-    sliced = F.transform("windows", lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), x["placed"].alias("placed"), F.slice("grams", x["start"] + 1, x["n"] - (SHINGLE - 1)).alias("window_grams")))
-    each = filled.select(*key, F.explode(sliced).alias("window")).select(*key, "window.*")
-    marked = materialize(each.withColumn("mark", simhash(F.col("window_grams"))), "marked")
+
+    def reach(i: Column) -> Column:
+        """Starts of windows that hold the i-th hit and the ``fewest`` - 1 after it, without those that the hit before it gives."""
+        low = F.greatest(F.lit(0), F.get("at", i + F.col("fewest") - 1) - F.col("width") + 1, F.get("at", i - 1) + 1)
+        return F.struct(low.alias("lo"), F.least(F.get("at", i), last).alias("hi"))
+
+    ranges = F.filter(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("fewest")), reach), lambda r: r["lo"] <= r["hi"])
+    found = sized.select(*KEY, "n", "placed", F.flatten(F.transform(ranges, lambda r: F.sequence(r["lo"], r["hi"]))).alias("starts"))
+
+    def told(of: Column, placed: bool) -> Column:
+        return F.transform(of, lambda s: F.struct(s.alias("start"), F.lit(placed).alias("placed")))
+
+    each = F.concat(told(F.array_intersect("starts", "placed"), True), told(F.array_except("starts", "placed"), False))
+    windows = materialize(found.select(*KEY, "n", F.explode_outer(each).alias("x")).select(*KEY, "n", "x.start", "x.placed").where("start is not null"), "windows")
+    widest = listed.agg(F.max("n")).first()[0] or 0
+    size = max(PIECE, widest)
+    own = texts.join(keys_for_join(windows.select(*KEY).distinct()), KEY, "left_semi").dropDuplicates(KEY)
+    whole = own.select(*KEY, words(F.col("text")).alias("w")).select(*KEY, grams("w").alias("grams"))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("grams") - 1) / size).cast("int"))), lambda c: F.slice("grams", c * size + 1, 2 * size))
+    pieces = materialize(whole.select(*KEY, F.posexplode_outer(parts).alias("c", "piece")), "pieces")
+    marked = materialize(_marked(_chunks(windows, pieces, size), widest), "marked")
 
     index = listed.select("item_id", "n", "item_mark", F.explode(near_blocks("item_mark")).alias("at")).select("item_id", "n", "item_mark", "at.b", "at.value")
-    probes = marked.select(*key, "n", "start", "mark", F.explode(blocks("mark")).alias("at")).select(*key, "n", "start", "mark", "at.b", "at.value")
-    size = index.count()
-    near = probes.join(F.broadcast(index) if size <= BROADCAST_GRAMS else index, ["n", "b", "value"])
+    probes = marked.select(*KEY, "n", "start", "placed", "mark", F.explode(blocks("mark")).alias("at")).select(*KEY, "n", "start", "placed", "mark", "at.b", "at.value")
+    near = probes.join(F.broadcast(index) if index.count() <= BROADCAST_GRAMS else index, ["n", "b", "value"])
     near = near.where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS)
     # A pair that agrees in several blocks is taken at the first of them.
     agree = [F.bit_count(block("mark", b).bitwiseXOR(block("item_mark", b))) <= BLOCK_RADIUS for b in range(len(BLOCK_BITS))]
-    near = near.where(F.col("b") == F.coalesce(*(F.when(a, F.lit(b)) for b, a in enumerate(agree)))).select(*key, "n", "start", "item_id")
+    near = near.where(F.col("b") == F.coalesce(*(F.when(a, F.lit(b)) for b, a in enumerate(agree)))).select(*KEY, "n", "start", "placed", "item_id")
+    near = materialize(near, "near")
     # The items are read once more for their shingles; their size is that of the table of places, counted above.
     full = listed.select("item_id", "item_grams")
-    near = marked.join(near, [*key, "n", "start"]).join(F.broadcast(full) if total <= BROADCAST_GRAMS else full, "item_id")
+    cut = _sliced(_chunks(near.select(*KEY, "n", "start", "placed").distinct(), pieces, size))
+    near = near.drop("placed").join(cut, [*KEY, "n", "start"]).join(F.broadcast(full) if total <= BROADCAST_GRAMS else full, "item_id")
     both = F.size("window_grams") + F.size("item_grams")
-    scored = near.select(*key, "item_id", "start", "placed", common_weight("window_grams", "item_grams").alias("common"), both.alias("both"))
+    scored = near.select(*KEY, "item_id", "start", "placed", common_weight("window_grams", "item_grams").alias("common"), both.alias("both"))
     matched = scored.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common")))
     similarity = F.col("common") / (F.col("both") - F.col("common"))
-    best = matched.select(*key, "item_id", F.struct(similarity.alias("similarity"), "placed", (-F.col("start").cast("long")).alias("back")).alias("best"))
-    return best.groupBy(*key, "item_id").agg(F.max("best").alias("best"))
+    best = matched.select(*KEY, "item_id", F.struct(similarity.alias("similarity"), "placed", (-F.col("start").cast("long")).alias("back")).alias("best"))
+    return best.groupBy(*KEY, "item_id").agg(F.max("best").alias("best"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

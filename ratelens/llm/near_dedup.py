@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import hash_words, keys_for_join, materialize, mix64, release, runs, shingle_set, split_join, surrogates, table, text_hashes
+from ratelens.llm._common import HOT_KEYS, HOT_ROWS, hash_words, keys_for_join, materialize, mix64, release, runs, shingle_set, split_join, surrogates, table, text_hashes
 from ratelens.llm.components import components
 
 SKETCH_BITS = 512
@@ -116,18 +116,22 @@ def _featurer(config: NearConfig):
 
 
 def _verifier(config: NearConfig):
+    """Each centre's text comes before those of its partners."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        centre = np.empty(0, np.uint64)
         for batch in batches:
-            linked = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                text = a.as_py()
-                if text != last[0]:  # rows of one centre arrive together
-                    last = (text, shingles(text, config.shingle))
-                other = shingles(b.as_py(), config.shingle)
-                common = len(np.intersect1d(last[1], other, assume_unique=True))
-                linked.append(100 * common >= config.percent * (len(last[1]) + len(other) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            partners, linked = [], []
+            for i, (partner, text) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                own = shingles(text.as_py(), config.shingle)
+                if not partner.is_valid:
+                    centre = own
+                    continue
+                common = len(np.intersect1d(centre, own, assume_unique=True))
+                partners.append(i)
+                linked.append(100 * common >= config.percent * (len(centre) + len(own) - common) and common > 0)
+            at = pa.array(partners, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
         release()
 
     return verify
@@ -141,10 +145,15 @@ def _confirm(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> DataFram
     """``a, b, linked`` for pairs, from the full shingle sets of whole texts."""
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     own = materialize(texts.join(keys_for_join(ids), "doc_id", "left_semi"), "texts")
-    left = own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInArrow(_verifier(config), "a long, b long, linked boolean"), "confirmed")
+    # A centre's partners are dealt to groups of bounded size; its text goes to each group once, ahead of them.
+    most = max(HOT_ROWS, pairs.count() // HOT_KEYS)
+    hot = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > most).select("a", F.ceil(F.col("n") / most).alias("groups"))
+    dealt = pairs.select("a", "b").join(F.broadcast(hot), "a", "left")  # at most HOT_KEYS rows
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).alias("part"), "b")
+    centres = dealt.select("a", "part").distinct().join(own.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    partners = dealt.join(own.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
+    rows = centres.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return materialize(rows.mapInArrow(_verifier(config), "a long, b long, linked boolean"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
@@ -195,9 +204,9 @@ def text_components(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
 
 def _link(members: DataFrame, sketches: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
     """``node, comp`` of the members of shared buckets that are linked with any other."""
-    pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = materialize(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     close = (
-        pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+        split_join(pairs, sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), ["a"], pairs.count())
         .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
         .select("a", "b", different_bits("x", "y").alias("bits"))
         .where(F.col("bits") <= config.most_different_bits)
@@ -205,6 +214,7 @@ def _link(members: DataFrame, sketches: DataFrame, texts: DataFrame, config: Nea
     close = materialize(close, "candidates")
     # Each member first meets its closest centre; most of its other candidates then lie in its component.
     best = close.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b")
+    best = materialize(best, "best")
     checked = _confirm(best, texts, config)
     comp = materialize(components(checked.where("linked").select("a", "b")), "components")
     rest = _across(close.join(checked, ["a", "b"], "left_anti"), comp)

@@ -208,3 +208,23 @@ def test_swapped_halves_of_an_item(spark):
             expected[k] = (round(max(own)[0], 6), -max(own)[1])
     got = {r.doc_id: (r.similarity, r.start) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == expected and set(got) == {1, 2, 3}
+
+
+def test_running_counts_give_the_fingerprints_of_windows(spark):
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(60)}" for _ in range(700))
+    windows = spark.createDataFrame([(1, 0, 0, n, s, False) for n in (5, 9, 200) for s in range(0, 700 - n, 7)] + [(1, 0, 0, 900, 0, True)], "doc_id long, h1 long, h2 long, n int, start int, placed boolean")
+    texts = spark.createDataFrame([(text,)], "text string").select(decontaminate.words(F.col("text")).alias("w")).select(decontaminate.grams("w").alias("g"))
+    pieces = texts.select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.explode(F.array(F.struct(F.lit(0).alias("c"), F.col("g").alias("piece")))).alias("x")).select("doc_id", "h1", "h2", "x.*")
+    chunks = decontaminate._chunks(windows, pieces, 1000)
+    plain = decontaminate._sliced(chunks).select("n", "start", decontaminate.simhash(F.col("window_grams")).alias("mark"))
+    got = decontaminate._marked(chunks, 900).select("n", "start", "mark")
+    assert sorted(got.collect()) == sorted(plain.collect()) and got.count() == windows.count()
+
+
+def test_a_long_text_of_a_repeated_item(spark):
+    """30,000 words: every window of the item's size matches it, and the rows stay small."""
+    item = " ".join(f"i{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, " ".join([item] * 150)), (2, "none of it " * 20_000)], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.similarity, r.start) for r in found] == [(1, 7, 1.0, 0)]

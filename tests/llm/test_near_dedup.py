@@ -107,3 +107,20 @@ def test_word_hashes_tell_words_apart():
     assert len(set(hashes.tolist())) == len(set(words)) and len({*zip(words, hashes.tolist())}) == len(set(words))
     assert hash_words([b"ABC \xc3\x89"], lower=True)[0].tolist() == hash_words([b"abc \xc3\x89"])[0].tolist()
     assert hash_words([b"two"])[0][0] == hashes[1]
+
+
+def test_a_hub_is_verified_in_groups(spark, monkeypatch):
+    """Partners of one centre beyond the bound of a group lie in several groups; each gets the centre's text once."""
+    from ratelens.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "HOT_KEYS", 3)
+    words = [f"w{k}" for k in range(60)]
+    texts = {1: " ".join(words), **{k: " ".join([*words[: 60 - k % 20], *(f"x{k}y{i}" for i in range(k % 20))]) for k in range(2, 60)}}
+    pairs = spark.createDataFrame([(1, k) for k in range(2, 60)] + [(5, 9), (5, 25), (8, 28)], "a long, b long")
+    config = NearConfig(5, 80)
+    rows = near_dedup._confirm(pairs, spark.createDataFrame([(k, t.encode()) for k, t in texts.items()], "doc_id long, text binary"), config).collect()
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    close = lambda a, b: 100 * len(grams(texts[a]) & grams(texts[b])) >= 80 * len(grams(texts[a]) | grams(texts[b]))
+    assert sorted((r.a, r.b, r.linked) for r in rows) == sorted((r.a, r.b, close(r.a, r.b)) for r in pairs.collect())
+    assert {r.linked for r in rows} == {True, False}
