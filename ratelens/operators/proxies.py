@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.functions import calibration as cal
-from ratelens.functions.ordinal import metrics, qwk
+from ratelens.functions.ordinal import metrics
 from ratelens.operators import confident, models
 from ratelens.operators.oof_store import Provider
-from ratelens.operators.significance import resample
+from ratelens.operators.resampling import Kappa, resampled_sums
 from ratelens.plans.config import BOOT_SEED, CV_FOLDS, K_VALUES, NUM_CLASSES
 
 
@@ -98,17 +98,13 @@ def paired_qwk(oof: Mapping[int, DataFrame], n_boot: int, seed: int = BOOT_SEED)
     ks = sorted(oof)
     long = reduce(DataFrame.unionByName, (confident.with_predictions(oof[k]).select("review_id", "rating", F.lit(k).alias("k"), "predicted_rating") for k in ks))
     wide = long.groupBy("review_id").agg(F.max("rating").alias("y"), *(F.max(F.when(F.col("k") == k, F.col("predicted_rating"))).alias(f"p_{k}") for k in ks))
-    kappas = [F.struct(F.lit(k).alias("k"), qwk(F.col("y"), F.col(f"p_{k}")).alias("qwk")) for k in ks]
-
-    def pairs(table: DataFrame, by: Sequence[str]) -> DataFrame:
-        flat = table.select(*by, F.explode("kappas").alias("x")).select(*by, "x.*")
-        x, y = flat.withColumnsRenamed({"k": "k_x", "qwk": "x"}), flat.withColumnsRenamed({"k": "k_y", "qwk": "y"})
-        joined = x.join(y, list(by)) if by else x.crossJoin(y)  # without a draw: three rows by three
-        return joined.where("k_x < k_y").select(*by, "k_x", "k_y", (F.col("x") - F.col("y")).alias("diff"))
-
-    point = pairs(wide.agg(F.array(*kappas).alias("kappas")), ())
-    draws = resample(wide, n_boot, seed, ["y", *(f"p_{k}" for k in ks)]).groupBy("rep").agg(F.array(*kappas).alias("kappas"))
-    ends = pairs(draws, ("rep",)).groupBy("k_x", "k_y").agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    statistics = {k: Kappa(f"k_{k}", "y", f"p_{k}") for k in ks}
+    sums = resampled_sums(wide, n_boot, ["y", *(f"p_{k}" for k in ks)], list(statistics.values()), seed)
+    flat = sums.select("rep", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), x.value.alias("qwk")) for k, x in statistics.items()))).alias("x")).select("rep", "x.*")
+    x, y = flat.withColumnsRenamed({"k": "k_x", "qwk": "x"}), flat.withColumnsRenamed({"k": "k_y", "qwk": "y"})
+    pairs = x.join(y, "rep").where("k_x < k_y").select("rep", "k_x", "k_y", (F.col("x") - F.col("y")).alias("diff"))
+    point = pairs.where("rep < 0").drop("rep")
+    ends = pairs.where("rep >= 0").groupBy("k_x", "k_y").agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     lo, hi = F.col("q")[0], F.col("q")[1]
     both = point.join(ends, ["k_x", "k_y"])
     return both.select("k_x", "k_y", F.round("diff", 9).alias("qwk_diff"), F.round(lo, 9).alias("ci_low"), F.round(hi, 9).alias("ci_high"), ((lo <= 0) & (hi >= 0)).alias("covers_zero"))

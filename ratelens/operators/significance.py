@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.functions.ordinal import metrics, qwk
-from ratelens.functions.rng import h, order_key
+from ratelens.functions.ordinal import metrics
+from ratelens.operators.resampling import BUCKETS, ErrorGap, Kappa, Statistic, resampled_sums  # noqa: F401
 from ratelens.plans.config import ALPHA, BOOT_SEED, HYPOTHESES, SCENARIOS, WEIGHT_SEEDS
 
 NAMES = tuple(s["name"] for s in SCENARIOS)
@@ -123,87 +123,75 @@ def significance_table(wide: DataFrame) -> DataFrame:
     return means.join(holm(tested), "hypothesis")
 
 
-#: Wide tables of at most this many rows are broadcast to the draws.
-BROADCAST_ROWS = 200_000
-#: Rows are numbered bucket by bucket, so that no task sorts all of them.
-BUCKETS = 64
+def _interval(boot: DataFrame, value: str, by: Sequence[str] = ("hypothesis",)) -> DataFrame:
+    q = boot.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return q.select(*by, F.round(F.col("q")[0], 9).alias("ci_low"), F.round(F.col("q")[1], 9).alias("ci_high"))
 
 
-def numbered(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``pos`` from 0 without gaps, in the order of a hashed bucket and the review id, and the columns."""
-    placed = wide.select((h("bucket", F.col("review_id")) % BUCKETS).alias("bucket"), "review_id", *columns)
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("review_id"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size"))
-    before = F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row a bucket
-    offsets = sizes.select("bucket", F.coalesce(before, F.lit(0)).alias("offset"))
-    ranked = placed.withColumn("nth", nth).join(F.broadcast(offsets), "bucket")
-    return ranked.select((F.col("offset") + F.col("nth") - 1).alias("pos"), *columns)
+def _kappa(column: str) -> Kappa:
+    return Kappa(f"k_{column}", "y", column)
 
 
-def resample(wide: DataFrame, n_boot: int, seed: int = BOOT_SEED, columns: Sequence[str] = ()) -> DataFrame:
-    """``rep`` and the columns of n rows drawn with replacement, ``n_boot`` times, by hashed indices.
+def _mae_gap(a: str, b: str, seeds: Sequence[int]) -> list[tuple[float, Statistic]]:
+    return [(1.0, ErrorGap(f"g_{a}_{b}", "y", tuple(unit(a, w) for w in seeds), tuple(unit(b, w) for w in seeds)))]
 
-    All hypotheses and metrics share the draws; a digest gives four of them. A resample has ``n_boot x n`` rows by
-    definition: they are made where they are aggregated, and meet a small table by broadcast.
-    """
-    spark = wide.sparkSession
-    n = wide.count()
-    rows = numbered(wide, columns)
-    blocks = -(-n // 4)
-    parts = max(spark.sparkContext.defaultParallelism, n_boot * blocks // 2_000_000)
-    ids = spark.range(0, n_boot * blocks, 1, parts).select((F.col("id") / max(1, blocks)).cast("long").alias("rep"), (F.col("id") % max(1, blocks)).alias("block"))
-    digest = order_key(seed, F.col("rep"), F.col("block"))
-    four = ids.select("rep", "block", F.posexplode(F.array(*(F.substring(digest, 8 * k + 1, 8) for k in range(4)))).alias("k", "hex")).where(F.col("block") * 4 + F.col("k") < n)
-    draws = four.select("rep", F.floor(F.conv("hex", 16, 10).cast("bigint") / float(2**32) * n).cast("long").alias("pos"))
-    return draws.join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows, "pos")
+
+def _ensemble_gap(a: str, b: str, seeds: Sequence[int]) -> list[tuple[float, Statistic]]:
+    return [(1.0, _kappa(ensemble(a))), (-1.0, _kappa(ensemble(b)))]
+
+
+def _seed_gap(a: str, b: str, seeds: Sequence[int]) -> list[tuple[float, Statistic]]:
+    return [x for w in seeds for x in ((1.0 / len(seeds), _kappa(unit(a, w))), (-1.0 / len(seeds), _kappa(unit(b, w))))]
 
 
-def _interval(boot: DataFrame, value: str) -> DataFrame:
-    q = boot.groupBy("hypothesis").agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return q.select("hypothesis", F.round(F.col("q")[0], 9).alias("ci_low"), F.round(F.col("q")[1], 9).alias("ci_high"))
+#: A metric's difference of two models as a weighted sum of statistics.
+GAPS = {"MAE": _mae_gap, "QWK_ensemble": _ensemble_gap, "QWK_per_seed": _seed_gap}
 
 
-def _long(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(name).alias("hypothesis"), F.col(name).alias("diff")) for name, _, _ in HYPOTHESES))
-    return df.select(*keep, F.explode(rows).alias("x")).select(*keep, "x.*")
+def _weighed(parts: Sequence[tuple[float, Statistic]]) -> Column:
+    """The sum of the parts: those of one weight are added first, so that a mean is a sum divided once."""
+    scale = abs(parts[0][0])
+    signed = [x.value if w > 0 else -x.value for w, x in parts]
+    pairs = [signed[i] + signed[i + 1] for i in range(0, len(signed), 2)] if len(signed) > 1 else signed
+    total = pairs[0]
+    for c in pairs[1:]:
+        total = total + c
+    return total if scale == 1.0 else total / len(pairs)
 
 
-def _effect(wide: DataFrame, n_boot: int, seed: int, columns: Sequence[str], diff) -> DataFrame:
-    point = _long(wide.agg(*(diff(a, b).alias(name) for name, a, b in HYPOTHESES)), ())
-    boot = _long(resample(wide, n_boot, seed, columns).groupBy("rep").agg(*(diff(a, b).alias(name) for name, a, b in HYPOTHESES)), ("rep",))
-    return point.select("hypothesis", F.round("diff", 9).alias("diff")).join(_interval(boot, "diff"), "hypothesis")
+def effects(wide: DataFrame, n_boot: int, metrics: Sequence[str] = tuple(GAPS), seed: int = BOOT_SEED, seeds: Sequence[int] = WEIGHT_SEEDS) -> DataFrame:
+    """``hypothesis, metric, diff, ci_low, ci_high``: differences of the two models with percentile intervals.
+
+    All hypotheses and metrics share the draws, which are made once; a draw is n rows by hashed positions.
+    """
+    found = {(name, m): GAPS[m](a, b, seeds) for m in metrics for name, a, b in HYPOTHESES}
+    statistics = list(dict.fromkeys(x for parts in found.values() for _, x in parts))
+    used = list(dict.fromkeys(c for x in statistics for c in ((x.y, x.p) if isinstance(x, Kappa) else (x.y, *x.a, *x.b))))
+    sums = resampled_sums(wide, n_boot, used, statistics, seed)
+    rows = F.array(*(F.struct(F.lit(name).alias("hypothesis"), F.lit(m).alias("metric"), _weighed(parts).alias("diff")) for (name, m), parts in found.items()))
+    long = sums.select("rep", F.explode(rows).alias("x")).select("rep", "x.*")
+    point = long.where("rep < 0").select("hypothesis", "metric", F.round("diff", 9).alias("diff"))
+    return point.join(_interval(long.where("rep >= 0"), "diff", ("hypothesis", "metric")), ["hypothesis", "metric"])
 
 
 def mae_effects(wide: DataFrame, n_boot: int, seed: int = BOOT_SEED) -> DataFrame:
     """Mean error difference of every hypothesis with a percentile interval."""
-    return _effect(wide, n_boot, seed, [error(s) for s in NAMES], lambda a, b: F.avg(F.col(error(a)) - F.col(error(b))))
+    return effects(wide, n_boot, ("MAE",), seed).drop("metric")
 
 
 def qwk_ensemble_effects(wide: DataFrame, n_boot: int, seed: int = BOOT_SEED) -> DataFrame:
-    return _effect(wide, n_boot, seed, ["y", *(ensemble(s) for s in NAMES)], lambda a, b: qwk(F.col("y"), F.col(ensemble(a))) - qwk(F.col("y"), F.col(ensemble(b))))
+    return effects(wide, n_boot, ("QWK_ensemble",), seed).drop("metric")
 
 
 def qwk_per_seed_effects(wide: DataFrame, n_boot: int, seed: int = BOOT_SEED, seeds: Sequence[int] = WEIGHT_SEEDS) -> DataFrame:
     """Kappa differences averaged over weight seeds; the same draws serve all of them."""
-
-    def diff(a: str, b: str) -> Column:
-        parts = [qwk(F.col("y"), F.col(unit(a, w))) - qwk(F.col("y"), F.col(unit(b, w))) for w in seeds]
-        total = parts[0]
-        for p in parts[1:]:
-            total = total + p
-        return total / len(seeds)
-
-    return _effect(wide, n_boot, seed, ["y", *(unit(s, w) for s in NAMES for w in seeds)], diff)
+    return effects(wide, n_boot, ("QWK_per_seed",), seed, seeds).drop("metric")
 
 
 def effect_table(wide: DataFrame, n_boot: int, split_seed: int, n_seeds: int = len(WEIGHT_SEEDS)) -> DataFrame:
     """Fifteen rows: five hypotheses by three metrics; test columns on MAE rows alone."""
-    tests = significance_table(wide).select("hypothesis", F.round("z", 9).alias("z"), "p", "p_holm", "significant")
-    parts = [mae_effects(wide, n_boot).withColumn("metric", F.lit("MAE")).join(tests, "hypothesis")]
-    parts += [f(wide, n_boot).withColumn("metric", F.lit(m)) for f, m in ((qwk_ensemble_effects, "QWK_ensemble"), (qwk_per_seed_effects, "QWK_per_seed"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    tests = significance_table(wide).select("hypothesis", F.lit("MAE").alias("metric"), F.round("z", 9).alias("z"), "p", "p_holm", "significant")
+    out = effects(wide, n_boot).join(tests, ["hypothesis", "metric"], "left")
     return out.withColumns({"split_seed": F.lit(split_seed), "n_weight_seeds": F.lit(n_seeds)})
 
 

@@ -162,7 +162,7 @@ def place(spark, sf, name: str) -> str:
 def stored_effects(spark, sf):
     """Effects of all splits, one table partitioned by split; a split that is stored isn't computed again."""
     path = place(spark, sf, "effects")
-    made = lambda x: reduce(DataFrame.unionByName, (f(split_part(spark, sf, x), REPS).withColumn("metric", F.lit(m)) for f, (m, _) in zip((significance.mae_effects, significance.qwk_ensemble_effects), SPLIT_METRICS, strict=True)))
+    made = lambda x: significance.effects(split_part(spark, sf, x), REPS, [m for m, _ in SPLIT_METRICS])
     return by_split(spark, path, EFFECTS_SCHEMA, made)
 
 
