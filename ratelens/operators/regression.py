@@ -70,7 +70,8 @@ def _passed(df: DataFrame, heads: Sequence[Head], weights: dict[int, np.ndarray]
                     value, grad = _loss(x[mask], y[mask], weights[i])
                 flat = np.concatenate([[value], grad.ravel()])
                 sums[i] = sums[i] + flat if i in sums else flat
-        yield pd.DataFrame({"i": list(sums), "v": [s.tolist() for s in sums.values()]})
+        if sums:  # a task without rows has no sums, and an empty column of lists has no type
+            yield pd.DataFrame({"i": list(sums), "v": [s.tolist() for s in sums.values()]})
 
     out: dict[int, np.ndarray] = {}
     for r in df.select("x", "fold", "part", "label0").mapInPandas(run, "i int, v array<double>").collect():

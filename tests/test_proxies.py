@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratelens.operators import confident, models, proxies
+from ratelens.operators import confident, models, proxies, regression
 from ratelens.operators.regression import Head, fit_heads
 from ratelens.operators.splitting import stratified_kfold
 
@@ -129,3 +129,15 @@ def test_fold_counts_against_direct_computation(spark, points):
         lo, hi = np.percentile(boot, [2.5, 97.5])
         assert abs(r.qwk_diff - (_kappa(y, p[r.k_x]) - _kappa(y, p[r.k_y]))) < 1e-8
         assert abs(r.ci_low - lo) < 1e-8 and abs(r.ci_high - hi) < 1e-8 and r.covers_zero == (lo <= 0 <= hi)
+
+
+def test_heads_with_tasks_that_have_no_rows(spark, monkeypatch):
+    """Larger tables are fitted by several tasks, of which some may be empty."""
+    monkeypatch.setattr(regression, "TASK_ROWS", 1)
+    rows = [([float(i % 7), float(i % 3)], 0, 0, i % 2) for i in range(12)]
+    df = spark.createDataFrame(rows, "x array<double>, fold int, part int, label0 int")
+    spread = df.repartitionByRange(12, "label0").cache()  # two labels: most of the parts are empty
+    assert spread.rdd.getNumPartitions() > 2
+    (one,), (other,) = (regression.fit_heads(d, [regression.Head(1, 1)], 2) for d in (df.coalesce(1), spread))
+    for (w, b), (v, c) in zip(one, other, strict=True):
+        assert [*w, b] == pytest.approx([*v, c], abs=1e-6)
