@@ -237,9 +237,13 @@ def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: int, how:
     hot = materialize(hot, "hot")
     if hot.isEmpty():
         return rows.join(facts, keys, how)
-    few = F.broadcast(hot)
-    spread = rows.join(few, keys, "left_semi").join(F.broadcast(facts.join(few, keys, "left_semi")), keys, how)
-    return rows.join(few, keys, "left_anti").join(facts, keys, how).unionByName(spread)
+    # The rows pass the few hot keys' facts once: those of a hot key are told by the mark, whether they have a fact or not.
+    own = facts.join(F.broadcast(hot), keys).withColumn("_known", F.lit(True))
+    known = hot.join(F.broadcast(own), keys, "left").withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(known), keys, "left")
+    spread = marked.where("_hot") if how == "left" else marked.where("_hot and _known")
+    cold = marked.where("_hot is null").select(*rows.columns).join(facts, keys, how)
+    return cold.unionByName(spread.select(*cold.columns))
 
 
 def text_hashes(text: Column) -> list[Column]:

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ratelens.llm._common import ASCII_LOWER, WORD_BYTES
+from ratelens.llm import components as steps
+from ratelens.llm._common import ASCII_LOWER, WORD_BYTES, split_join
 from ratelens.llm.components import components
 from ratelens.llm.near_dedup import NearConfig, near_duplicates, op5_near_dedup
 
@@ -124,3 +127,30 @@ def test_a_hub_is_verified_in_groups(spark, monkeypatch):
     close = lambda a, b: 100 * len(grams(texts[a]) & grams(texts[b])) >= 80 * len(grams(texts[a]) | grams(texts[b]))
     assert sorted((r.a, r.b, r.linked) for r in rows) == sorted((r.a, r.b, close(r.a, r.b)) for r in pairs.collect())
     assert {r.linked for r in rows} == {True, False}
+
+
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch):
+    """Few edges are followed by one task and never by rounds of jobs; both ways name the smallest node."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 90, (70, 2))] + [(200, 200 + i) for i in range(1, 400)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    monkeypatch.setattr(steps, "FEW_EDGES", 0)
+    rounds = {tuple(r) for r in components(df).collect()}
+    monkeypatch.setattr(steps, "FEW_EDGES", 1000)
+    monkeypatch.setattr(steps, "MAX_ROUNDS", 0)
+    assert {tuple(r) for r in components(df).collect()} == rounds
+    assert components(df.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_rows_pass_once(spark, how):
+    """Hot keys with and without a fact, others, and null keys, as by a plain join; no semi join of the rows."""
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 1).when(F.col("id") < 2000, 2).when(F.col("id") < 2900, F.col("id")).alias("k"), "id")
+    facts = spark.createDataFrame([(1, 7), (2500, 8), (9999, 9)], "k long, fact long")
+    facts = facts if how != "left_semi" else facts.select("k")
+    joined = split_join(rows, facts, ["k"], 3000, how)
+    want = rows.join(facts, ["k"], how)
+    assert joined.columns == want.columns
+    assert sorted(map(str, joined.collect())) == sorted(map(str, want.collect()))
+    if how != "left_semi":
+        assert "LeftSemi" not in joined._jdf.queryExecution().executedPlan().toString()
