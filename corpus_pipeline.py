@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm._common import materialize, table, without_texts
+from ratelens.llm._common import materialize, scratch, table, without_texts
 from ratelens.llm.decontaminate import matched_texts
 from ratelens.llm.near_dedup import text_components
 from ratelens.llm.packing import pack_documents
@@ -70,5 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:  # a stage's own tables go with it
+            docs = keep(materialize(stage(spark, docs, sf_dir), name.replace(" ", "-")))
     return STAGES[-1][1](spark, docs, sf_dir)
