@@ -196,10 +196,10 @@ def _counts(rep: int, n: int, start: int, rows: int, seed: int) -> np.ndarray:
     """How often a draw takes each row of a chunk."""
     if rep < 0:
         return np.ones(rows, np.uint8)
-    whole = start == 0 and rows == n
-    at = np.concatenate([p if whole else p[(p >= start) & (p < start + rows)] - start for p in positions(seed, rep, n)])
-    found = np.bincount(at, minlength=rows)
-    return found.astype(np.uint8 if found.max() < 256 else np.uint32)
+    whole, found = start == 0 and rows == n, np.zeros(rows, np.uint32)
+    for p in positions(seed, rep, n):  # counted piece by piece: the positions of a draw are never held at once
+        np.add.at(found, p if whole else p[(p >= start) & (p < start + rows)] - start, np.uint32(1))
+    return found.astype(np.uint8) if found.max() < 256 else found
 
 
 def resampled_sums(wide: DataFrame, n_boot: int, columns: Sequence[str], statistics: Sequence[Statistic], seed: int = BOOT_SEED, classes: int = NUM_CLASSES) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ratelens.functions.ordinal import metrics
 from ratelens.operators.resampling import BUCKETS, ErrorGap, Kappa, Statistic, resampled_sums  # noqa: F401
-from ratelens.plans.config import ALPHA, BOOT_SEED, HYPOTHESES, SCENARIOS, WEIGHT_SEEDS
+from ratelens.plans.config import ALPHA, BOOT_SEED, HYPOTHESES, NUM_CLASSES, SCENARIOS, WEIGHT_SEEDS
 
 NAMES = tuple(s["name"] for s in SCENARIOS)
 
@@ -43,10 +43,28 @@ def results_table(long: DataFrame) -> DataFrame:
     return per.groupBy("scenario").agg(F.count("*").alias("n_seeds"), *both).select("scenario", "n_seeds", *rounded).orderBy("mae_mean")
 
 
+#: Labels in a word of bits: a prediction is as many bits from the lowest on, so that the larger of two is their union.
+IN_WORD = 63 // NUM_CLASSES
+
+
 def wide_predictions(long: DataFrame, scenarios: Sequence[str] = NAMES, seeds: Sequence[int] = WEIGHT_SEEDS) -> DataFrame:
-    """``review_id, y`` and per scenario each seed's prediction, their ensemble and mean absolute error."""
-    cell = lambda s, w: F.max(F.when((F.col("scenario") == s) & (F.col("weight_seed") == w), F.col("y_pred")))
-    wide = long.groupBy("review_id").agg(F.max("y_true").alias("y"), *(cell(s, w).alias(unit(s, w)) for s in scenarios for w in seeds))
+    """``review_id, y`` and per scenario each seed's prediction, their ensemble and mean absolute error.
+
+    Predictions (1 to 5, or null) travel as bits of a few words, not as a column each.
+    """
+    units = [(s, w) for s in scenarios for w in seeds]
+    p, spread = F.col("y_pred"), 2**NUM_CLASSES - 1
+    known = F.get(F.array(*(F.lit(2 ** (i + 1) - 1) for i in range(NUM_CLASSES))), p.cast("int") - 1)
+    bits = F.when(p.isNull(), 0).otherwise(F.coalesce(known, F.raise_error(F.lit(f"y_pred has labels beyond 1 to {NUM_CLASSES}")).cast("int")))
+    rows, words = long.withColumn("_bits", bits.cast("long")), []
+    for at in range(0, len(units), IN_WORD):
+        word = F.lit(0).cast("long")
+        for i, (s, w) in reversed(list(enumerate(units[at : at + IN_WORD]))):
+            word = F.when((F.col("scenario") == s) & (F.col("weight_seed") == w), F.shiftleft("_bits", NUM_CLASSES * i)).otherwise(word)
+        words.append(F.bit_or(word).alias(f"_w{at // IN_WORD}"))
+    packed = rows.groupBy("review_id").agg(F.max("y_true").alias("y"), *words)
+    cell = lambda i: F.bit_count(F.shiftright(f"_w{i // IN_WORD}", NUM_CLASSES * (i % IN_WORD)).bitwiseAND(F.lit(spread)))
+    wide = packed.select("review_id", "y", *(F.nullif(cell(i), F.lit(0)).alias(unit(s, w)) for i, (s, w) in enumerate(units)))
     extra = {}
     for s in scenarios:
         own = [F.col(unit(s, w)) for w in seeds]

@@ -1,13 +1,15 @@
 """Draws counted where they are made, against the hash library and rows drawn one by one."""
 
 import hashlib
+import re
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ratelens.functions.rng import h
-from ratelens.operators import resampling
+from ratelens.operators import resampling, significance
 from ratelens.operators.resampling import ErrorGap, Kappa, md5_words, positions, resampled_sums
 
 
@@ -52,3 +54,27 @@ def test_no_rows_and_labels_that_do_not_fit(spark):
     assert resampled_sums(wide, 2, ["y", "p"], [Kappa("k", "y", "p")]).isEmpty()
     with pytest.raises(Exception, match="labels beyond 1 to 7"):
         resampled_sums(spark.createDataFrame([(1, 3, 9)], wide.schema), 2, ["y", "p"], [Kappa("k", "y", "p")]).collect()
+
+
+def test_a_draw_is_counted_piece_by_piece():
+    n = 1_000_000
+    tracemalloc.start()
+    found = resampling._counts(3, n, 0, n, 42)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.sum() == n and peak < 12 * n  # four bytes a row and a piece; all positions and their counts are 24 and more
+    part = resampling._counts(3, n, 1000, 5000, 42)
+    assert (part == found[1000:6000]).all()
+
+
+def test_wide_predictions_travel_as_words_of_bits(spark):
+    """Missing, repeated and null predictions; what is shuffled is a few words a review."""
+    rows = [("M1_Baseline_CE", 42, 1, 3, 2), ("M1_Baseline_CE", 42, 1, 3, 4), ("M6_CleanedSevere_CORN", 2024, 1, 3, 5), ("M4_Baseline_CORN", 123, 1, 3, None), ("other", 42, 2, None, 1), ("M3_CleanedSevere_CE", 123, 3, 9, 1)]
+    long = spark.createDataFrame(rows, "scenario string, weight_seed int, review_id long, y_true int, y_pred int")
+    wide = significance.wide_predictions(long)
+    found = {r["review_id"]: {k: v for k, v in r.asDict().items() if v is not None and k[0] in "yp"} for r in wide.collect()}
+    assert found == {1: {"y": 3, "p_M1_42": 4, "p_M6_2024": 5}, 2: {}, 3: {"y": 9, "p_M3_123": 1}}
+    assert [f.dataType.simpleString() for f in wide.schema][:20] == ["bigint", *["int"] * 19]
+    assert len(set(re.findall(r"partial_\w+\([^)]*", wide._jdf.queryExecution().sparkPlan().toString()))) <= 3
+    with pytest.raises(Exception, match="labels beyond 1 to 5"):
+        significance.wide_predictions(spark.createDataFrame([("M1_Baseline_CE", 42, 1, 3, 6)], long.schema)).collect()
