@@ -50,3 +50,24 @@ def test_summary_of_few_rows(spark):
     assert none.n_rows is None and none.n_texts == 0
     plan = profile.summary(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1
+
+
+def test_no_row_is_made_for_a_trigram(spark, monkeypatch):
+    """Texts are counted and scored in pieces where they are; characters beyond 16 bits are single ones."""
+    texts = ["ab\U0001f600ab\U0001f600", "\U0001f600\U0001f600\U0001f600\U0001f600", "İxßy" * 9, "ab", "abcdefgh" * 5, None]
+    df = spark.createDataFrame([(i, t, "xy"[i % 2]) for i, t in enumerate(texts)], "review_id long, review_text string, detected_lang string")
+    lowered = [r[0] for r in df.select(F.lower("review_text")).collect()]
+    want = collections.defaultdict(collections.Counter)
+    for i, t in enumerate(lowered):
+        if t and len(texts[i]) >= 3:
+            want["xy"[i % 2]].update(t[k : k + 3] for k in range(len(t) - 2))
+    whole = language.fit(df)
+    rows = whole.collect()
+    size = len({r.gram for r in rows})
+    assert size == len({g for c in want.values() for g in c})
+    assert all(math.isclose(r.weight, math.log((want[r.lang][r.gram] + 1) / (sum(want[r.lang].values()) + size))) for r in rows)
+    found = language.detect(df, whole)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    monkeypatch.setattr(language, "PIECE", 4)
+    assert [int(c) for x in language._codes(texts[4]) for c in x] == [language._code(texts[4][k : k + 3]) for k in range(38)]
