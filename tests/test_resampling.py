@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ratelens.functions.rng import h
 from ratelens.operators import resampling, significance
 from ratelens.operators.resampling import ErrorGap, Kappa, md5_words, positions, resampled_sums
+from ratelens.plans import q_statistics
+from ratelens.plans.config import SPLIT_SEEDS
 
 
 @pytest.mark.parametrize(("first", "count"), [(0, 10), (10, 90), (99_990, 10), (1_234_567, 50)])
@@ -78,3 +80,10 @@ def test_wide_predictions_travel_as_words_of_bits(spark):
     assert len(set(re.findall(r"partial_\w+\([^)]*", wide._jdf.queryExecution().sparkPlan().toString()))) <= 3
     with pytest.raises(Exception, match="labels beyond 1 to 5"):
         significance.wide_predictions(spark.createDataFrame([("M1_Baseline_CE", 42, 1, 3, 6)], long.schema)).collect()
+
+
+def test_two_splits_leave_the_third_alone(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(q_statistics, "by_split", lambda spark, path, schema, f, splits=SPLIT_SEEDS: made.extend(splits) or spark.createDataFrame([], schema))
+    assert q_statistics.R.queries["consistency_two_splits"](spark, sf).isEmpty()
+    assert made == list(SPLIT_SEEDS[:2])
