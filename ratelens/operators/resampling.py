@@ -134,16 +134,24 @@ def md5_words(prefix: bytes, first: int, count: int) -> np.ndarray:
     return np.stack([v + np.uint32(s) for v, s in zip((a, b, c, d), _START, strict=True)])
 
 
-def positions(seed: int, rep: int, n: int) -> Iterator[np.ndarray]:
-    """The n positions of a draw, piece by piece: a digest gives four of them, each 32 of its bits times n."""
-    blocks, at = -(-n // 4), 0
+def shared_positions(seed: int, rep: int, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """The positions of a draw in tables of several sizes, piece by piece, as (which, positions): a digest gives four of them,
+    each 32 of its bits times the size, and is made once for all tables."""
+    blocks, at = max(-(-n // 4) for n in sizes), 0
     while at < blocks:
         count = min(PIECE, blocks - at, 10 ** len(str(at)) - at)
-        four = md5_words(f"{seed}|{rep}|".encode(), at, count).byteswap().T.ravel()
-        yield np.floor(four[: n - 4 * at] / 2.0**32 * n).astype(np.int64)
+        four = md5_words(f"{seed}|{rep}|".encode(), at, count).byteswap().T.ravel() / 2.0**32
+        for k, n in enumerate(sizes):
+            if 4 * at < n:
+                yield k, np.floor(four[: n - 4 * at] * n).astype(np.int64)
         at += count
 
 
+def positions(seed: int, rep: int, n: int) -> Iterator[np.ndarray]:
+    """The n positions of a draw, piece by piece."""
+    return (p for _, p in shared_positions(seed, rep, (n,)))
+
+
 def _packed(columns: Sequence[str], classes: int) -> tuple[list[Column], int, int]:
     """The words that hold the labels of a row, the bits of a label, and the labels in a word; 0 is a missing one."""
     bits = classes.bit_length()
@@ -156,81 +164,96 @@ def _packed(columns: Sequence[str], classes: int) -> tuple[list[Column], int, in
 
 def _pack(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("review_id")
-    words = np.stack([rows[c].to_numpy() for c in rows.column_names if c not in ("bucket", "review_id")])
-    return pa.table({"bucket": pa.array([rows["bucket"][0].as_py()], pa.int64()), "n": pa.array([len(rows)], pa.int64()), "words": pa.array([words.tobytes()], pa.binary())})
+    words = np.stack([rows[c].to_numpy() for c in rows.column_names if c not in ("part", "bucket", "review_id")])
+    return pa.table({"part": pa.array([rows["part"][0].as_py()], pa.int32()), "bucket": pa.array([rows["bucket"][0].as_py()], pa.int64()), "n": pa.array([len(rows)], pa.int64()), "words": pa.array([words.tobytes()], pa.binary())})
 
 
-def _drawer(n: int, start: int, n_boot: int, groups: int, seed: int, columns: Sequence[str], bits: int, per: int, statistics: Sequence[Statistic]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _drawer(spans: dict[int, tuple[int, int]], n_boot: int, groups: int, seed: int, columns: Sequence[str], bits: int, per: int, statistics: Sequence[Statistic]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``spans`` has each part's number of rows, and where in it the chunk's rows begin."""
     names = [s for x in statistics for s in x.sums]
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, group = {}, None
+        buckets: dict[int, dict[int, np.ndarray]] = {}
+        group = None
         for batch in batches:
-            for g, bucket, size, words in zip(*(batch.column(k) for k in range(4)), strict=True):
+            for g, part, bucket, size, words in zip(*(batch.column(k) for k in range(5)), strict=True):
                 group = g.as_py()
-                parts[bucket.as_py()] = np.frombuffer(words.as_buffer(), np.int64).reshape(-1, size.as_py())
+                buckets.setdefault(part.as_py(), {})[bucket.as_py()] = np.frombuffer(words.as_buffer(), np.int64).reshape(-1, size.as_py())
         if group is None:
             return
-        words = np.concatenate([parts.pop(b) for b in sorted(parts)], axis=1)
-        rows = words.shape[1]
+        parts = {}
+        for part in sorted(buckets):
+            own = buckets.pop(part)
+            parts[part] = np.concatenate([own.pop(b) for b in sorted(own)], axis=1)
+        pieces = [(*spans[part], words.shape[1]) for part, words in parts.items()]
         reps = list(range(group - 1, n_boot, groups))  # -1: the table as it is
-        step = min(32, max(1, COUNTS // rows))
+        step = min(32, max(1, COUNTS // sum(rows for _, _, rows in pieces)))
         for i in range(0, len(reps), step):
             own = reps[i : i + step]
-            counts = [_counts(r, n, start, rows, seed) for r in own]
-            sums = np.zeros((len(own), len(names)), np.int64)
-            for at in range(0, rows, BLOCK):
-                block = words[:, at : at + BLOCK]
-                labels = {c: (block[j // per] >> (bits * (j % per)) & (2**bits - 1)).astype(np.float32) for j, c in enumerate(columns)}
-                terms = np.stack([t.astype(np.float32, copy=False) for x in statistics for t in x.terms(labels)])
-                drawn = np.stack([c[at : at + BLOCK] for c in counts]).astype(np.float32)
-                # Sums of integers below 2^24 are exact in either width.
-                wide = float(drawn.sum(1, dtype=np.float64).max()) * float(np.abs(terms).max()) >= 2**24
-                sums += np.rint(drawn.astype(np.float64) @ terms.astype(np.float64).T if wide else drawn @ terms.T).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(sums[:, k]) for k in range(len(names)))], ["rep", *names])
+            drawn_of = list(zip(*(_shared_counts(r, pieces, seed) for r in own), strict=True))
+            for (part, words), counts in zip(parts.items(), drawn_of, strict=True):
+                sums = np.zeros((len(own), len(names)), np.int64)
+                for at in range(0, words.shape[1], BLOCK):
+                    block = words[:, at : at + BLOCK]
+                    labels = {c: (block[j // per] >> (bits * (j % per)) & (2**bits - 1)).astype(np.float32) for j, c in enumerate(columns)}
+                    terms = np.stack([t.astype(np.float32, copy=False) for x in statistics for t in x.terms(labels)])
+                    drawn = np.stack([c[at : at + BLOCK] for c in counts]).astype(np.float32)
+                    # Sums of integers below 2^24 are exact in either width.
+                    wide = float(drawn.sum(1, dtype=np.float64).max()) * float(np.abs(terms).max()) >= 2**24
+                    sums += np.rint(drawn.astype(np.float64) @ terms.astype(np.float64).T if wide else drawn @ terms.T).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), pa.int32()), pa.array(own, pa.int64()), *(pa.array(sums[:, k]) for k in range(len(names)))], ["part", "rep", *names])
 
     return draw
 
 
+def _shared_counts(rep: int, pieces: Sequence[tuple[int, int, int]], seed: int) -> list[np.ndarray]:
+    """How often a draw takes each row of pieces (rows of the whole table, first row, rows) of several tables."""
+    if rep < 0:
+        return [np.ones(rows, np.uint8) for _, _, rows in pieces]
+    found = [np.zeros(rows, np.uint32) for _, _, rows in pieces]
+    for k, p in shared_positions(seed, rep, [n for n, _, _ in pieces]):  # counted piece by piece: the positions of a draw are never held at once
+        n, start, rows = pieces[k]
+        np.add.at(found[k], p if rows == n else p[(p >= start) & (p < start + rows)] - start, np.uint32(1))
+    return [f.astype(np.uint8) if f.max() < 256 else f for f in found]
+
+
 def _counts(rep: int, n: int, start: int, rows: int, seed: int) -> np.ndarray:
     """How often a draw takes each row of a chunk."""
-    if rep < 0:
-        return np.ones(rows, np.uint8)
-    whole, found = start == 0 and rows == n, np.zeros(rows, np.uint32)
-    for p in positions(seed, rep, n):  # counted piece by piece: the positions of a draw are never held at once
-        np.add.at(found, p if whole else p[(p >= start) & (p < start + rows)] - start, np.uint32(1))
-    return found.astype(np.uint8) if found.max() < 256 else found
+    return _shared_counts(rep, [(n, start, rows)], seed)[0]
 
 
-def resampled_sums(wide: DataFrame, n_boot: int, columns: Sequence[str], statistics: Sequence[Statistic], seed: int = BOOT_SEED, classes: int = NUM_CLASSES) -> DataFrame:
+def resampled_sums(wide: DataFrame, n_boot: int, columns: Sequence[str], statistics: Sequence[Statistic], seed: int = BOOT_SEED, classes: int = NUM_CLASSES, by: str | None = None) -> DataFrame:
     """``rep`` and the sums of the statistics: the whole table at -1, then ``n_boot`` draws of n rows with replacement.
 
     ``columns`` are the labels (from 1 on, or null) that the statistics read. Row ``pos`` of a draw is that of the same place in
     the order of a hashed bucket and ``review_id``. All statistics share the draws. An empty table gives no rows.
+    With ``by``, a column of small whole numbers, each of its values is a table of its own, and the digests of a draw are made once for all of them.
     """
     spark = wide.sparkSession
     words, bits, per = _packed(columns, classes)
     path = f"{shared_dir(spark)}/ratelens-draws-{uuid.uuid4().hex}"
-    placed = wide.select((h("bucket", F.col("review_id")) % BUCKETS).alias("bucket"), "review_id", *words)
-    placed.groupBy("bucket").applyInArrow(_pack, "bucket long, n long, words binary").write.parquet(f"{path}/packed")
+    placed = wide.select((F.lit(0) if by is None else F.col(by)).cast("int").alias("part"), (h("bucket", F.col("review_id")) % BUCKETS).alias("bucket"), "review_id", *words)
+    placed.groupBy("part", "bucket").applyInArrow(_pack, "part int, bucket long, n long, words binary").write.parquet(f"{path}/packed")
     packed = spark.read.parquet(f"{path}/packed")
-    sizes = sorted((r["bucket"], r["n"]) for r in packed.select("bucket", "n").collect())  # a row a bucket
-    n, chunks, before = sum(s for _, s in sizes), [], 0
-    for bucket, size in sizes:
+    sizes = sorted((r["part"], r["bucket"], r["n"]) for r in packed.select("part", "bucket", "n").collect())  # a row a bucket
+    chunks, before = [], {}
+    for part, bucket, size in sizes:
         if not chunks or (chunks[-1]["rows"] + size) * 8 * len(words) > CHUNK_BYTES:
-            chunks.append({"start": before, "rows": 0, "buckets": []})
+            chunks.append({"starts": {}, "rows": 0, "buckets": []})
+        chunks[-1]["starts"].setdefault(part, before.get(part, 0))
         chunks[-1]["rows"] += size
-        chunks[-1]["buckets"].append(bucket)
-        before += size
+        chunks[-1]["buckets"].append(part * BUCKETS + bucket)
+        before[part] = before.get(part, 0) + size
     groups = max(1, min(n_boot + 1, 4 * spark.sparkContext.defaultParallelism))
     names = [s for x in statistics for s in x.sums]
-    schema = ", ".join(["rep long", *(f"{c} long" for c in names)])
+    schema = ", ".join(["part int", "rep long", *(f"{c} long" for c in names)])
     parts = [spark.createDataFrame([], schema)]
     for chunk in chunks:
-        few = F.broadcast(packed.where(F.col("bucket").isin(chunk["buckets"])))
+        few = F.broadcast(packed.where((F.col("part").cast("long") * BUCKETS + F.col("bucket")).isin(chunk["buckets"])))
         tasks = spark.range(0, groups, 1, groups).crossJoin(few)  # a task for each group of draws, all packed rows of the chunk
-        parts.append(tasks.mapInArrow(_drawer(n, chunk["start"], n_boot, groups, seed, columns, bits, per, statistics), schema))
-    found = reduce(DataFrame.union, parts).groupBy("rep").agg(*(F.sum(c).alias(c) for c in names))
+        parts.append(tasks.mapInArrow(_drawer({p: (before[p], start) for p, start in chunk["starts"].items()}, n_boot, groups, seed, columns, bits, per, statistics), schema))
+    found = reduce(DataFrame.union, parts).groupBy("part", "rep").agg(*(F.sum(c).alias(c) for c in names))
+    found = found.drop("part") if by is None else found.withColumnRenamed("part", by)
     found.write.parquet(f"{path}/sums")
     fs, p = _fs(spark, f"{path}/packed")
     fs.delete(p, True)

@@ -177,19 +177,20 @@ def _weighed(parts: Sequence[tuple[float, Statistic]]) -> Column:
     return total if scale == 1.0 else total / len(pairs)
 
 
-def effects(wide: DataFrame, n_boot: int, metrics: Sequence[str] = tuple(GAPS), seed: int = BOOT_SEED, seeds: Sequence[int] = WEIGHT_SEEDS) -> DataFrame:
+def effects(wide: DataFrame, n_boot: int, metrics: Sequence[str] = tuple(GAPS), seed: int = BOOT_SEED, seeds: Sequence[int] = WEIGHT_SEEDS, by: str | None = None) -> DataFrame:
     """``hypothesis, metric, diff, ci_low, ci_high``: differences of the two models with percentile intervals.
 
-    All hypotheses and metrics share the draws, which are made once; a draw is n rows by hashed positions.
+    All hypotheses and metrics share the draws, which are made once; a draw is n rows by hashed positions. With ``by``, each of that
+    column's values is a table of its own, and its rows have the value.
     """
     found = {(name, m): GAPS[m](a, b, seeds) for m in metrics for name, a, b in HYPOTHESES}
     statistics = list(dict.fromkeys(x for parts in found.values() for _, x in parts))
     used = list(dict.fromkeys(c for x in statistics for c in ((x.y, x.p) if isinstance(x, Kappa) else (x.y, *x.a, *x.b))))
-    sums = resampled_sums(wide, n_boot, used, statistics, seed)
+    sums, own = resampled_sums(wide, n_boot, used, statistics, seed, by=by), [by] if by else []
     rows = F.array(*(F.struct(F.lit(name).alias("hypothesis"), F.lit(m).alias("metric"), _weighed(parts).alias("diff")) for (name, m), parts in found.items()))
-    long = sums.select("rep", F.explode(rows).alias("x")).select("rep", "x.*")
-    point = long.where("rep < 0").select("hypothesis", "metric", F.round("diff", 9).alias("diff"))
-    return point.join(_interval(long.where("rep >= 0"), "diff", ("hypothesis", "metric")), ["hypothesis", "metric"])
+    long = sums.select(*own, "rep", F.explode(rows).alias("x")).select(*own, "rep", "x.*")
+    point = long.where("rep < 0").select(*own, "hypothesis", "metric", F.round("diff", 9).alias("diff"))
+    return point.join(_interval(long.where("rep >= 0"), "diff", (*own, "hypothesis", "metric")), [*own, "hypothesis", "metric"])
 
 
 def mae_effects(wide: DataFrame, n_boot: int, seed: int = BOOT_SEED) -> DataFrame:

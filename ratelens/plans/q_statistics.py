@@ -15,7 +15,7 @@ from ratelens.plans.config import BOOT_SEED, HYPOTHESES, N_BOOT, SCENARIOS, SPLI
 from ratelens.plans.fixtures import ANNOTATIONS_SQL, PREDICTIONS_SQL, SCORED_SQL, annotations, predictions, scored
 from ratelens.plans.q_labels import CL
 from ratelens.plans.registry import Registry
-from ratelens.sources.store import by_split, store_path
+from ratelens.sources.store import by_split, is_stored, store_path
 from ratelens.sources.tables import table
 
 R = Registry(PREDICTIONS_SQL)
@@ -154,6 +154,13 @@ def split_part(spark, sf, seed: int):
     return wide(spark, sf).where(h("split", F.lit(seed), F.col("review_id")) % 5 == 0)
 
 
+def split_parts(spark, sf, seeds):
+    """The same for several splits, told by ``split_seed``: a review is there once for each split that tests it."""
+    inside = {x: h("split", F.lit(x), F.col("review_id")) % 5 == 0 for x in seeds}
+    tested = wide(spark, sf).where(reduce(lambda a, b: a | b, inside.values()))
+    return tested.withColumn("split_seed", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(x)) for x, c in inside.items())))))
+
+
 def place(spark, sf, name: str) -> str:
     """Where results of these predictions are stored: other rows under the same folder have another place."""
     return store_path(spark, name, sf, lineage(table(spark, sf, "orders"), ("o_orderkey", "o_orderpriority")))
@@ -162,7 +169,14 @@ def place(spark, sf, name: str) -> str:
 def stored_effects(spark, sf, splits=SPLIT_SEEDS):
     """Effects of the splits, one table partitioned by split; a split that is stored isn't computed again."""
     path = place(spark, sf, "effects")
-    made = lambda x: significance.effects(split_part(spark, sf, x), REPS, [m for m, _ in SPLIT_METRICS])
+    together: list[DataFrame] = []
+
+    def made(x: int) -> DataFrame:
+        if not together:  # the missing splits share their draws
+            left = [s for s in splits if not is_stored(spark, path, EFFECTS_SCHEMA, s)]
+            together.append(significance.effects(split_parts(spark, sf, left), REPS, [m for m, _ in SPLIT_METRICS], by="split_seed"))
+        return together[0].where(F.col("split_seed") == x)
+
     return by_split(spark, path, EFFECTS_SCHEMA, made, splits)
 
 

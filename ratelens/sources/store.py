@@ -55,6 +55,11 @@ def read_partitions(spark: SparkSession, path: str, schema: T.StructType | str)
         return spark.createDataFrame([], schema)
 
 
+def is_stored(spark: SparkSession, path: str, schema: T.StructType | str, seed: int) -> bool:
+    """Whether the stored table has rows of a split."""
+    return not read_partitions(spark, path, schema).where(F.col("split_seed") == seed).isEmpty()
+
+
 def by_split(spark: SparkSession, path: str, schema: str, made: Callable[[int], DataFrame], splits: Sequence[int] = SPLIT_SEEDS) -> DataFrame:
     """One table of all splits, partitioned by ``split_seed``: what is stored is read, what is missing is made and stored.
 
@@ -62,6 +67,6 @@ def by_split(spark: SparkSession, path: str, schema: str, made: Callable[[int],
     """
     names = [f.strip().split()[0] for f in schema.split(",")]
     for seed in splits:
-        if read_partitions(spark, path, schema).where(F.col("split_seed") == seed).isEmpty():
+        if not is_stored(spark, path, schema, seed):
             replace_partitions(made(seed).withColumn("split_seed", F.lit(seed)).select(*names), path, ("split_seed",))
     return read_partitions(spark, path, schema)

@@ -87,3 +87,25 @@ def test_two_splits_leave_the_third_alone(spark, sf, monkeypatch):
     monkeypatch.setattr(q_statistics, "by_split", lambda spark, path, schema, f, splits=SPLIT_SEEDS: made.extend(splits) or spark.createDataFrame([], schema))
     assert q_statistics.R.queries["consistency_two_splits"](spark, sf).isEmpty()
     assert made == list(SPLIT_SEEDS[:2])
+
+
+def test_digests_are_made_once_for_all_tables(monkeypatch):
+    made = []
+    monkeypatch.setattr(resampling, "md5_words", lambda prefix, first, count: made.append(count) or md5_words(prefix, first, count))
+    pieces = [(9_001, 0, 9_001), (8_000, 100, 3_000), (1, 0, 1)]
+    found = resampling._shared_counts(3, pieces, 42)
+    assert sum(made) == -(-9_001 // 4)
+    for own, (n, start, rows) in zip(found, pieces, strict=True):
+        assert own.tolist() == np.bincount(drawn(42, 3, n), minlength=n)[start : start + rows].tolist()
+
+
+@pytest.mark.parametrize("chunk", [160_000_000, 400])
+def test_several_tables_at_once_are_each_as_alone(spark, monkeypatch, chunk):
+    monkeypatch.setattr(resampling, "CHUNK_BYTES", chunk)
+    label = lambda c: (h(c, F.col("id")) % 5 + 1).cast("int").alias(c)
+    rows = spark.range(150).select(F.col("id").alias("review_id"), label("y"), label("p"), F.explode(F.array(F.lit(42), F.lit(7))).alias("s")).where((F.col("s") == 42) | (F.col("review_id") % 3 == 0))
+    kappa = Kappa("k", "y", "p")
+    both = resampled_sums(rows, 3, ["y", "p"], [kappa], by="s")
+    for s in (42, 7):
+        alone = resampled_sums(rows.where(F.col("s") == s), 3, ["y", "p"], [kappa])
+        assert sorted(map(tuple, both.where(F.col("s") == s).select(*alone.columns).collect())) == sorted(map(tuple, alone.collect()))
