@@ -152,6 +152,10 @@ def positions(seed: int, rep: int, n: int) -> Iterator[np.ndarray]:
     return (p for _, p in shared_positions(seed, rep, (n,)))
 
 
+def bucket_of(review_id: Column) -> Column:
+    return h("bucket", review_id) % BUCKETS
+
+
 def _packed(columns: Sequence[str], classes: int) -> tuple[list[Column], int, int]:
     """The words that hold the labels of a row, the bits of a label, and the labels in a word; 0 is a missing one."""
     bits = classes.bit_length()
@@ -168,6 +172,14 @@ def _pack(rows: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([rows["part"][0].as_py()], pa.int32()), "bucket": pa.array([rows["bucket"][0].as_py()], pa.int64()), "n": pa.array([len(rows)], pa.int64()), "words": pa.array([words.tobytes()], pa.binary())})
 
 
+def packed_buckets(wide: DataFrame, columns: Sequence[str], classes: int, by: str | None = None) -> DataFrame:
+    """``part, bucket, n, words``: the packed labels of each bucket. Rows that are dealt by ``draw_bucket`` already are not moved again."""
+    bucket = F.col("draw_bucket") if "draw_bucket" in wide.columns else bucket_of(F.col("review_id"))
+    part = (F.lit(0) if by is None else F.col(by)).cast("int")
+    placed = wide.select(part.alias("part"), bucket.alias("bucket"), "review_id", *_packed(columns, classes)[0])
+    return placed.groupBy("part", "bucket").applyInArrow(_pack, "part int, bucket long, n long, words binary")
+
+
 def _drawer(spans: dict[int, tuple[int, int]], n_boot: int, groups: int, seed: int, columns: Sequence[str], bits: int, per: int, statistics: Sequence[Statistic]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``spans`` has each part's number of rows, and where in it the chunk's rows begin."""
     names = [s for x in statistics for s in x.sums]
@@ -232,8 +244,7 @@ def resampled_sums(wide: DataFrame, n_boot: int, columns: Sequence[str], statist
     spark = wide.sparkSession
     words, bits, per = _packed(columns, classes)
     path = f"{shared_dir(spark)}/ratelens-draws-{uuid.uuid4().hex}"
-    placed = wide.select((F.lit(0) if by is None else F.col(by)).cast("int").alias("part"), (h("bucket", F.col("review_id")) % BUCKETS).alias("bucket"), "review_id", *words)
-    placed.groupBy("part", "bucket").applyInArrow(_pack, "part int, bucket long, n long, words binary").write.parquet(f"{path}/packed")
+    packed_buckets(wide, columns, classes, by).write.parquet(f"{path}/packed")
     packed = spark.read.parquet(f"{path}/packed")
     sizes = sorted((r["part"], r["bucket"], r["n"]) for r in packed.select("part", "bucket", "n").collect())  # a row a bucket
     chunks, before = [], {}

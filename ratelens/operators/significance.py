@@ -50,7 +50,8 @@ IN_WORD = 63 // NUM_CLASSES
 def wide_predictions(long: DataFrame, scenarios: Sequence[str] = NAMES, seeds: Sequence[int] = WEIGHT_SEEDS) -> DataFrame:
     """``review_id, y`` and per scenario each seed's prediction, their ensemble and mean absolute error.
 
-    Predictions (1 to 5, or null) travel as bits of a few words, not as a column each.
+    Predictions (1 to 5, or null) travel as bits of a few words, not as a column each. A column ``draw_bucket``, a function of the
+    review, is kept: rows that are dealt by it are not moved here.
     """
     units = [(s, w) for s in scenarios for w in seeds]
     p, spread = F.col("y_pred"), 2**NUM_CLASSES - 1
@@ -62,9 +63,10 @@ def wide_predictions(long: DataFrame, scenarios: Sequence[str] = NAMES, seeds: S
         for i, (s, w) in reversed(list(enumerate(units[at : at + IN_WORD]))):
             word = F.when((F.col("scenario") == s) & (F.col("weight_seed") == w), F.shiftleft("_bits", NUM_CLASSES * i)).otherwise(word)
         words.append(F.bit_or(word).alias(f"_w{at // IN_WORD}"))
-    packed = rows.groupBy("review_id").agg(F.max("y_true").alias("y"), *words)
+    keys = [c for c in ("draw_bucket", "review_id") if c in long.columns]
+    packed = rows.groupBy(*keys).agg(F.max("y_true").alias("y"), *words)
     cell = lambda i: F.bit_count(F.shiftright(f"_w{i // IN_WORD}", NUM_CLASSES * (i % IN_WORD)).bitwiseAND(F.lit(spread)))
-    wide = packed.select("review_id", "y", *(F.nullif(cell(i), F.lit(0)).alias(unit(s, w)) for i, (s, w) in enumerate(units)))
+    wide = packed.select(*keys, "y", *(F.nullif(cell(i), F.lit(0)).alias(unit(s, w)) for i, (s, w) in enumerate(units)))
     extra = {}
     for s in scenarios:
         own = [F.col(unit(s, w)) for w in seeds]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelens.functions.rng import h, sql_h
+from ratelens.operators.resampling import BUCKETS, bucket_of
 from ratelens.plans.config import SCENARIOS, WEIGHT_SEEDS
 from ratelens.sources.tables import table
 
@@ -50,14 +51,20 @@ scored AS (SELECT review_id, rating, source_app, {", ".join(f"w{j} / (w1 + w2 +
 best AS (SELECT *, CASE greatest(p1, p2, p3, p4, p5) WHEN p1 THEN 1 WHEN p2 THEN 2 WHEN p3 THEN 3 WHEN p4 THEN 4 ELSE 5 END AS predicted FROM scored)"""
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long table ``scenario, weight_seed, review_id, y_true, y_pred`` of 6 scenarios by 3 seeds."""
+def predictions(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Long table ``scenario, weight_seed, review_id, y_true, y_pred`` of 6 scenarios by 3 seeds.
+
+    ``dealt``: with ``draw_bucket``, by which the reviews are dealt while they are a narrow row each, before their predictions are made.
+    """
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("y_true"))
+    own = ["draw_bucket"] if dealt else []
+    if dealt:
+        o = o.withColumn("draw_bucket", bucket_of(F.col("review_id"))).repartition(BUCKETS, "draw_bucket")
     units = F.array(*(F.struct(F.lit(s["name"]).alias("scenario"), F.lit(w).alias("weight_seed")) for s in SCENARIOS for w in WEIGHT_SEEDS))
-    o = o.select("review_id", "y_true", F.explode(units).alias("u")).select("review_id", "y_true", "u.scenario", "u.weight_seed")
+    o = o.select(*own, "review_id", "y_true", F.explode(units).alias("u")).select(*own, "review_id", "y_true", "u.scenario", "u.weight_seed")
     shift = h(F.col("scenario"), F.col("weight_seed"), F.col("review_id")) % 5 - 2
     y = F.least(F.greatest(F.col("y_true") + shift, F.lit(1)), F.lit(5)).cast("int")
-    return o.select("scenario", "weight_seed", "review_id", "y_true", y.alias("y_pred"))
+    return o.select("scenario", "weight_seed", "review_id", "y_true", y.alias("y_pred"), *own)
 
 
 _UNITS = ", ".join(f"('{s['name']}', {w})" for s in SCENARIOS for w in WEIGHT_SEEDS)

@@ -53,6 +53,11 @@ def wide(spark, sf):
     return significance.wide_predictions(predictions(spark, sf))
 
 
+def dealt(spark, sf):
+    """``wide`` for draws: its rows are shuffled once, as reviews, and lie where their bucket is packed."""
+    return significance.wide_predictions(predictions(spark, sf, dealt=True))
+
+
 add(
     "wilcoxon_zsplit_z",
     lambda s, d: significance.wilcoxon(significance.paired_differences(wide(s, d))),
@@ -109,9 +114,9 @@ def _per(a: str, b: str) -> str:
     return "(" + " + ".join(f"({sql_qwk('y', _u(a, w))} - {sql_qwk('y', _u(b, w))})" for w in WEIGHT_SEEDS) + ") / 3"
 
 
-add("bootstrap_mae_ci", lambda s, d: significance.mae_effects(wide(s, d), REPS), boot_sql(_mae))
-add("bootstrap_qwk_ensemble", lambda s, d: significance.qwk_ensemble_effects(wide(s, d), REPS), boot_sql(_ens))
-add("bootstrap_qwk_per_seed", lambda s, d: significance.qwk_per_seed_effects(wide(s, d), REPS), boot_sql(_per))
+add("bootstrap_mae_ci", lambda s, d: significance.mae_effects(dealt(s, d), REPS), boot_sql(_mae))
+add("bootstrap_qwk_ensemble", lambda s, d: significance.qwk_ensemble_effects(dealt(s, d), REPS), boot_sql(_ens))
+add("bootstrap_qwk_per_seed", lambda s, d: significance.qwk_per_seed_effects(dealt(s, d), REPS), boot_sql(_per))
 METRICS = (("MAE", _mae), ("QWK_ensemble", _ens), ("QWK_per_seed", _per))
 EFFECT = ("hypothesis", "metric", "diff", "ci_low", "ci_high", "z", "significant", "split_seed", "n_weight_seeds")
 add(

@@ -109,3 +109,13 @@ def test_several_tables_at_once_are_each_as_alone(spark, monkeypatch, chunk):
     for s in (42, 7):
         alone = resampled_sums(rows.where(F.col("s") == s), 3, ["y", "p"], [kappa])
         assert sorted(map(tuple, both.where(F.col("s") == s).select(*alone.columns).collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_reviews_are_dealt_to_buckets_once(spark, sf):
+    """A bootstrap's only shuffle of rows is that of the reviews, before each of them has its predictions; the rows are the same."""
+    dealt, wide = q_statistics.dealt(spark, sf), q_statistics.wide(spark, sf)
+    assert sorted(map(str, dealt.drop("draw_bucket").collect())) == sorted(map(str, wide.collect()))
+    columns = ["y", *(c for c in wide.columns if c.startswith("e_"))]
+    packed = resampling.packed_buckets(dealt, columns, 5)
+    assert len(re.findall(r"\bExchange\b", packed._jdf.queryExecution().executedPlan().toString())) == 1
+    assert sorted(map(str, packed.collect())) == sorted(map(str, resampling.packed_buckets(wide, columns, 5).collect()))
